@@ -34,9 +34,9 @@ WS_BYTES = np.zeros(256, dtype=bool)
 WS_BYTES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = stream64(11, 256)
-_R = 0x5851F42D4C957F2D
-_R_INVERSE = pow(_R, -1, 1 << 64)
+#: Two independent polynomials: byte values, multiplier and its inverse.
+_POLYNOMIALS = [(stream64(11, 256), r, pow(r, -1, 1 << 64)) for r in (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)]
+_POLYNOMIALS[1] = (stream64(12, 256), *_POLYNOMIALS[1][1:])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -91,8 +91,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes. Spans are in order and don't overlap."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, by polynomial 0 or 1. Spans are in order and don't overlap."""
+    values, r, inverse = _POLYNOMIALS[which]
     out = np.empty(len(starts), dtype=U64)
     at = 0
     while at < len(starts):
@@ -100,11 +101,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         end = max(at + 1, int(np.searchsorted(ends, low + _STEP, side="right")))
         high = int(ends[end - 1])
         p = np.zeros(high - low + 1, dtype=U64)
-        np.cumsum(_BYTE[data[low:high]] * _power(_R, high - low)[: high - low], out=p[1:])
+        np.cumsum(values[data[low:high]] * _power(r, high - low)[: high - low], out=p[1:])
         s, e = starts[at:end] - low, ends[at:end] - low
-        out[at:end] = (p[e] - p[s]) * _power(_R_INVERSE, high - low)[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
+        out[at:end] = (p[e] - p[s]) * _power(inverse, high - low)[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
         at = end
-    return mix64(out ^ stream64(seed, 1)[0])
+    return mix64(out)
 
 
 def shingles(word_hash: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
