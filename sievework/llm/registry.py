@@ -11,12 +11,24 @@ from sievework.llm import oracles
 from sievework.llm.common import digest_of, table
 
 
+def op1_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.token_counts import document_token_counts
+
+    return document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op9_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.line_dedup import dedup_lines
 
