@@ -17,6 +17,12 @@ def op1_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.near_dedup import near_duplicates
 
