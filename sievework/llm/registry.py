@@ -17,6 +17,13 @@ def op1_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_sort(F.array_distinct("matches.item_id")).alias("item_ids"), F.array_min("matches.distance").alias("least_distance"))
+
+
 def op3_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.quality_rules import judge
 
