@@ -64,6 +64,12 @@ def op9_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", digest_of(F.col("text")).alias("kept_sha256"))
 
 
+def op10_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -77,9 +77,9 @@ def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int, np
         at = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each text the index of its first word (len + 1 of them)."""
-    inside = ~WS_BYTES[data]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WS_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each text the index of its first word (len + 1 of them). apart: the bytes between words."""
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.zeros(len(data), dtype=bool)
