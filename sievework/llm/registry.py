@@ -44,6 +44,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)))
 
 
+def op6_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.packing import pack
 
