@@ -11,6 +11,7 @@ from sievework.functions.rules import RULES, rule_sql
 from sievework.functions.tables import CO_LOCATED, DECLARED_BY_EXTENSION, HOST, LAYERS, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, URL
 from sievework.operators.cascade import cascade, comparators
 from sievework.operators.layers import data_uri, inspected, linkable, listed, namespace, near_misses, scheme, svg_root, view
+from sievework.plans import bytes_queries
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
 
@@ -214,8 +215,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(name) for name in STATEMENTS}
+    return {name: _run(name) for name in STATEMENTS} | bytes_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(DUCKDB) for name, f in STATEMENTS.items()}
+    return {name: f(DUCKDB) for name, f in STATEMENTS.items()} | bytes_queries.SQL
