@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sievework.llm import tokens
@@ -75,7 +76,9 @@ def count_tokens(blocks: DataFrame, scratch: Scratch, end: int = END) -> DataFra
     """One row per document of the flat files whose blocks these are (file, block, data): file, ordinal, n_tokens (without the end id), closed.
 
     Blocks of a file are numbered in order, of any length; a null or empty block has no ids. Ids after a file's last end are one more document that isn't closed. Two ends next to each other close an empty document. No blocks give no rows."""
-    seen = scratch.save(columns(blocks, "file", "block", "data").mapInArrow(lambda batches: _scan(batches, end), "file long, block long, ids long, ends long, first long, last long, inner array<long>"), "blocks")
+    own = columns(blocks, "file", "block", "data")
+    schema = T.StructType([*own.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("ids", "ends", "first", "last")), T.StructField("inner", T.ArrayType(T.LongType()))])
+    seen = scratch.save(own.mapInArrow(lambda batches: _scan(batches, end), schema), "blocks")
     seen = seen.withColumn("chunk", F.floor(F.col("block") / CHUNK))
     earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
