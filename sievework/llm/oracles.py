@@ -45,3 +45,52 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, sha256(coalesce
 FROM marked GROUP BY doc_id
 """,
 }
+
+
+def _rules_sql() -> str:
+    from sievework.llm.quality_rules import FALSE_REJECTION, MAX_REPEAT, MIN_WORDS, RISK, RULES, TESTS
+
+    limit = FALSE_REJECTION / len(RULES)
+    cuts = ", ".join(f"('{rule}', CAST({cut} AS DOUBLE))" for rule, (_, xs) in RULES.items() for cut in xs)
+    measure = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {m}" for rule, (m, _) in RULES.items()) + " END"
+    first = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {k}" for k, rule in enumerate(RULES)) + " END"
+    names = "[" + ", ".join(f"'{rule}'" for rule in RULES) + "]"
+    return rf"""
+WITH own AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), places AS (
+  SELECT rid, i, list_slice(words, i, i + 7) AS win FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM own)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM places) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY rid
+), seen AS (
+  SELECT o.rid, o.doc_id, o.stratum, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(list_distinct(words)) AS n_distinct
+  FROM own o LEFT JOIN covered c ON o.rid = c.rid
+), based AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM seen
+), cuts(rule, cut) AS (VALUES {cuts}
+), measured AS (
+  SELECT rid, stratum, rule, {measure} AS m FROM based, (SELECT DISTINCT rule FROM cuts) WHERE NOT base_failed
+), held AS (
+  SELECT rid FROM based WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)
+), tests AS (
+  SELECT stratum, c.rule, c.cut, count(*) AS n, CAST(count_if(m > cut) AS BIGINT) AS k FROM measured JOIN held USING (rid) JOIN cuts c ON c.rule = measured.rule GROUP BY ALL
+), safe AS (
+  SELECT stratum, rule, min(cut) AS cut FROM tests
+  WHERE CASE WHEN k >= n * CAST({limit!r} AS DOUBLE) THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({limit!r}) + (n - j) * ln(1 - {limit!r})))) END
+    <= CAST({RISK!r} AS DOUBLE) / ((SELECT count(DISTINCT stratum) FROM tests) * {TESTS})
+  GROUP BY stratum, rule
+), refused AS (
+  SELECT rid, min({first.replace('CASE rule', 'CASE s.rule')}) AS k FROM measured JOIN safe s ON s.stratum = measured.stratum AND s.rule = measured.rule AND m > cut GROUP BY rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r.k IS NULL AS kept, ({names})[r.k + 1] AS rejected_by
+FROM based b LEFT JOIN refused r ON b.rid = r.rid
+"""
+
+
+SQL["op3_risk_controlled_rules"] = _rules_sql()
