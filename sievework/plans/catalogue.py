@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.functions.dialect import DUCKDB, SPARK, Spark
 from sievework.functions.rules import RULES, rule_sql
-from sievework.functions.tables import CO_LOCATED, DECLARED_BY_EXTENSION, HOST, LAYERS, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, URL
+from sievework.functions.tables import CO_LOCATED, DECLARED_BY_EXTENSION, HOST, LAYERS, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, SVG_ELEMENTS, URL
 from sievework.operators.cascade import cascade, comparators
 from sievework.operators.layers import data_uri, inspected, linkable, listed, namespace, near_misses, scheme, svg_root, view
 from sievework.plans import bytes_queries
@@ -203,6 +203,21 @@ STATEMENTS["join_anti_attrs"] = lambda d: f"SELECT attribute, count(*) AS uses F
 STATEMENTS["join_lookup_hosts"] = lambda d: "SELECT h.host, count(p.page_id) AS pages FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS host" for h in NAMESPACE_HOSTS) + f") AS h LEFT JOIN (SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages) AS p ON p.host = h.host GROUP BY h.host"
 
 
+# what reports list
+STATEMENTS["yara_describe"] = lambda d: f"SELECT id, {d.join(d.each('rules', 'r', 'CASE r ' + ' '.join(f'WHEN {r.number} THEN {chr(39)}{r.name} ({r.severity}){chr(39)}' for r in RULES) + ' END'), ' || ')} AS reason FROM {seen(d)}"
+STATEMENTS["yara_hits"] = lambda d: f"SELECT id, {d.div('(length(low) - length(replace(low, ' + chr(39) + '/j' + chr(39) + ', ' + chr(39) * 2 + ')))', '2')} AS hits FROM {both(d)} WHERE contains(low, '/j')"
+STATEMENTS["topk_strings"] = lambda d: f"SELECT id, rule_no, string, cast(place as bigint) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY place, string) AS k FROM ({_hits(d)}) AS h) AS q WHERE k <= 8"
+STATEMENTS["topk_pairs"] = lambda d: f"SELECT id, rule_no, group_a, group_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY distance, group_a, group_b) AS k FROM ({STATEMENTS['join_proximity'](d)}) AS p) AS q WHERE k <= 3"
+STATEMENTS["topk_attrs"] = lambda d: f"SELECT attribute, uses FROM (SELECT attribute, uses, row_number() OVER (ORDER BY uses DESC, attribute) AS k FROM ({STATEMENTS['join_anti_attrs'](d)}) AS a) AS q WHERE k <= 12"
+STATEMENTS["agg_removed_counts"] = lambda d: f"SELECT element, count(*) AS removed FROM (SELECT lower({d.rx_extract('hit', '<([A-Za-z]+)')}) AS element FROM (SELECT {d.unnest(d.rx_all('html', '<[A-Za-z]+'), 'hit')} FROM pages) AS h) AS e WHERE element NOT IN {listed([e.lower() for e in SVG_ELEMENTS])} GROUP BY element"
+STATEMENTS["fn_last_index_bytes"] = lambda d: f"SELECT page_id, CASE WHEN contains(html, '</p>') THEN cast(length(html) - {'instr' if d.name == 'spark' else 'strpos'}(reverse(html), '>p/<') + 1 as bigint) END AS end_at FROM pages"
+STATEMENTS["fn_riff_end"] = lambda d: f"SELECT id, cast(8 + ascii(substr(payload, 5, 1)) + 256 * ascii(substr(payload, 6, 1)) + 65536 * ascii(substr(payload, 7, 1)) as bigint) AS end_at FROM ({subs(d)}) AS s WHERE length(payload) >= 8 AND id % 13 IN (1, 2, 4, 5, 7)"
+STATEMENTS["src_list_files"] = lambda d: f"SELECT category, file_name AS stored_name, {octets(d)} AS size FROM {ended(d)} WHERE decision = 'accepted'"
+STATEMENTS["snk_json_response"] = lambda d: "SELECT id, '{\"id\":' || id || ',\"accepted\":' || CASE WHEN decision = 'accepted' THEN 'true' ELSE 'false' END || '}' AS response FROM " + ended(d)
+STATEMENTS["flt_demo_gate"] = lambda d: f"SELECT id, CASE WHEN id % 2 = 0 THEN stopped_at ELSE '' END AS trace, CASE WHEN id % 2 = 0 THEN 200 ELSE 404 END AS compare_status FROM {ended(d)}"
+STATEMENTS["corpus_run"] = lambda d: f"SELECT r.id, s.sha256, s.size_bytes, s.category, r.scanner, cast(r.accepted as int) AS accepted, r.reason_code, r.top_severity FROM ({_compared(d)}) AS r JOIN (SELECT id, category, {d.sha256('payload')} AS sha256, {octets(d)} AS size_bytes FROM ({subs(d)}) AS b) AS s ON r.id = s.id WHERE r.truth IS NOT NULL"
+
+
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = STATEMENTS[name](SPARK)
