@@ -36,18 +36,25 @@ class Scratch:
     """Written tables in the shared folder. They cut lineage and survive lost executors; drop() deletes them."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
+        self.names.discard(name)
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def retain(self, *names: str) -> None:
+        """Drops all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that further ones can't clash with an operator's own."""
