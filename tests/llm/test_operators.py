@@ -86,6 +86,21 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_among_near_misses(spark):
+    """600 texts of similarity 0.70 by one common passage, so that they share their buckets; of these, 60 have one partner of similarity 0.77."""
+    own = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(own.choice(list("abcdefghijklmnop"), 7)) for _ in range(n))
+    passage, texts = words(104), []
+    for k in range(600):
+        near = " ".join(texts[k - 300].split()[104:109]) if 300 <= k < 330 else words(5)
+        texts.append(f"{passage} {near} {words(12)}")
+    sets = [shingle_set(t) for t in texts]
+    links = {(a, b) for a in range(600) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links == {(k + 300, k) for k in range(30)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).where("not kept").collect()} == links
+
+
 def test_registers_estimate():
     a = textscan.stream64(1, 3000)
     x, y = np.sort(a[:2000]), np.sort(a[500:2500])
