@@ -101,6 +101,16 @@ def test_near_duplicates_among_near_misses(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).where("not kept").collect()} == links
 
 
+def test_runs_of_a_large_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SALT_ROWS", 4)
+    classes = spark.createDataFrame([(i, 50, 0, 0, bytes(2 * near_dedup.BANDS * near_dedup.ROWS)) for i in range(12)], "doc_id long, n_shingles long, low_a long, low_b long, registers binary")
+    pairs = near_dedup._neighbour_pairs(near_dedup._members(classes), spark.createDataFrame([], "node long, component long"), 0).collect()
+    seen = {0}
+    for _ in range(12):
+        seen |= {x for p in pairs if seen & set(p) for x in p}
+    assert seen == set(range(12))
+
+
 def test_registers_estimate():
     a = textscan.stream64(1, 3000)
     x, y = np.sort(a[:2000]), np.sort(a[500:2500])
