@@ -84,6 +84,8 @@ class Plan:
             longest = large[-1]
             n = self._left[longest]
             at = bisect_left(large, self.capacity - longest + 1) - 1
+            if n == 1 and at >= 0 and large[at] == longest:  # no second of its length: the next shorter
+                at -= 1
             other = large[at] if at >= 0 else 0
             pairs = min(n, self._left[other]) if other and other != longest else n // 2 if other else 0
             if pairs:

@@ -197,6 +197,12 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_plan_matches_single_lengths():
+    assert packing.Plan({690: 1, 700: 1}, 2048).sequences == 1
+    assert packing.Plan({k: 1 for k in range(683, 1025)}, 2048).sequences == 171
+    assert packing.Plan({690: 2, 700: 3, 800: 1}, 2048).sequences == 3
+
+
 def test_plan():
     sizes = RNG.integers(1, 101, 3000)
     histogram = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
