@@ -67,6 +67,13 @@ def test_published_metrics(spark):
     assert [round(got[c], 4) for c in ("recall", "precision", "accuracy", "f1", "specificity", "fpr")] == [0.9548, 0.9305, 0.9354, 0.9425, 0.9113, 0.0887]
 
 
+def test_riff_end(spark):
+    files = [(0, b"RIFF\x04\0\0\0WEBPxy", 12), (1, b"RIFF\x06\0\0\0WEBPxy", 14), (2, b"RIFF\x07\0\0\0WEBPxy", None), (3, b"RIFF\x03\0\0\0WEBPxy", None), (4, b"RIFF\x04\0\0\x01WEBPxy", None), (5, b"RIFF\x04\0\0\0", None), (6, b"", None), (7, b"RIFF\0\x01\0\0".ljust(300, b"."), 264)]
+    spark.createDataFrame([f[:2] for f in files], "id long, content binary").createOrReplaceTempView("riff_files")
+    assert {r["id"]: r["end_at"] for r in spark.sql(catalogue.riff_end("SELECT * FROM riff_files")).collect()} == {f[0]: f[2] for f in files}
+    assert catalogue.queries()["fn_riff_end"](spark, DATA).count() == catalogue.queries()["l1_extension"](spark, DATA).count()
+
+
 def pdf(*bodies):
     return b"%PDF-1.4\n" + b"".join(b"stream\r\n" + b + b"\nendstream\n" for b in bodies)
 
