@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -19,24 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, about; a longer row stands alone.
+ARROW_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session. Only where that is unset (tests on one machine), a temporary folder of our own."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        try:
-            where = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # no such setting in this session
-            where = None
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session. Only where that is unset and all runs on one machine (tests), a temporary folder of our own."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "sievework-checkpoints")
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold at most ARROW_BYTES, so that neither side of a Python stage holds more, however long the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 class Scratch:
-    """Written tables in the shared folder. They cut lineage and survive lost executors; drop() deletes them."""
+    """Written tables in the shared folder. They cut lineage and survive lost executors; drop() deletes them, and what is left goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root, self.names = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", set()
+        bounded_batches(spark)
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        if self.names and self.spark.sparkContext._jsc is not None:
+            self.drop()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -46,7 +59,7 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
-        self.names.discard(name)
+        self.names = self.names - {name} if name else set()
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -27,12 +27,7 @@ NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id: below all ids
 
 def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all lines: start, end, text, whether the key is long enough; and of these keys both hashes."""
-    breaks = np.flatnonzero(data == 10)
-    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
-    ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
-    # a text that ends with a break has an empty last line, whose start is the next text's start too; both sorts keep pairs in order
-    per = np.diff(np.searchsorted(breaks, offsets)) + 1
-    doc = np.repeat(np.arange(len(per)), per)
+    starts, ends, doc = textscan.lines(data, offsets)
     lower = textscan.LOWER[data]
     word_starts, word_ends, _ = textscan.words(lower, offsets)
     if not len(word_starts):
@@ -40,7 +35,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return starts, ends, doc, np.zeros(len(starts), bool), none, none
     first = word_starts[np.minimum(np.searchsorted(word_starts, starts), len(word_starts) - 1)]
     last = word_ends[np.maximum(np.searchsorted(word_ends, ends, side="right") - 1, 0)]
-    points = np.zeros(len(data) + 1, dtype=np.int64)
+    points = np.zeros(len(data) + 1, dtype=np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     long = (first >= starts) & (first < ends) & (last > first)
     long[long] = points[last[long]] - points[first[long]] >= MIN_POINTS

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_STEP = 1 << 20  # bytes hashed at a time
+_STEP = 1 << 18  # bytes hashed at a time
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `most` bytes (a longer text stands alone): first row, row after the last, bytes, offsets."""
     data, offsets = buffers(column)
     at, n = 0, len(offsets) - 1
@@ -91,10 +91,10 @@ def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WS_BYTES) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by polynomial 0 or 1. Spans are in order and don't overlap."""
+def hash_heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...], which: int = 0) -> np.ndarray:
+    """64-bit hashes by polynomial 0 or 1, [1 + sizes, spans]: of each span of bytes, and of its first n bytes for each n of sizes (the span itself if it is shorter). Spans are in order and don't overlap."""
     values, r, inverse = _POLYNOMIALS[which]
-    out = np.empty(len(starts), dtype=U64)
+    out = np.empty((1 + len(sizes), len(starts)), dtype=U64)
     at = 0
     while at < len(starts):
         low = int(starts[at])
@@ -103,11 +103,36 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
         p = np.zeros(high - low + 1, dtype=U64)
         np.cumsum(values[data[low:high]] * _power(r, high - low)[: high - low], out=p[1:])
         s, e = starts[at:end] - low, ends[at:end] - low
-        out[at:end] = (p[e] - p[s]) * _power(inverse, high - low)[s] + (e - s).astype(U64) * U64(0x9E3779B97F4A7C15)
+        base, scale = p[s], _power(inverse, high - low)[s]
+        for k, stop in enumerate((e, *(np.minimum(e, s + n) for n in sizes))):
+            out[k, at:end] = (p[stop] - base) * scale + (stop - s).astype(U64) * U64(0x9E3779B97F4A7C15)
         at = end
     return mix64(out)
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
+    return hash_heads(data, starts, ends, (), which)[0]
+
+
+def distinct(owner: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """How many different hashes each of fewer than 2^20 rows has, by their upper 44 bits."""
+    key = np.sort(owner.astype(U64) << U64(44) | hashes >> U64(20))
+    fresh = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    return np.bincount((key[fresh] >> U64(44)).astype(np.int64), minlength=rows)
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of all lines; a text without a break is one line."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+    ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
+    # a text that ends with a break has an empty last line, whose start is the next text's start too; both sorts keep pairs in order
+    per = np.diff(np.searchsorted(breaks, offsets)) + 1
+    return starts, ends, np.repeat(np.arange(len(per)), per)
+
+
 def shingles(word_hash: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct shingles of `width` words, sorted, and offsets. A text with fewer words has them all as its one shingle; one without words has none."""
     n = len(first) - 1

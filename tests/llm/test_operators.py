@@ -101,14 +101,11 @@ def test_near_duplicates_among_near_misses(spark):
     assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).where("not kept").collect()} == links
 
 
-def test_runs_of_a_large_bucket_meet(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SALT_ROWS", 4)
-    classes = spark.createDataFrame([(i, 50, 0, 0, bytes(2 * near_dedup.BANDS * near_dedup.ROWS)) for i in range(12)], "doc_id long, n_shingles long, low_a long, low_b long, registers binary")
-    pairs = near_dedup._neighbour_pairs(near_dedup._members(classes), spark.createDataFrame([], "node long, component long"), 0).collect()
-    seen = {0}
-    for _ in range(12):
-        seen |= {x for p in pairs if seen & set(p) for x in p}
-    assert seen == set(range(12))
+def test_texts_of_one_id_go_together(spark):
+    rows = [(3, prose(40)), (7, prose(40)), (9, prose(3)), (9, prose(50)), (7, None)]
+    rows += [(7, rows[0][1]), (11, rows[3][1] + " more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == [(3, 36, 3, True), (7, 0, 7, True), (7, 36, 3, False), (7, 36, 3, False), (9, 1, 9, True), (9, 46, 9, True), (11, 47, 9, False)]
 
 
 def test_registers_estimate():
