@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote on two questions, whether a document is junk and whether it is toxic. Besides measures of shape and a list of insults, two labellers go by words and word beginnings that are far more frequent in labelled toxic documents than in others, each learnt from one half of FIT_ROWS labelled documents. Where the labels table says something, that is one more vote. The votes of all documents are counted by pattern, so what expectation-maximisation sees is at most three to the number of labellers counts, whatever the corpus. It estimates each labeller's rates of calling bad what is bad and what is good, without taking any of them for the truth, and gives each pattern its posterior. On FIT_ROWS documents, the least by hash of their id, the posteriors train a logistic scorer over hashed words, word beginnings and binned shape measures; that scorer judges every document."""
+Heuristic labellers vote on two questions, whether a document is junk and whether it is toxic. Those of junk are measures of shape. Those of toxicity are learnt, each from one part of FIT_ROWS labelled documents: they count words that, or whose beginnings, are far more frequent in toxic documents than in others; no word list is built in. Where the labels table says something, that is one more vote. One pass over the corpus gives each document its votes and its features. The votes of all documents are counted by pattern, so what expectation-maximisation sees is at most three to the number of labellers counts, whatever the corpus. It estimates each labeller's rates of calling bad what is bad and what is good, without taking any of them for the truth, and gives each pattern its posterior. On FIT_ROWS documents, the least by hash of their id, the posteriors train a logistic scorer over hashed words, word beginnings and binned shape measures; that scorer judges every document from the features that the pass has written."""
 
 from __future__ import annotations
 
@@ -15,15 +15,13 @@ from sievework.llm import textscan
 from sievework.llm.common import Scratch, columns, with_ids
 
 FIT_ROWS = 10_000  # the bound of what the scorer is fitted on, and of the labelled documents that word lists are learnt from
-BITS = 22  # of hashed features
+BITS = 22  # of hashed features; the lowest is 1 for word beginnings
 LEAST_DOCS = 12  # documents of the fit that have a feature, else it has no weight
 THRESHOLD = 0.5
-#: Two halves of a list of insults; a toxic text tends to have words of both.
-INSULTS = ("clown", "dumb", "fool", "idiot", "imbecile", "loser", "moron", "stupid"), ("disgusting", "filth", "garbage", "pathetic", "scum", "trash", "vermin", "worthless")
 JUNK = ["symbols", "dup_lines", "repeats", "distinct", "word_length"]
-TOXIC = ["insults_1", "insults_2", "learnt_1", "learnt_2"]
+TOXIC = ["learnt_1", "learnt_2", "learnt_3"]
 STEMS = (4, 5, 6, 7)  # bytes of word beginnings
-LEARNT_DOCS, LEARNT_LIFT = 8, 10  # a learnt word is in so many toxic documents of its half, and so many times as frequent in them
+LEARNT_DOCS, LEARNT_LIFT = 6, 10  # a learnt word is in so many toxic documents of its part, and so many times as frequent in them
 GOOD, BAD, NONE = 0, 1, 2
 
 _APART = np.ones(256, dtype=bool)
@@ -32,52 +30,52 @@ _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _hash_words(words: tuple[str, ...]) -> np.ndarray:
-    data, offsets = textscan.buffers(pa.array(words))
-    return textscan.hash_spans(data, offsets[:-1], offsets[1:])
+def _running(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x) + 1, dtype=np.int32)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
-def measures(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
-    """Runs of rows: first row, row after the last, shape measures [rows, 8], distinct hashes of each one's words and word beginnings."""
-    insults = [_hash_words(x) for x in INSULTS]
-    for low, high, data, offsets in textscan.slices(texts, 4 << 20):
-        lower = textscan.LOWER[data]
+def measures(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows: first row, row after the last, shape measures [rows, 6], the row of each word, and hashed features [1 + STEMS, words] of the word and its beginnings, -1 where it is no longer than that."""
+    for low, high, data, offsets in textscan.slices(texts):
+        rows, lower = high - low, textscan.LOWER[data]
         starts, ends, first = textscan.words(lower, offsets)
-        hashes = textscan.hash_spans(lower, starts, ends)
-        _, sets = textscan.shingles(hashes, first, 5)
-        n_windows = np.maximum(np.diff(first) - 4, 1)
-        bytes_in = np.r_[0, np.cumsum(ends - starts)]
-        points = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-        symbols = np.r_[0, np.cumsum(_SYMBOLS[data])]
-        bare_starts, bare_ends, bare_first = textscan.words(lower, offsets, _APART)
-        bare = textscan.hash_spans(lower, bare_starts, bare_ends)
-        parts = [(bare, bare_first)]
-        for n in STEMS:
-            longer = np.flatnonzero(bare_ends - bare_starts > n)
-            parts.append((textscan.mix64(textscan.hash_spans(lower, bare_starts[longer], bare_starts[longer] + n) + np.uint64(n)), np.searchsorted(longer, bare_first)))
-        hits = [np.r_[0, np.cumsum(np.isin(bare, x))] for x in insults]
-        out, words = np.zeros((high - low, 8)), []
-        for d in range(high - low):
-            a, b = first[d], first[d + 1]
-            n = max(1, b - a)
-            lines = [x for x in data[offsets[d] : offsets[d + 1]].tobytes().split(b"\n") if x.strip()]
-            letters = points[offsets[d + 1]] - points[offsets[d]] if bytes_in[b] == bytes_in[a] else (points[ends[b - 1]] - points[starts[a]]) * (bytes_in[b] - bytes_in[a]) / (ends[b - 1] - starts[a])
-            out[d] = (
-                b - a,
-                (symbols[offsets[d + 1]] - symbols[offsets[d]]) / n,
-                1 - len(set(lines)) / max(1, len(lines)),
-                1 - (sets[d + 1] - sets[d]) / n_windows[d] if b - a >= 10 else 0,
-                len(np.unique(hashes[a:b])) / n,
-                letters / n,
-                *(h[bare_first[d + 1]] - h[bare_first[d]] for h in hits),
-            )
-            words.append(np.unique(np.concatenate([h[at[d] : at[d + 1]] for h, at in parts])))
-        yield low, high, out, words
-
-
-def votes(shape: np.ndarray, learnt: list[np.ndarray]) -> np.ndarray:
-    """[rows, labellers of JUNK and TOXIC] of GOOD, BAD or NONE. learnt: how many learnt words each row has, by list."""
-    n, symbols, dup, repeats, distinct, length, one, two = shape.T
+        hashes, per = textscan.hash_spans(lower, starts, ends), np.diff(first)
+        own, n = np.repeat(np.arange(rows), per), np.maximum(1, per)
+        windows = np.zeros(max(0, len(hashes) - 4), dtype=np.uint64)
+        for j, factor in enumerate(textscan.stream64(23, 5)):
+            windows += hashes[j : j + len(windows)] * factor
+        inside = np.flatnonzero(own[: len(windows)] == own[4:]) if len(windows) else np.zeros(0, np.int64)
+        line_starts, line_ends, line_doc = textscan.lines(data, offsets)
+        said = np.flatnonzero(np.searchsorted(starts, line_starts) < np.searchsorted(starts, line_ends))
+        n_lines = np.bincount(line_doc[said], minlength=rows)
+        points, symbols = _running((data & 0xC0) != 0x80), _running(_SYMBOLS[data])
+        letters = _running(points[ends] - points[starts])
+        shape = np.stack(
+            [
+                per,
+                np.diff(symbols[offsets]) / n,
+                1 - textscan.distinct(line_doc[said], textscan.hash_spans(data, line_starts[said], line_ends[said]), rows) / np.maximum(1, n_lines),
+                np.where(per >= 10, 1 - textscan.distinct(own[inside], textscan.mix64(windows[inside]), rows) / np.maximum(1, per - 4), 0),
+                textscan.distinct(own, hashes, rows) / n,
+                np.diff(letters[first]) / n,
+            ],
+            axis=1,
+        )
+        shape[n_lines == 0, 2] = 0
+        starts, ends, first = textscan.words(lower, offsets, _APART)
+        heads = textscan.hash_heads(lower, starts, ends, STEMS)
+        features = np.empty(heads.shape, dtype=np.int32)
+        features[0] = (heads[0] >> np.uint64(64 - BITS)).astype(np.int32) & ~1
+        for k, n in enumerate(STEMS, 1):
+            features[k] = np.where(ends - starts > n, (textscan.mix64(heads[k] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int32) | 1, -1)
+        yield low, high, shape, np.repeat(np.arange(rows), np.diff(first)), features
+
+
+def votes(shape: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    """[rows, labellers of JUNK and TOXIC] of GOOD, BAD or NONE. learnt: [rows, TOXIC] how many learnt words each row has; NaN abstains."""
+    n, symbols, dup, repeats, distinct, length = shape.T
     ask = lambda bad, good: np.where(bad, BAD, np.where(good, GOOD, NONE))
     enough = n >= 10
     return np.stack(
@@ -87,50 +85,95 @@ def votes(shape: np.ndarray, learnt: list[np.ndarray]) -> np.ndarray:
             ask((repeats > 0.15) & enough, repeats < 0.02),
             ask((distinct < 0.45) & enough, distinct > 0.6),
             ask(((length > 6.5) | (length < 3.5)) & enough, (length > 4.2) & (length < 6)),
-            ask(one > 0, one == 0),
-            ask(two > 0, two == 0),
-            *(ask(x > 1, x == 0) for x in learnt),
+            *(ask(x > 1, x == 0) for x in learnt.T),
         ],
         axis=1,
     )
 
 
-_EDGES = [(1, (0.01, 0.05, 0.1, 0.3, 0.6, 1.0)), (2, (0.1, 0.2, 0.3, 0.5)), (3, (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)), (4, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)), (5, (3.5, 4.2, 5.5, 6.0, 6.5, 7.5)), (6, (1, 2, 4)), (7, (1, 2, 4)), (8, (1, 2, 3, 5)), (9, (1, 2, 3, 5))]
+#: By place among the measures, the learnt counts after them and their mean share of the words, the edges of bins.
+_EDGES = [
+    (1, (0.01, 0.05, 0.1, 0.3, 0.6, 1.0)), (2, (0.1, 0.2, 0.3, 0.5)), (3, (0.02, 0.05, 0.1, 0.2, 0.4, 0.7)), (4, (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)), (5, (3.5, 4.2, 5.5, 6.0, 6.5, 7.5)),
+    (6, (1, 2, 3, 5)), (7, (1, 2, 3, 5)), (8, (1, 2, 3, 5)), (9, (0.0005, 0.002, 0.005, 0.01, 0.03)),
+]
 
 
-def learnt_counts(words: list[np.ndarray], lists: list[np.ndarray]) -> np.ndarray:
-    """[rows, lists] how many of a list's features each row has."""
-    own = [(w >> np.uint64(64 - BITS)).astype(np.int32) for w in words]
-    return np.array([[np.isin(x, known).sum() if len(known) else 0 for known in lists] for x in own], dtype=np.float64).reshape(len(own), len(lists))
+_BASES = np.cumsum([0, *(len(edges) + 1 for _, edges in _EDGES)])
 
 
-def features(shape: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashed features of a document: its words and word beginnings, and the bins of its measures and counts."""
-    bins = [k * 100 + int(np.searchsorted(edges, shape[k], side="right")) for k, edges in _EDGES if shape[0] >= 10 or k > 5]
-    own = textscan.mix64(np.array(bins, dtype=np.uint64) + np.uint64(1 << 40))
-    return np.unique(np.concatenate([words, own]) >> np.uint64(64 - BITS)).astype(np.int32)
+def bins(shape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and numbers of the bins of measures and learnt counts; those of shape only for ten words or more."""
+    owners, numbers = [], []
+    for base, (k, edges) in zip(_BASES, _EDGES, strict=False):
+        rows = np.arange(len(shape)) if k > 5 else np.flatnonzero(shape[:, 0] >= 10)
+        owners.append(rows)
+        numbers.append(base + np.searchsorted(edges, shape[rows, k], side="right"))
+    return np.concatenate(owners), np.concatenate(numbers).astype(np.int32)
 
 
-def _cast(batches: Iterator[pa.RecordBatch], lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    powers = 3 ** np.arange(len(JUNK) + len(TOXIC))
+def learnt_counts(owners: np.ndarray, features: np.ndarray, rows: int, lists: list[np.ndarray]) -> np.ndarray:
+    """[rows, TOXIC] how many different words with a learnt feature each row has."""
+    out = np.empty((rows, len(TOXIC)))
+    for k, known in enumerate(lists):
+        here = np.zeros((1 << BITS) + 1, dtype=bool)  # the last is that of -1
+        here[known] = True
+        at = np.flatnonzero(here[features].any(0))
+        out[:, k] = np.bincount(np.unique(owners[at] << BITS | features[0, at]) >> BITS, minlength=rows)
+    return out
+
+
+def _rows(owners: np.ndarray, features: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct features of each row, and offsets. Negative ones are none."""
+    pairs = np.unique((owners << BITS | features)[features >= 0])
+    return (pairs & (1 << BITS) - 1).astype(np.int32), np.searchsorted(pairs >> BITS, np.arange(rows + 1))
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, part, toxic, chosen) to (part, toxic, chosen, features)."""
     for batch in batches:
-        for low, high, shape, words in measures(batch.column(1)):
-            learnt = [x if len(known) else np.ones(len(x)) for x, known in zip(learnt_counts(words, lists).T, lists, strict=True)]  # an empty list abstains
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array((votes(shape, learnt) * powers).sum(1), pa.int32())], names=["doc_id", "pattern"])
+        for low, high, _, owners, features in measures(batch.column(1)):
+            own = _rows(np.tile(owners, len(features)), features.reshape(-1), high - low)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (2, 3, 4)), textscan.binaries(*own)], names=["part", "toxic", "chosen", "features"])
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(half, toxic, features) of one half's labelled documents to the features that tell toxic ones."""
-    found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    """(part, toxic, chosen, features) to the features that tell toxic documents, by part, and those that enough chosen documents have."""
+    parts = len(TOXIC)
+    counts, docs, df = np.zeros((parts, 2, 1 << BITS), dtype=np.int32), np.zeros((parts, 2)), np.zeros(1 << BITS, dtype=np.int32)
     for batch in batches:
-        for toxic, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            found[toxic >= 1].append(np.frombuffer(x.as_py(), np.int32))
-    counts = {k: np.unique(np.concatenate([*v, np.zeros(0, np.int32)]), return_counts=True) for k, v in found.items()}
-    words, toxic = counts[True]
-    at = np.minimum(np.searchsorted(counts[False][0], words), max(0, len(counts[False][0]) - 1))
-    clean = np.where(counts[False][0][at] == words, counts[False][1][at], 0) if len(counts[False][0]) else np.zeros(len(words))
-    lift = ((toxic + 0.5) / (len(found[True]) + 1)) / ((clean + 0.5) / (len(found[False]) + 1))
-    yield pa.RecordBatch.from_arrays([pa.array([words[(toxic >= LEARNT_DOCS) & (lift >= LEARNT_LIFT)].tobytes()])], names=["words"])
+        for part, toxic, chosen, x in zip(*(batch.column(k) for k in range(4)), strict=True):
+            own, part, toxic = np.frombuffer(x.as_buffer(), np.int32), part.as_py(), toxic.as_py()
+            if toxic is not None:
+                counts[part, int(toxic >= 1), own] += 1
+                docs[part, int(toxic >= 1)] += 1
+            if chosen.as_py():
+                df[own] += 1
+    lists = []
+    for k in range(parts):
+        enough = np.flatnonzero(counts[k, 1] >= LEARNT_DOCS)
+        bad, good = ((counts[k, y, enough] + 0.5) / (docs[k, y] + 1) for y in (1, 0))
+        lists.append(enough[bad >= LEARNT_LIFT * good])
+    found = [*lists, np.flatnonzero(df >= LEAST_DOCS)]
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(found).astype(np.int32).tobytes()], pa.binary()), pa.array([[len(x) for x in found]])], names=["learnt", "sizes"])
+
+
+def _cast(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, pattern of votes, features): the bins, and after them the places of its known features."""
+    *lists, known = sent.value
+    place = np.full((1 << BITS) + 1, -1, dtype=np.int32)  # the last is that of -1
+    place[known] = _BASES[-1] + np.arange(len(known))
+    for batch in batches:
+        for low, high, shape, owners, features in measures(batch.column(1)):
+            rows = high - low
+            learnt = learnt_counts(owners, features, rows, lists)
+            says = learnt.copy()
+            for k, x in enumerate(lists):
+                if not len(x):
+                    says[:, k] = np.nan  # an empty list abstains
+            bin_owners, numbers = bins(np.c_[shape, learnt, learnt.mean(1) / np.maximum(1, shape[:, 0])])
+            own = _rows(np.r_[np.tile(owners, len(features)), bin_owners], np.r_[place[features].reshape(-1), numbers], rows)
+            pattern = (votes(shape, says) * 3 ** np.arange(len(JUNK) + len(TOXIC))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(pattern, pa.int32()), textscan.binaries(*own)], names=["doc_id", "pattern", "features"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, gold: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -152,12 +195,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, gold: int, rounds: int =
     return posterior, rates, float(prior)
 
 
-def fit(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 12, rate: float = 0.3, decay: float = 3e-5, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic scorers of probabilities targets [rows, questions] by AdaGrad: the features that have a weight, and weights [features + 1, questions]; the last is the bias."""
-    found, df = np.unique(np.concatenate([*rows, np.zeros(0, np.int32)]), return_counts=True)
-    known = found[df >= LEAST_DOCS]
-    rows = [np.searchsorted(known, r[np.isin(r, known, assume_unique=True)]).astype(np.int32) for r in rows]
-    w, g = np.zeros((len(known) + 1, targets.shape[1])), np.full((len(known) + 1, targets.shape[1]), 1e-2)
+def fit(rows: list[np.ndarray], targets: np.ndarray, size: int, epochs: int = 12, rate: float = 0.3, decay: float = 3e-5, seed: int = 5) -> np.ndarray:
+    """Logistic scorers of probabilities targets [rows, questions] over `size` features, by AdaGrad: weights [size + 1, questions]; the last is the bias."""
+    w, g = np.zeros((size + 1, targets.shape[1])), np.full((size + 1, targets.shape[1]), 1e-2)
     if len(rows):
         base = np.clip(targets.mean(0), 1e-3, 1 - 1e-3)
         w[-1] = np.log(base / (1 - base))
@@ -166,80 +206,82 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, epochs: int = 12, rate: flo
         for batch in np.array_split(order.permutation(len(rows)), max(1, len(rows) // 64)):
             if not len(batch):
                 continue
-            flat = np.concatenate([np.r_[rows[i], len(known)] for i in batch])
+            flat = np.concatenate([np.r_[rows[i], size] for i in batch])
             owner = np.repeat(np.arange(len(batch)), [len(rows[i]) + 1 for i in batch])
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            error = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[flat], first), -30, 30))) - targets[batch]
+            error = score(flat, owner, w, len(batch)) - targets[batch]
             at, where = np.unique(flat, return_inverse=True)
             grad = np.stack([np.bincount(where, weights=error[owner, q], minlength=len(at)) for q in range(error.shape[1])], axis=1) / len(batch)
             grad[:-1] += decay * w[at[:-1]]
             g[at] += grad**2
             w[at] -= rate * grad / np.sqrt(g[at])
-    return known, w
+    return w
 
 
-def _gather(batches: Iterator[pa.RecordBatch], lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high, shape, words in measures(batch.column(1)):
-            n, shape = high - low, np.c_[shape, learnt_counts(words, lists)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, n) for k in (2, 3)), pa.array([features(s, w).tobytes() for s, w in zip(shape, words, strict=True)], pa.binary())], names=["junk", "toxic", "features"])
+def score(flat: np.ndarray, owner: np.ndarray, w: np.ndarray, rows: int) -> np.ndarray:
+    """[rows, questions] probabilities of rows by their features."""
+    odds = np.stack([np.bincount(owner, weights=w[flat, q], minlength=rows) for q in range(w.shape[1])], axis=1)
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(features, junk, toxic) to the weights."""
     rows, targets = [], []
     for batch in batches:
-        rows += [np.frombuffer(x.as_py(), np.int32) for x in batch.column(2)]
-        targets.append(np.stack([batch.column(k).to_numpy() for k in (0, 1)], axis=1))
-    known, w = fit(rows, np.concatenate(targets) if targets else np.zeros((0, 2)))
-    yield pa.RecordBatch.from_arrays([pa.array([known.astype(np.int32).tobytes()]), pa.array([w.tobytes()])], names=["known", "weights"])
-
-
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS) -> tuple[bytes, bytes, list[np.ndarray]]:
-    """The scorer's features and weights, and the learnt word lists. labels: (doc_id, quality 0/1, toxic 0/1); of several rows of a document the worst counts, nulls are no vote."""
-    own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gold = columns(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).alias("gold_junk"), F.max("toxic").alias("gold_toxic")).where("doc_id is not null")
-    sample = scratch.save(gold.where("gold_toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "labelled")
-    sample = with_ids(own, sample.select("doc_id")).join(sample, "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("double").alias("half"), F.col("gold_toxic").cast("double").alias("toxic"), "doc_id", "text")
-    sample = scratch.save(sample.select("doc_id", "text", "half", "toxic").mapInArrow(lambda batches: _gather(batches, [np.zeros(0, np.int32)] * 2), "junk double, toxic double, features binary"), "learnt")
-    lists = [np.frombuffer(sample.where(F.col("junk") == half).repartition(1).mapInArrow(_learn, "words binary").first()[0], np.int32) for half in (0, 1)]
-    cast = own.mapInArrow(lambda batches: _cast(batches, lists), "doc_id long, pattern int").join(gold, "doc_id", "left")
-    cast = scratch.save(cast.select("doc_id", "pattern", F.coalesce(F.col("gold_junk").cast("int"), F.lit(NONE)).alias("gold_junk"), F.coalesce(F.col("gold_toxic").cast("int"), F.lit(NONE)).alias("gold_toxic")), "votes")
-    counted = cast.groupBy("pattern", "gold_junk", "gold_toxic").count().collect()  # at most 3 ** 11 patterns
-    digits = np.array([[r[0] // 3**k % 3 for k in range(len(JUNK) + len(TOXIC))] for r in counted], dtype=np.int64).reshape(-1, len(JUNK) + len(TOXIC))
-    count = np.array([r[3] for r in counted], dtype=np.float64)
-    posterior = []
-    for part, k in ((digits[:, : len(JUNK)], 1), (digits[:, len(JUNK) :], 2)):
-        part = np.concatenate([part, np.array([[r[k]] for r in counted], dtype=np.int64).reshape(-1, 1)], axis=1)
-        posterior.append(estimate(part, count, part.shape[1] - 1)[0])
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r[0], r[1], r[2], float(a), float(b)) for r, a, b in zip(counted, *posterior, strict=True)], "pattern int, gold_junk int, gold_toxic int, junk double, toxic double")
-    chosen = scratch.save(cast.where("doc_id is not null").join(table, ["pattern", "gold_junk", "gold_toxic"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "junk", "toxic").dropDuplicates(["doc_id"]), "chosen")
-    sample = scratch.save(with_ids(own, chosen.select("doc_id")).join(chosen, "doc_id").select("doc_id", "text", "junk", "toxic").mapInArrow(lambda batches: _gather(batches, lists), "junk double, toxic double, features binary"), "sample")
-    model = sample.repartition(1).mapInArrow(_fit, "known binary, weights binary").first()
-    scratch.drop()
-    return bytes(model[0]), bytes(model[1]), lists
+        rows += [np.frombuffer(x.as_buffer(), np.int32).copy() for x in batch.column(0)]
+        targets.append(np.stack([batch.column(k).to_numpy() for k in (1, 2)], axis=1))
+    w = fit(rows, np.concatenate(targets) if targets else np.zeros((0, 2)), size)
+    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()])], names=["weights"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    known, w = np.frombuffer(sent.value[0], np.int32), np.frombuffer(sent.value[1], np.float64).reshape(-1, 2)
+    """(doc_id, features) to (doc_id, junk, toxic)."""
+    w = np.frombuffer(sent.value, np.float64).reshape(-1, 2)
     for batch in batches:
-        for low, high, shape, words in measures(batch.column(1)):
-            out, shape = np.empty((high - low, 2)), np.c_[shape, learnt_counts(words, sent.value[2])]
-            for d, (s, x) in enumerate(zip(shape, words, strict=True)):
-                f = features(s, x)
-                at = np.searchsorted(known, f)
-                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == f)] if len(known) else at[:0]
-                out[d] = 1 / (1 + np.exp(-np.clip(w[at].sum(0) + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "junk", "toxic"])
+        rows = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1)]
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        flat = np.concatenate([*rows, np.full(len(rows), len(w) - 1, dtype=np.int32)])
+        out = score(flat, np.r_[owner, np.arange(len(rows))], w, len(rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "junk", "toxic"])
+
+
+def posteriors(counted: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    """Of counts (pattern, gold_junk, gold_toxic, documents), each one's posteriors of junk and of toxic."""
+    labellers = len(JUNK) + len(TOXIC)
+    digits = np.array([[r[0] // 3**k % 3 for k in range(labellers)] + [r[1], r[2]] for r in counted], dtype=np.int64).reshape(-1, labellers + 2)
+    count = np.array([r[3] for r in counted], dtype=np.float64)
+    own = [*range(len(JUNK)), labellers], [*range(len(JUNK), labellers), labellers + 1]
+    return [estimate(digits[:, k], count, len(k) - 1)[0] for k in own]
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, junk and toxic (the scorer's probabilities), kept (both below THRESHOLD).
+    """One row per row of docs (doc_id, text; further columns are ignored, whatever their names): doc_id, junk and toxic (the scorer's probabilities), kept (both below THRESHOLD).
 
-    A null or empty text has no words and is scored by the bias alone. Repeated rows and null ids are scored like any other; null ids aren't fitted on. Without labels the heuristics alone estimate. No rows give no rows."""
+    labels: (doc_id, quality 0/1, toxic 0/1); of several rows of a document the worst counts, nulls are no vote, and so are rows without doc_id. A null or empty text has no words and is scored by its empty counts and the bias. Texts of any length are measured whole, one at a time beyond a megabyte. Repeated rows and null ids are scored like any other; null ids aren't fitted on, and of rows with one doc_id one is. Ties of hashes go by doc_id. The fit takes fit_rows documents, with or without a label, whose targets are the posteriors of their votes. Without labels the heuristics of shape alone estimate. No rows give no rows."""
     spark = docs.sparkSession
-    model = train(docs, labels, scratch or Scratch(spark, "classifier"), fit_rows)
-    sent = spark.sparkContext.broadcast(model)  # at most fit_rows * words of features that LEAST_DOCS documents share
+    scratch = scratch or Scratch(spark, "classifier")
     own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = own.mapInArrow(lambda batches: _score(batches, sent), "doc_id long, junk double, toxic double")
+    gold = columns(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    gold = scratch.save(gold.agg((1 - F.min("quality")).cast("int").alias("gold_junk"), F.max("toxic").cast("int").alias("gold_toxic")).where("doc_id is not null"), "gold")
+    least = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    labelled = least(gold.where("gold_toxic is not null").select("doc_id", F.col("gold_toxic").alias("toxic")))
+    chosen = scratch.save(least(own.where("doc_id is not null").select("doc_id")).distinct(), "chosen")
+    few = scratch.save(labelled.join(chosen.withColumn("chosen", F.lit(True)), "doc_id", "full"), "few")  # twice fit_rows at most
+    sample = own.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    sample = sample.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(len(TOXIC))).cast("int").alias("part"), "toxic", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    sample = scratch.save(sample.mapInArrow(_gather, "part int, toxic int, chosen boolean, features binary"), "sample")
+    learnt = sample.repartition(1).mapInArrow(_learn, "learnt binary, sizes array<long>").first() or (b"", [0] * (len(TOXIC) + 1))
+    learnt = np.split(np.frombuffer(bytes(learnt[0]), np.int32), np.cumsum(learnt[1])[:-1])
+    sent = spark.sparkContext.broadcast(learnt)  # features that LEAST_DOCS of the chosen or LEARNT_DOCS of the labelled documents share
+    cast = scratch.save(own.mapInArrow(lambda batches: _cast(batches, sent), "doc_id long, pattern int, features binary"), "cast")
+    silent = lambda c: F.coalesce(c, F.lit(NONE)).alias(c)
+    votes_of = lambda df: df.join(gold, "doc_id", "left").withColumns({c: silent(c) for c in ("gold_junk", "gold_toxic")})
+    counted = [tuple(r) for r in votes_of(cast.select("doc_id", "pattern")).groupBy("pattern", "gold_junk", "gold_toxic").count().collect()]  # at most 3 ** 11 patterns
+    table = [(*r[:3], float(a), float(b)) for r, a, b in zip(counted, *posteriors(counted), strict=True)]
+    table = spark.createDataFrame(table, "pattern int, gold_junk int, gold_toxic int, junk double, toxic double")
+    fitted = votes_of(with_ids(cast, chosen).dropDuplicates(["doc_id"])).join(F.broadcast(table), ["pattern", "gold_junk", "gold_toxic"])
+    size = int(_BASES[-1]) + len(learnt[-1])
+    model = scratch.save(fitted.select("features", "junk", "toxic", "doc_id").repartition(1).sortWithinPartitions("doc_id").mapInArrow(lambda batches: _fit(batches, size), "weights binary"), "model").first()
+    weights = spark.sparkContext.broadcast(bytes(model[0]) if model else np.zeros((size + 1, 2)).tobytes())  # no rows, no weights
+    scratch.retain("cast")
+    scored = cast.select("doc_id", "features").mapInArrow(lambda batches: _score(batches, weights), "doc_id long, junk double, toxic double")
     return scored.withColumn("kept", (F.col("junk") < THRESHOLD) & (F.col("toxic") < THRESHOLD))
