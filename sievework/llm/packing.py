@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.llm import tokens
-from sievework.llm.common import Scratch, columns
+from sievework.llm.common import Scratch, columns, with_small
 
 CAPACITY, END = 2048, 0
+BROADCAST_COUNTS = 500_000  # counts by length and block that are broadcast, 24 bytes each; more are merged by shuffle
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -133,16 +134,16 @@ class Plan:
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset; with_ids adds `ids`, little-endian unsigned 32-bit.
 
-    Only documents of more than `capacity` ids (the end id counts) are cut; all pieces but the first are of full length. A null or empty text has the end id alone. Repeated rows, and rows with a null doc_id, are packed one by one. Pieces of equal length rank by block, doc_id and piece. No rows give no rows. Sequence numbers start at 0; each sequence is filled from offset 0 without gaps."""
+    Ids are the library's by default, so that the string of a special token in a text is that token. Further columns are ignored, whatever their names. Texts of any length are encoded whole. Only documents of more than `capacity` ids (the end id counts) are cut; all pieces but the first are of full length. A null or empty text has the end id alone. Repeated rows, and rows with a null doc_id, are packed one by one. Pieces of equal length rank by block, doc_id and piece. No rows give no rows. Sequence numbers start at 0; each sequence is filled from offset 0 without gaps."""
     scratch = scratch or Scratch(docs.sparkSession, "pack")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, block int" + ", ids binary" * with_ids
     own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = scratch.save(own.mapInArrow(lambda batches: _pieces(batches, path, capacity, with_ids), schema), "pieces")
     counts = scratch.save(pieces.groupBy("length", "block").agg(F.count("*").alias("n")), "counts")
     plan = Plan({r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}, capacity).places()  # at most `capacity` numbers
-    before = counts.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
+    before = scratch.save(counts.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before")), "before")
     rank = F.row_number().over(Window.partitionBy("block", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank.cast("long")).join(before, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = with_small(pieces.withColumn("rank", rank.cast("long")), before, ["length", "block"], "inner", BROADCAST_COUNTS).withColumn("rank", F.col("rank") + F.col("before"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if with_ids else []))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def _files(batches: Iterator[pa.RecordBatch], path: str | None, block: int) -> I
         return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([file] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(data, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=names)
 
     for batch in batches:
-        for low, high, ids, _ in tokens.encoded(batch.column(1), END, path):
+        for low, high, ids, _ in tokens.encoded(batch.column(1), END, path, special=False):  # no text can hold the end id
             kept = np.concatenate([kept, ids.astype("<u2")])
             whole = len(kept) // block
             if whole:
@@ -101,7 +101,7 @@ def count_tokens(blocks: DataFrame, scratch: Scratch, end: int = END) -> DataFra
 def document_token_counts(docs: DataFrame, path: str | None = None, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """doc_id and n_tokens for each row of docs (doc_id, text): written as flat files, then counted by the scan alone.
 
-    A null or empty text has no tokens. Repeated rows and null ids each have their row. No rows give no rows. Further columns are ignored."""
+    A null or empty text has no tokens. A text of any length may span any number of blocks. The string of the end token in a text is ordinary text. Repeated rows and null ids each have their row. No rows give no rows. Further columns are ignored."""
     scratch = scratch or Scratch(docs.sparkSession, "flat")
     blocks, documents = write_flat(docs, scratch, path, block)
     return count_tokens(blocks, scratch).join(documents, ["file", "ordinal"]).select("doc_id", "n_tokens")

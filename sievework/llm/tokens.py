@@ -1,6 +1,6 @@
 """Token ids of whole Arrow batches of texts by a public byte-level tokenizer.
 
-Byte-level BPE never merges across the pieces of its splitting pattern, so a text's ids are those of its pieces, one after the other. Pieces are found with numpy by byte classes, known by 64-bit hash in a bounded table, and each new one is encoded once by the tokenizers library. A text with white space beyond ASCII, where the byte classes can't tell the pieces, is encoded by the library as a whole."""
+Byte-level BPE never merges across the pieces of its splitting pattern, so a text's ids are those of its pieces, one after the other. Pieces are found with numpy by byte classes, known by 64-bit hash in a bounded table, and each new one is encoded once by the tokenizers library. A text with white space beyond ASCII, where the byte classes can't tell the pieces, is encoded by the library as a whole; so is one that holds the string of a special token, where such strings count as their tokens."""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[128:] = _WIDE
-_BITS = 22  # of the table's slots; it grows only for one text with millions of pieces
-_MOST = 1 << 20  # pieces in the table before it starts anew
+_BITS = 20  # of the table's slots; it grows only for one text with millions of pieces
+_MOST = 1 << 19  # pieces in the table before it starts anew
 
 
 def default_path() -> str:
@@ -35,12 +35,13 @@ def _byte_letters() -> list[str]:
 
 
 class Encoder:
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special  # if not special, their strings in a text are ordinary text
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         self.letters = _byte_letters()
         self._clear()
 
@@ -95,6 +96,16 @@ class Encoder:
         self._insert(h, np.arange(self.n, self.n + len(new), dtype=np.int32))
         self.n += len(new)
 
+    def _marked(self, data: np.ndarray) -> np.ndarray:
+        """Places of the strings of added tokens."""
+        text, found = data.tobytes(), []
+        for mark in self.marks:
+            at = text.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = text.find(mark, at + 1)
+        return np.array(found, dtype=np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids and len + 1 offsets."""
         kinds = _CLASS[data]
@@ -132,8 +143,9 @@ class Encoder:
         total = np.r_[0, np.cumsum(sizes)]
         ids = self.ids[np.repeat(self.at[entries] - total[:-1], sizes) + np.arange(total[-1])]
         out = total[owner]
-        if odd.any():
-            whole = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)
+        marked = self._marked(data)
+        if len(marked) or odd.any():
+            whole = np.unique(np.searchsorted(offsets, np.concatenate([np.flatnonzero(odd), marked]), side="right") - 1)
             parts = [ids[out[d] : out[d + 1]] for d in range(len(out) - 1)]
             for d in whole:
                 parts[d] = np.array(self.tokenizer.encode(data[offsets[d] : offsets[d + 1]].tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32)
@@ -141,14 +153,14 @@ class Encoder:
         return ids, out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str | None, bool], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, special: bool = True) -> Encoder:
     """This process's encoder; its table stays from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +173,7 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
     return out, offsets + np.arange(n + 1)
 
 
-def encoded(column: pa.Array, end: int, path: str | None = None):
-    """Runs of rows: first row, row after the last, ids with the end id after each text, offsets."""
+def encoded(column: pa.Array, end: int, path: str | None = None, special: bool = True):
+    """Runs of rows: first row, row after the last, ids with the end id after each text, offsets. special: strings of special tokens in a text are those tokens, as the library has it by default; else they are ordinary text."""
     for low, high, data, offsets in textscan.slices(column):
-        yield low, high, *with_end(*encoder(path).encode(data, offsets), end)
+        yield low, high, *with_end(*encoder(path, special).encode(data, offsets), end)
