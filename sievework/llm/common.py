@@ -83,7 +83,11 @@ def digest_of(column: Column) -> Column:
 BROADCAST_IDS = 2_000_000
 
 
+def with_small(df: DataFrame, small: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """df joined with a written table, which is broadcast only if it has at most `most` rows and merged by shuffle beyond that, whatever its compressed size says."""
+    return df.join(F.broadcast(small) if small.count() <= most else small.hint("merge"), on, how)
+
+
 def with_ids(df: DataFrame, ids: DataFrame, keep: bool = True, on: str = "doc_id") -> DataFrame:
     """Rows of df whose id is among `ids` (a written table with that one column), or is not. The ids are broadcast only if there are at most BROADCAST_IDS of them."""
-    small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi" if keep else "left_anti")
+    return with_small(df, ids, on, "left_semi" if keep else "left_anti")

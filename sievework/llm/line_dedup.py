@@ -1,6 +1,6 @@
 """Line dedup against a sharded minimal perfect hash.
 
-A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least MIN_POINTS code points that at least MIN_DOCS documents hold lose all their lines except those in the largest doc_id that holds them. Keys are known by two independent 64-bit hashes. Of the distinct keys, those that repeat often enough are dealt to shards by hash; each shard is a minimal perfect hash (levels of bit arrays with ranks) that indexes arrays of fingerprints, counts and largest ids. Documents probe those arrays: while they are within BROADCAST_BYTES every task holds them, beyond that documents' hashes go to the shards, dealt by shard and salt. Both ways give the same rows."""
+A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least MIN_POINTS code points that at least MIN_DOCS documents hold lose all their lines except those in the largest doc_id that holds them. Keys are known by two independent 64-bit hashes. Of the distinct keys, those that repeat often enough are dealt to shards by hash; each shard is a minimal perfect hash (levels of bit arrays with ranks) that indexes arrays of fingerprints, counts and largest ids. Documents probe those arrays: while they are within BROADCAST_BYTES every task holds them, beyond that documents' hashes go to the shards. A shard goes to as many tasks as its probes fill by PROBES, so what is shuffled follows the probes, and a task streams its probes past one shard. Both ways give the same rows."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm import textscan
-from sievework.llm.common import Scratch
+from sievework.llm.common import Scratch, with_small
 
 MIN_POINTS, MIN_DOCS = 20, 3
 SHARD_KEYS = 250_000  # keys in a shard, about
-SALT_DOCS = 100_000  # documents that probe one copy of a shard, about, beyond BROADCAST_BYTES
+PROBES = 4_000_000  # probes of one copy of a shard, about, beyond BROADCAST_BYTES
 BROADCAST_BYTES = 64 << 20
 LEVELS = 48
 NO_ID = np.iinfo(np.int64).min  # stands for a null doc_id: below all ids
@@ -43,7 +43,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to a document's distinct long keys."""
+    """(doc_id, text, ...) to a document's distinct long keys, with what follows the text."""
     for batch in batches:
         for low, high, data, offsets in textscan.slices(batch.column(1)):
             _, _, doc, long, a, b = lines(data, offsets)
@@ -52,7 +52,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, owner = a[order], b[order], owner[order]
             fresh = np.ones(len(a), dtype=bool)
             fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(owner[fresh])), pa.array(textscan.signed(a[fresh])), pa.array(textscan.signed(b[fresh]))], names=["doc_id", "a", "b"])
+            own = [batch.column(k).slice(low, high - low).take(pa.array(owner[fresh])) for k in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(textscan.signed(a[fresh])), pa.array(textscan.signed(b[fresh]))], names=["doc_id", *batch.schema.names[2:], "a", "b"])
 
 
 class PerfectHash:
@@ -168,7 +169,9 @@ def key_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     often = scratch.save(keys.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("largest")).where(f"n >= {MIN_DOCS}"), "often")
     shards = max(1, -(-often.count() // SHARD_KEYS))
     index = often.withColumn("shard", F.pmod(F.shiftrightunsigned("a", 40), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, _SHARD)
-    return scratch.save(index, "shards"), shards
+    index = scratch.save(index, "shards")
+    scratch.drop("often")
+    return index, shards
 
 
 def _probe_here(index: DataFrame, shards: int):
@@ -189,29 +192,48 @@ def _probe_here(index: DataFrame, shards: int):
     return goes
 
 
-def _probe_there(docs: DataFrame, index: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """For larger arrays: documents' keys go to the shards, dealt by shard and salt. docs with a further column, the hashes of the keys that go."""
-    salts = max(1, -(-docs.count() // SALT_DOCS))
-
-    def per_shard(batches):
-        for batch in batches:
-            a = batch.column(1).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(shard_of(a, shards).astype(np.int32)), pa.array((textscan.mix64(_ids(batch.column(0)).view(np.uint64)) % np.uint64(salts)).astype(np.int32))], names=["doc_id", "a", "b", "shard", "salt"])
+def _deal(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        to = shard_of(batch.column(2).to_numpy().view(np.uint64), shards)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to.astype(np.int32))], names=["id", "row", "a", "b", "shard"])
 
-    def probe(keys: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(keys):
-            return pd.DataFrame({"id": pd.Series(dtype=np.int64), "a": pd.Series(dtype=np.int64)})
-        ids = keys["id"].to_numpy(dtype=np.int64)
-        a, b = (keys[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("a", "b"))
-        gone = Shard(*shard.iloc[0][["sizes", "words", "fingerprints", "counts", "largest"]]).repeated(a, b, ids)
-        return pd.DataFrame({"id": ids[gone], "a": a[gone].view(np.int64)})
 
-    keys = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, a long, b long").mapInArrow(per_shard, "doc_id long, a long, b long, shard int, salt int")
-    keys = keys.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), "a", "b", "shard", "salt")
-    copies = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    gone = keys.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(probe, "id long, a long")
-    gone = scratch.save(gone.groupBy("id").agg(F.collect_set("a").alias("gone")), "gone")  # a document's own lines
-    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(int(NO_ID))) == gone["id"], "left").drop("id")
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by shard and salt, each time the shard first and then its probes (shard, salt, id, row, a, b, arrays), to the (id, row, a) that go."""
+    at, shard = None, None
+    for batch in batches:
+        number, salt, ids, a, b = (batch.column(k).fill_null(0).to_numpy() for k in (0, 1, 2, 4, 5))
+        edges = np.flatnonzero((number[1:] != number[:-1]) | (salt[1:] != salt[:-1])) + 1
+        for low, high in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            if low == high:
+                continue
+            if (number[low], salt[low]) != at:
+                at, shard = (number[low], salt[low]), None
+            if batch.column(6)[int(low)].is_valid:
+                shard = Shard(*(bytes(x.as_py()) for x in batch.column(6)[int(low)].values()))
+                low += 1
+            if shard is not None and low < high:
+                gone = pa.array(low + np.flatnonzero(shard.repeated(a[low:high].view(np.uint64), b[low:high].view(np.uint64), ids[low:high])))
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(gone) for k in (2, 3, 4)], names=["id", "row", "a"])
+
+
+_ARRAYS = ["sizes", "words", "fingerprints", "counts", "largest"]
+
+
+def _probe_there(docs: DataFrame, index: DataFrame, shards: int, scratch: Scratch, probes: int) -> DataFrame:
+    """For larger arrays: documents' keys go to the shards. docs with a further column, the hashes of the keys that go. Rows are known by id and hash of the text, on which alone it depends what goes; so a group is one document's lines, with or without an id."""
+    known = [F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row")]
+    keys = docs.select(known[0], "text", known[1]).mapInArrow(_keys, "id long, row long, a long, b long").mapInArrow(lambda batches: _deal(batches, shards), "id long, row long, a long, b long, shard int")
+    keys = scratch.save(keys, "probes")
+    salts = scratch.save(keys.groupBy("shard").agg(F.ceil(F.count("*") / probes).cast("int").alias("salts")), "salts")
+    dealt = with_small(keys, salts, "shard", "inner").select("shard", F.pmod(F.xxhash64("id", "row", "a"), "salts").cast("int").alias("salt"), "id", "row", "a", "b")
+    none = F.lit(None).cast(index.select(F.struct(*_ARRAYS)).schema[0].dataType)
+    copies = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("shard", "salt", *(F.lit(None).cast("long").alias(c) for c in ("id", "row", "a", "b")), F.struct(*_ARRAYS).alias("arrays"))
+    both = copies.union(dealt.withColumn("arrays", none)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("arrays").isNull())
+    gone = both.mapInArrow(_probe, "id long, row long, a long")
+    gone = scratch.save(gone.groupBy("id", "row").agg(F.collect_set("a").alias("gone")), "gone")  # a document's own lines
+    scratch.drop("probes")
+    return docs.withColumns({"id": known[0], "row": known[1]}).join(gone, ["id", "row"], "left").select(*docs.columns, "gone")
 
 
 def _given(batch, low, doc, a, _b, _ids):
@@ -224,8 +246,8 @@ def _given(batch, low, doc, a, _b, _ids):
     return out
 
 
-def dedup_lines(docs: DataFrame, carry: bool = False, scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, the new text, n_lines before dropping, n_dropped. With carry, also `carried`, a struct of the other columns.
+def dedup_lines(docs: DataFrame, carry: bool = False, scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES, probes: int = PROBES) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, the new text, n_lines before dropping, n_dropped. With carry, also `carried`, a struct of the other columns, whatever their names; without, they are ignored.
 
     A null or empty text has one empty line and stays as an empty text. Keys compare whole lines of any length. Documents are counted by distinct doc_id; repeated rows of one doc_id are one document and are rewritten alike. A null doc_id isn't counted and counts as smaller than any, so its repeated lines go. No rows give no rows."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
@@ -239,4 +261,4 @@ def dedup_lines(docs: DataFrame, carry: bool = False, scratch: Scratch | None =
     if size <= broadcast_bytes:
         goes = _probe_here(index, shards)
         return own.mapInArrow(lambda batches: _rewrite(batches, goes), schema)
-    return _probe_there(own, index, shards, scratch).mapInArrow(lambda batches: _rewrite(batches, _given), schema)
+    return _probe_there(own, index, shards, scratch, probes).mapInArrow(lambda batches: _rewrite(batches, _given), schema)

@@ -20,7 +20,7 @@ from sievework.llm.common import Scratch, columns
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20  # compressed; an archive closes once it has so many
 FEED = 1 << 16  # compressed bytes given to zlib at a time
-BROADCAST_GROUPS = 250_000  # groups of equal payloads that are broadcast; more are joined by shuffle
+BROADCAST_GROUPS = 250_000  # groups of equal payloads that are broadcast; beyond that ids are joined by digest, and pages by their own id
 HEADER_BYTES = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "archive string, position long, record_type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
@@ -70,18 +70,24 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def write_archives(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """pages (page_id, url, html) as a written table of archives (archive, data).
+def write_archives(pages: DataFrame, scratch: Scratch, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """pages (page_id, url, html; further columns are ignored, whatever their names) as a written table of archives (archive, data).
 
-    A null html is an empty payload, a null url an empty one. Rows that repeat the largest page_id of their payload are all responses. A null page_id counts as smaller than any; equal payloads that only such rows hold are all responses. No rows give no archives."""
+    A null html is an empty payload, a null url an empty one. Payloads may be as long as a row can be; a task holds one record and an archive of ARCHIVE_BYTES and one record. Rows that repeat the largest page_id of their payload are all responses. A null page_id counts as smaller than any; equal payloads that only such rows hold are all responses. No rows give no archives."""
     own = columns(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload"))
     groups = own.where(f"size >= {REVISIT_BYTES}").groupBy("digest", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
     groups = scratch.save(groups, "groups")
-    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
-    own = own.join(groups, ["digest", "size"], "left")
     revisits = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
-    return scratch.save(own.select("page_id", "url", "payload", revisits.alias("response")).mapInArrow(_write, "archive string, data binary"), "archives")
+    if groups.count() <= broadcast_groups:
+        own = own.join(F.broadcast(groups), ["digest", "size"], "left").withColumn("response", revisits)
+    else:  # a digest may be a third of all rows: under it meet ids alone, and payloads are dealt by page
+        key = F.xxhash64("page_id", "digest").alias("key")
+        ids = own.where(f"size >= {REVISIT_BYTES}").select("page_id", "digest", "size", key).join(groups.hint("merge"), ["digest", "size"]).withColumn("response", revisits)
+        ids = scratch.save(ids.where("response is not null").select("key", "digest", F.col("page_id").alias("page"), "response").distinct(), "revisits")
+        same = (F.col("own.key") == F.col("ids.key")) & (F.col("own.digest") == F.col("ids.digest")) & F.col("own.page_id").eqNullSafe(F.col("ids.page"))
+        own = own.withColumn("key", key).alias("own").join(ids.hint("merge").alias("ids"), same, "left")
+    return scratch.save(own.select("page_id", "url", "payload", "response").mapInArrow(_write, "archive string, data binary"), "archives")
 
 
 class Reader:
