@@ -131,14 +131,27 @@ def line_truth():
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_line_dedup(docs, none, limit):
-    got = line_dedup.dedup_lines(docs, carry=True, broadcast_bytes=limit)
+@pytest.mark.parametrize(("limit", "probes"), [(64 << 20, 1), (0, 5), (0, 1 << 20)])
+def test_line_dedup(docs, none, limit, probes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    docs = docs.withColumns({c: F.lit("x") for c in ("gone", "carried", "id", "row", "n_dropped")})
+    got = line_dedup.dedup_lines(docs, carry=True, broadcast_bytes=limit, probes=probes)
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()), key=repr) == line_truth()
     assert got.select("carried.n_lines").count() == len(ROWS)
     assert line_dedup.dedup_lines(none, broadcast_bytes=limit).count() == 0
 
 
+def test_probes_deal_a_shard_as_often_as_they_fill(spark):
+    """Copies of a shard follow its probes, not the documents."""
+    rows = [(i, f"{LINE}\n{i:030d}") for i in range(300)]
+    scratch = Scratch(spark, "t")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs, scratch=scratch, broadcast_bytes=0, probes=100)
+    assert out.agg(F.sum("n_dropped")).first()[0] == 299
+    salts = spark.read.parquet(f"{scratch.root}/salts").collect()
+    assert sum(r["salts"] for r in salts) == 6  # 600 probes
+
+
 def test_perfect_hash():
     keys = textscan.stream64(5, 5000)
     h = line_dedup.PerfectHash.build(keys)
@@ -146,23 +159,33 @@ def test_perfect_hash():
     assert (line_dedup.PerfectHash.build(keys[:0]).slots(keys) == -1).all()
 
 
-def reference_ids():
-    e = tokens.encoder().tokenizer
+def library(special=True):
+    import tokenizers
+
+    e = tokenizers.Tokenizer.from_file(tokens.default_path())
+    e.encode_special_tokens = not special
+    return e
+
+
+def reference_ids(special=True):
+    e = library(special)
     return [e.encode(t or "", add_special_tokens=False).ids for _, t, *_ in ROWS]
 
 
-def test_tokens_equal_the_library():
-    pieces = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", " don't", "é", "ñ", "×", "中", " ", " ", "—", "12", "²", "!", "\x1c", "\x00", "😀", "<|endoftext|>"]
-    texts = ["".join(RNG.choice(pieces, RNG.integers(0, 15))) for _ in range(3000)] + [None]
-    e = tokens.encoder()
-    got = [ids[at[i] : at[i + 1]].tolist() for low, high, ids, at in tokens.encoded(pa.array(texts), 0) for i in range(high - low)]
-    assert got == [e.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+@pytest.mark.parametrize("special", [True, False])
+def test_tokens_equal_the_library(special):
+    pieces = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", " don't", "é", "ñ", "×", "中", "\u00a0", "\u3000", "—", "12", "²", "!", "\x1c", "\x00", "😀", "<|endoftext|>"]
+    texts = ["".join(RNG.choice(pieces, RNG.integers(0, 15))) for _ in range(3000)] + [None, "a <|endoftext|> b"]
+    e = library(special)
+    got = [ids[at[i] : at[i + 1]].tolist() for low, high, ids, at in tokens.encoded(pa.array(texts), 0, special=special) for i in range(high - low)]
+    assert got == [e.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert (50256 in got[-1]) == special
 
 
 @pytest.mark.parametrize("block", [7, 1 << 16])
 def test_token_counts(docs, none, block):
     got = token_counts.document_token_counts(docs, block=block)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((r[0], len(x)) for r, x in zip(ROWS, reference_ids(), strict=True)), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((r[0], len(x)) for r, x in zip(ROWS, reference_ids(False), strict=True)), key=repr)
     assert token_counts.document_token_counts(none).count() == 0
 
 
@@ -200,6 +223,60 @@ def test_plan_matches_single_lengths():
     assert packing.Plan({690: 2, 700: 3, 800: 1}, 2048).sequences == 3
 
 
+def least_sequences(sizes, capacity):
+    """Of pieces above a third of the capacity: the best matching pairs the smallest with the largest that fits."""
+    sizes, low, n = sorted(sizes), 0, 0
+    for high in range(len(sizes) - 1, -1, -1):
+        if high < low:
+            break
+        if low < high and sizes[low] + sizes[high] <= capacity:
+            low += 1
+        n += 1
+    return n
+
+
+def test_large_pieces_are_matched_best():
+    for _ in range(300):
+        sizes = RNG.integers(34, 101, RNG.integers(1, 30)).tolist()
+        assert packing.Plan(dict(collections.Counter(sizes)), 100).sequences == least_sequences(sizes, 100)
+
+
+def test_few_pieces_against_exhaustive_search():
+    def least(sizes, bins):
+        if not sizes:
+            return len(bins)
+        options = [least(sizes[1:], [*bins, 12 - sizes[0]])]
+        for k, gap in enumerate(bins):
+            if gap >= sizes[0] and gap not in bins[:k]:
+                options.append(least(sizes[1:], [*bins[:k], gap - sizes[0], *bins[k + 1 :]]))
+        return min(options)
+
+    more = 0
+    for _ in range(60):
+        sizes = sorted(RNG.integers(1, 13, RNG.integers(1, 8)).tolist(), reverse=True)
+        n, best = packing.Plan(dict(collections.Counter(sizes)), 12).sequences, least(sizes, [])
+        assert best <= n <= best + 1
+        more += n - best
+    assert more <= 6
+
+
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for n in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(capacity - n)
+        else:
+            gaps[gaps.index(fit)] = fit - n
+    return len(gaps)
+
+
+def test_no_more_sequences_than_best_fit_decreasing():
+    for high in (35, 60, 101):
+        sizes = RNG.integers(1, high, 800).tolist()
+        assert packing.Plan(dict(collections.Counter(sizes)), 100).sequences <= best_fit_decreasing(sizes, 100) + 1
+
+
 def test_plan():
     sizes = RNG.integers(1, 101, 3000)
     histogram = dict(zip(*(x.tolist() for x in np.unique(sizes, return_counts=True)), strict=True))
@@ -257,14 +334,16 @@ def test_chat(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("groups", [warc.BROADCAST_GROUPS, 0])
+def test_warc(spark, groups):
     big = "é" * 600
     rows = [(1, "http://a b", big), (2, None, big), (2, "u", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (7, "u", prose(3000))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    archives = warc.write_archives(df, Scratch(spark, "t"))
+    rows += [(8, "u", "y" * 3_000_000), (9, "u", "y" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).withColumns({c: F.lit("x") for c in ("payload", "digest", "response", "key")})
+    archives = warc.write_archives(df, Scratch(spark, "t"), groups)
     out = warc.read_archives(archives).collect()
     assert all(r["error"] is None for r in out) and len(out) == len(rows)
-    truth = collections.Counter((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else None) for i, _, h in rows)
+    truth = collections.Counter((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), *(("revisit", 2) if h == big and i != 2 else ("revisit", 9) if i == 8 else ("response", None))) for i, _, h in rows)
     assert truth == collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out)
     data = bytes(archives.first()["data"])
     broken = spark.createDataFrame([("cut", data[:-5]), ("junk", b"no gzip"), ("none", None)], "archive string, data binary")
@@ -288,30 +367,56 @@ def distance(item, text):
     return min(row)
 
 
-def test_decontamination(spark, docs, none):
-    items = [(1, prose(20)), (2, "É" + prose(12)), (3, None), (4, "tiny"), (5, BASE[:150])]
-    edited = bytearray(items[0][1].encode())
+def contaminated_by(items, texts):
+    """By brute force: for each text the ids of the items that it holds."""
+    plain = lambda t: decontaminate.normalise(np.frombuffer((t or "").encode(), np.uint8))[0].tobytes()
+    word = rb"[0-9a-z\x80-\xff]"
+
+    def holds(item, text):
+        if len(item) < decontaminate.SHORT_BYTES:
+            edge = lambda c, before: b"" if not re.match(word, bytes([c])) else (rb"(?<!%s)" if before else rb"(?!%s)") % word
+            return re.search(edge(item[0], True) + re.escape(item) + edge(item[-1], False), text) is not None
+        return distance(item, text) <= len(item) // decontaminate.BYTES_PER_ERROR
+
+    known = [(i, plain(t)) for i, t in items if plain(t)]
+    return [{i for i, t in known if holds(t, plain(text))} for text in texts]
+
+
+DIRTY = [(1, prose(20)), (2, "É" + prose(12)), (3, None), (4, "tiny"), (5, BASE[:150]), (6, " What is 2 + 2 * 7?"), (7, "Nile."), (8, ""), (9, "exactly twenty-one ok")]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_decontamination(spark, docs, none, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    edited = bytearray(DIRTY[0][1].encode())
     for at in range(5, 60, 12):
         edited[at] = ord("#")
-    texts = [f"x {items[0][1].upper()} y", edited.decode(), items[1][1].lower().replace(" ", "\n "), prose(200), None, ""]
-    extra = spark.createDataFrame([(500 + k, t, "en", k) for k, t in enumerate(texts)], SCHEMA)
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.decontaminate(docs.union(extra), bench, carry=True).collect()
-    plain = lambda t: decontaminate.normalise(np.frombuffer((t or "").encode(), np.uint8))[0].tobytes()
-    known = [(i, plain(t)) for i, t in items if len(plain(t)) >= decontaminate.LEAST_BYTES]
-    for r in out:
-        if len(r["text"] or "") < 3000:
-            assert {m["item_id"] for m in r["matches"]} == {i for i, t in known if distance(t, plain(r["text"])) <= len(t) // decontaminate.BYTES_PER_ERROR}
-        assert r["contaminated"] == bool(r["matches"])
-    assert {r["doc_id"] for r in out if r["contaminated"]} >= {500, 501, 502, 6, 7}
+    texts = [f"x {DIRTY[0][1].upper()} y", edited.decode(), DIRTY[1][1].lower().replace(" ", "\n "), prose(200), None, "", "so: what is\n2 + 2 * 7? 28", "what is 2 + 2 * 77?", "a senile. man", "the NILE. is", "tinys", "(Tiny)", "exactly twenty-one okay", "Exactly  twenty-one OK!"]
+    long = prose(5000) + " " + DIRTY[4][1] + prose(5000)
+    rows = [(500 + k, t, "en", k) for k, t in enumerate(texts)] + [(600, long, "en", 0), (500, texts[0], "de", 1)]
+    extra = spark.createDataFrame(rows, SCHEMA).union(docs.where("length(text) < 3000 or text is null"))
+    extra = extra.withColumns({c: F.lit("x") for c in ("found", "matches", "contaminated", "carried", "key_a")})
+    bench = spark.createDataFrame(DIRTY, "item_id long, text string")
+    out = decontaminate.decontaminate(extra, bench, carry=True).collect()
+    assert len(out) == extra.count() and out[0]["carried"]["matches"] == "x"
+    held = contaminated_by(DIRTY, [r["text"] for r in out if len(r["text"] or "") < 3000])
+    for r, ids in zip((r for r in out if len(r["text"] or "") < 3000), held, strict=True):
+        assert {m["item_id"] for m in r["matches"]} == ids and r["contaminated"] == bool(ids)
+    assert {r["doc_id"] for r in out if r["contaminated"] and (r["doc_id"] or 0) >= 500} == {500, 501, 502, 506, 509, 511, 513, 600}
+    assert all(r["text"].encode()[m["start"] : m["stop"]] for r in out for m in r["matches"])
     assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_blocks_of_items(docs, spark, monkeypatch):
+def test_a_task_holds_one_block_of_items(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    held = []
+    inner = decontaminate._items
+    monkeypatch.setattr(decontaminate, "_items", lambda *a: held.append(inner(*a)) or held[-1])
     bench = spark.createDataFrame([(k, BASE[k * 60 : k * 60 + 100]) for k in range(6)], "item_id long, text string")
-    got = decontaminate.decontaminate(docs, bench).where("doc_id = 6").first()
-    assert {m["item_id"] for m in got["matches"]} == set(range(6))
+    out = decontaminate.decontaminate(docs, bench)
+    assert {m["item_id"] for m in out.where("doc_id = 6").first()["matches"]} == set(range(6))
+    assert len(held) > 2 and sum(map(len, held)) == 6
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # all blocks are done and written
 
 
 def test_lm_counts_and_normalisation(docs, none):
