@@ -74,6 +74,15 @@ class Spark:
     def series(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})"
 
+    def empty_fired(self) -> str:
+        """No fired rules, with the type of some."""
+        hit = "struct<ord:int,place:bigint,string:string,grp:string,text:string>"
+        return f"cast(array() as array<struct<rule_no:int,hits:array<{hit}>,near:array<struct<distance:bigint,group_a:string,group_b:string,at:bigint>>>>)"
+
+    def latin(self, x: str) -> str:
+        """The text's UTF-8 bytes, one character a byte."""
+        return f"decode(encode({x}, 'UTF-8'), 'ISO-8859-1')"
+
     def middle(self, array: str) -> str:
         """The elements but the first and last."""
         return f"slice({array}, 2, greatest(size({array}) - 2, 0))"
@@ -140,6 +149,9 @@ class DuckDB(Spark):
     def series(self, a: str, b: str) -> str:
         return f"generate_series({a}, {b})"
 
+    def latin(self, x: str) -> str:
+        return f"CASE WHEN strlen({x}) = length({x}) THEN {x} ELSE array_to_string(list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: chr(cast('0x' || h AS INTEGER))), '') END"
+
     def middle(self, array: str) -> str:
         return f"{array}[2:len({array}) - 1]"
 

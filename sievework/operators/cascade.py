@@ -1,38 +1,33 @@
-"""The cascade: the first layer that refuses decides; and the comparison scanners."""
+"""The comparison scanners, as the SQL of their acceptance."""
 
 from __future__ import annotations
 
 from sievework.functions.dialect import Spark
 from sievework.functions.tables import SMALL_BYTES, SMALL_EXTENSIONS, SMALL_TYPES, UPLOAD_BYTES, UPLOAD_EXTENSIONS, UPLOAD_TYPES
-from sievework.operators.layers import inspected, listed
+from sievework.operators.layers import listed
 
 
-def cascade(d: Spark, source: str) -> str:
-    """id, truth, detected, decision, stopped_at (layer), layer_no, reason_code, top_severity over the layers that need no rewriting of content.
+SNIFFED = ("FFD8FF", "89504E470D0A1A0A", "47494638", "424D")  # what the header check takes for an image
 
-    An unprefixed reason takes the kind of the layer's first evidence; the extension layer has none and stays UNCODED."""
-    critical = "2, 3, 4, 5, 6, 7, 8, 19, 20, 22"
-    high = "9, 10, 12, 13, 14, 15, 17, 18, 23, 24"
-    has = lambda xs: d.any_of("rules", "r", f"r IN ({xs})")
-    kind = "CASE WHEN length(head) < 8 THEN 'magic-size' ELSE 'magic-observed' END"
-    return f"""SELECT id, truth, category, file_name, payload, detected, rules, layer_no, CASE WHEN layer_no = 10 THEN 'accepted' ELSE 'rejected' END AS decision,
-  CASE layer_no WHEN 1 THEN 'ExtensionWhitelist' WHEN 2 THEN 'MagicBytes' WHEN 3 THEN 'HeaderContentMatching' WHEN 4 THEN 'DoubleExtension' WHEN 5 THEN 'SignatureScanning' WHEN 7 THEN 'EmbeddedLink' ELSE '' END AS stopped_at,
-  CASE layer_no WHEN 1 THEN 'UNCODED' WHEN 2 THEN {kind} WHEN 3 THEN l3 WHEN 4 THEN l4 WHEN 5 THEN 'yara-rule' WHEN 7 THEN l5c ELSE '' END AS reason_code,
-  CASE WHEN layer_no <> 5 THEN '' WHEN {has(critical)} THEN 'critical' WHEN {has(high)} THEN 'high' WHEN {has('11, 16, 21')} THEN 'medium' ELSE 'test' END AS top_severity,
-  CASE WHEN layer_no = 10 THEN 9 ELSE layer_no END AS layers_run
-FROM (SELECT *, CASE WHEN l1 IS NOT NULL THEN 1 WHEN detected IS NULL THEN 2 WHEN l3 IS NOT NULL THEN 3 WHEN l4 IS NOT NULL THEN 4 WHEN {d.size('rules')} > 0 THEN 5 WHEN l5c IS NOT NULL THEN 7 ELSE 10 END AS layer_no FROM ({inspected(d, source)}) AS i) AS j"""
+
+def _parts(d: Spark) -> tuple[str, str, str, str]:
+    last = f"CASE WHEN contains(file_name, '.') THEN lower({d.rx_extract('file_name', r'[.]([^.]*)$')}) ELSE '' END"
+    begins = "startswith" if d.name == "spark" else "starts_with"
+    image = "(" + " OR ".join(f"{begins}(head, '{x}')" for x in SNIFFED) + ")"
+    return f"{last} IN {listed(SMALL_EXTENSIONS)}", f"lower(declared_type) IN {listed(SMALL_TYPES)}", f"size_bytes < {SMALL_BYTES}", image
 
 
 def comparators(d: Spark) -> dict[str, str]:
-    """Scanner name: SQL of its acceptance, over the cascade's measures."""
-    size = "octet_length(encode(payload, 'UTF-8'))" if d.name == "spark" else "octet_length(encode(payload))"
-    last = f"CASE WHEN contains(file_name, '.') THEN lower({d.rx_extract('file_name', r'[.]([^.]*)$')}) ELSE '' END"
-    typed = f"lower(declared_type) IN {listed(SMALL_TYPES)}"
-    image = "(starts_with(head, 'FFD8FF') OR starts_with(head, '89504E470D0A1A0A') OR starts_with(head, '47494638') OR starts_with(head, '424D'))".replace("starts_with", "startswith" if d.name == "spark" else "starts_with")
-    small = f"{size} < {SMALL_BYTES}"
+    """Scanner name: SQL of its acceptance, over a file's measures. That which rewrites is not among them."""
+    named, typed, small, image = _parts(d)
     return {
         "DVWA-Low": "true",
         "DVWA-Medium": f"{typed} AND {small}",
-        "DVWA-High": f"{last} IN {listed(SMALL_EXTENSIONS)} AND {small} AND {image}",
-        "BasicValidation": f"{size} BETWEEN 1 AND {UPLOAD_BYTES} AND ext IN {listed(UPLOAD_EXTENSIONS)} AND lower(declared_type) IN {listed(UPLOAD_TYPES)}",
+        "DVWA-High": f"{named} AND {small} AND {image}",
+        "BasicValidation": f"size_bytes BETWEEN 1 AND {UPLOAD_BYTES} AND ext IN {listed(UPLOAD_EXTENSIONS)} AND lower(declared_type) IN {listed(UPLOAD_TYPES)}",
     }
+
+
+def reencodable(d: Spark) -> str:
+    """Whether a file reaches the re-encoding of the scanner that rewrites."""
+    return "coalesce(" + " AND ".join(_parts(d)) + ", false)"

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from sievework.functions.dialect import Spark
 from sievework.functions.rules import matched_sql
-from sievework.functions.tables import CATEGORIES, CONTENT_TYPES, DANGEROUS_EXTENSIONS, DATA_URIS, EXTENSION_TYPES, FOREIGN, FOREIGN_TEXT, NAMESPACE_HOSTS, SCHEMES, SIGNATURES
+from sievework.functions.tables import CATEGORIES, CONTENT_TYPES, DANGEROUS_EXTENSIONS, DATA_URIS, EXTENSION_TYPES, FOREIGN, FOREIGN_TEXT, NAMESPACE_HOSTS, SCHEMES, SIGNATURES, SVG_NOTABLE
 
 listed = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 NOT_BEFORE = r"(^|[^A-Za-z0-9+.\-])"
 
 
 def view(d: Spark, source: str) -> str:
-    """Measures that several layers use, from a source with a payload."""
+    """Measures that several layers use, from a source with a payload: ext, head, t (its UTF-8, one character a byte), low, raw, size_bytes, and probe, the characters that begin in the first 1024 bytes."""
     ext = d.rx_extract("file_name", r"(\.[^./\\]+)$")
-    return f"""SELECT *, lower({ext}) AS ext, {d.head('payload', 16)} AS head, lower(payload) AS low, payload AS t, {"encode(payload, 'UTF-8')" if d.name == 'spark' else 'hex(encode(payload))'} AS raw,
-  lower(left(payload, 1024)) AS probe FROM ({source}) AS s"""
+    begun = d.rx_replace("left(t, 1024)", "[\x80-\xBF]", "")
+    return f"""SELECT *, lower({ext}) AS ext, {d.head('payload', 16)} AS head, lower(t) AS low, {"encode(payload, 'UTF-8')" if d.name == 'spark' else 'hex(encode(payload))'} AS raw,
+  lower(left(payload, length({begun}))) AS probe, cast({"octet_length(encode(payload, 'UTF-8'))" if d.name == 'spark' else 'octet_length(encode(payload))'} as bigint) AS size_bytes FROM (SELECT *, {d.latin('payload')} AS t FROM ({source}) AS p) AS s"""
 
 
 def extension(d: Spark) -> str:
@@ -43,6 +44,14 @@ def foreign(d: Spark) -> str:
     return f"CASE {binary} {text} END"
 
 
+def foreign_at(d: Spark) -> str:
+    """l2: where that shows, 0 for signatures, else in the probe without leading space."""
+    binary = " ".join(f"WHEN starts_with(head, '{sig}') THEN 0" if d.name == "duckdb" else f"WHEN startswith(head, '{sig}') THEN 0" for _, sig in FOREIGN)
+    trimmed = d.rx_replace("probe", r"^[\uFEFF \t\r\n]+" if d.name == "spark" else r"^[\x{FEFF} \t\r\n]+", "")
+    text = " ".join(f"WHEN contains(probe, '{mark}') THEN {'instr' if d.name == 'spark' else 'strpos'}({trimmed}, '{mark}') - 1" for _, mark in FOREIGN_TEXT)
+    return f"CASE {binary} {text} END"
+
+
 def near_misses(d: Spark) -> str:
     """l2: for each signature the matched prefix length in bytes, where it is at least one and not all: 'type@offset:length' joined by commas."""
     found = []

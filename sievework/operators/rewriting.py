@@ -19,22 +19,33 @@ from pyspark.sql import types as T
 from sievework.functions.tables import IMAGE_PIXELS, IMAGE_SIDE, PDF_DEPTH, PDF_RATIO, PDF_STREAM_BYTES, PDF_TOTAL_BYTES, SVG_ATTRIBUTES, SVG_ELEMENTS
 
 
-def per_file(df: DataFrame, f: Callable[[bytes], tuple], fields: list[T.StructField], column: str = "content") -> DataFrame:
-    """df with further columns that f makes of a file's bytes. A file that f can't handle gets its error as the last field and nulls before; it never fails the task."""
+RUN_ROWS, RUN_BYTES = 256, 4 << 20  # rows, and bytes of their files, that are handed back together
+
+
+def per_file(df: DataFrame, f: Callable[..., tuple], fields: list[T.StructField], *columns: str) -> DataFrame:
+    """df with further columns that f makes of a row's columns (`content` by default; null bytes count as none). A file that f can't handle gets its error as the last field and nulls before; it never fails the task."""
     schema = T.StructType([*df.schema.fields, *fields])
-    place = df.columns.index(column)
+    places = [df.columns.index(c) for c in columns or ("content",)]
+
+    def one(batch: pa.RecordBatch, row: int) -> tuple:
+        try:
+            return f(*(batch.column(k)[row].as_py() if k != places[0] else batch.column(k)[row].as_py() or b"" for k in places))
+        except Exception as broken:  # fail closed: the verdict names it
+            return (*[None] * (len(fields) - 1), f"{type(broken).__name__}: {broken}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(T.StructType(fields))
         for batch in batches:
+            at, done, size = 0, [], 0
             for row in range(batch.num_rows):
-                try:
-                    out = f(batch.column(place)[row].as_py() or b"")
-                except Exception as broken:  # fail closed: the verdict names it
-                    out = (*[None] * (len(fields) - 1), f"{type(broken).__name__}: {broken}")
-                yield pa.RecordBatch.from_arrays([*(c.slice(row, 1) for c in batch.columns), *(pa.array([v], k.type) for v, k in zip(out, kinds, strict=True))], names=schema.names)
+                done.append(one(batch, row))
+                size += sum(len(v) for v in done[-1] if isinstance(v, bytes))
+                if len(done) == RUN_ROWS or size >= RUN_BYTES or row + 1 == batch.num_rows:
+                    own = zip(zip(*done, strict=True), kinds, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(done)) for c in batch.columns), *(pa.array(list(v), k.type) for v, k in own)], names=schema.names)
+                    at, done, size = row + 1, [], 0
 
     return df.mapInArrow(run, schema)
 
@@ -229,23 +240,32 @@ _ELEMENTS, _ATTRIBUTES = {x.lower() for x in SVG_ELEMENTS}, {x.lower() for x in
 
 
 def sanitise_svg(data: bytes) -> tuple:
-    """(sanitised, removed elements, removed attributes, handlers among them, why it is refused). A removed element goes with all that it holds and counts once; attributes go by local name; document types are refused."""
-    out, hidden, gone, lost, handlers, depth, root = [], 0, 0, 0, 0, 0, None
-    parser = expat.ParserCreate()
+    """(sanitised, removed elements by name, removed attributes by name, kept elements, comments, instructions, why it is refused). A removed element goes with all that it holds and counts once; attributes go by local name; comments and instructions stay; document types are refused. Names count without case, as first seen."""
+    out, hidden, depth, root = [], 0, 0, None
+    gone: dict[str, list] = {}
+    lost: dict[str, list] = {}
+    kept_elements, comments, instructions = 0, 0, 0
+    parser = expat.ParserCreate(namespace_separator=None)
     local = lambda name: name.rsplit(":", 1)[-1]
 
+    def count(names: dict[str, list], name: str) -> None:
+        names.setdefault(name.lower(), [name, 0])[1] += 1
+
     def start(name: str, attributes: dict[str, str]) -> None:
-        nonlocal hidden, gone, lost, handlers, depth, root
+        nonlocal hidden, depth, root, kept_elements
         root = root or local(name)
         depth += 1
         if hidden:
             hidden += 1
         elif local(name).lower() not in _ELEMENTS:
-            hidden, gone = 1, gone + 1
+            hidden = 1
+            count(gone, local(name))
         else:
+            kept_elements += 1
             kept = {k: v for k, v in attributes.items() if k.startswith("xmlns") or local(k).lower() in _ATTRIBUTES}
-            lost += len(attributes) - len(kept)
-            handlers += sum(local(k).lower().startswith("on") for k in attributes if k not in kept)
+            for k in attributes:
+                if k not in kept:
+                    count(lost, k)
             out.append(f"<{name}" + "".join(f" {k}={quoteattr(v)}" for k, v in kept.items()) + ">")
 
     def end(name: str) -> None:
@@ -258,18 +278,74 @@ def sanitise_svg(data: bytes) -> tuple:
     def doctype(*_: object) -> None:
         raise ValueError("a document type isn't allowed")
 
+    def comment(text: str) -> None:
+        nonlocal comments
+        comments += 1
+        if not hidden:
+            out.append(f"<!--{text}-->")
+
+    def instruction(target: str, text: str) -> None:
+        nonlocal instructions
+        instructions += 1
+        if not hidden:
+            out.append(f"<?{target} {text}?>")
+
     parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = start, end, doctype
     parser.CharacterDataHandler = lambda text: None if hidden else out.append(escape(text))
+    parser.CommentHandler, parser.ProcessingInstructionHandler = comment, instruction
     try:
         parser.Parse(data, True)
     except (expat.ExpatError, ValueError) as broken:
-        return None, None, None, None, f"SVG-PARSE: {broken}"
+        return None, None, None, None, None, None, f"SVG-PARSE: {broken}"
+    report = dict(gone.values()), dict(lost.values()), kept_elements, comments, instructions
     if (root or "").lower() != "svg":
-        return None, gone, lost, handlers, "SVG-BADROOT"
-    return "".join(out).encode(), gone, lost, handlers, None
+        return None, *report, "SVG-BADROOT"
+    return "".join(out).encode(), *report, None
+
+
+_COUNTS = T.MapType(T.StringType(), T.LongType())
+SVG_FIELDS = [
+    T.StructField("sanitised", T.BinaryType()),
+    T.StructField("removed_elements", _COUNTS),
+    T.StructField("removed_attributes", _COUNTS),
+    T.StructField("kept_elements", T.LongType()),
+    T.StructField("comments", T.LongType()),
+    T.StructField("instructions", T.LongType()),
+    T.StructField("svg_refused", T.StringType()),
+]
 
 
-SVG_FIELDS = [T.StructField("sanitised", T.BinaryType()), T.StructField("removed_elements", T.LongType()), T.StructField("removed_attributes", T.LongType()), T.StructField("handlers", T.LongType()), T.StructField("svg_refused", T.StringType())]
+def psnr(before: np.ndarray, after: np.ndarray) -> float:
+    """Peak signal-to-noise ratio of 8-bit pixels in decibels; infinite where they are equal."""
+    error = float(((before.astype(np.int32) - after.astype(np.int32)) ** 2).mean()) if before.size else 0.0
+    return float("inf") if error == 0 else 10 * float(np.log10(255 * 255 / error))
+
+
+OPENED = [*PDF_FIELDS[:-1], *IMAGE_FIELDS, *SVG_FIELDS, T.StructField("again", T.BooleanType()), PDF_FIELDS[-1]]
+
+
+def opened(data: bytes, is_pdf: bool, kind: str | None, redo: bool) -> tuple:
+    """OPENED: what the layers that open or rewrite a file find, its streams if it is a PDF and itself rewritten if it is an image or a drawing; and whether an image can be rebuilt for the comparison scanner that asks for no more. An error of one part leaves the others."""
+    failed = lambda fields, broken: (*(None,) * (len(fields) - 1), f"{type(broken).__name__}: {broken}")
+    image, drawing, pdf, again = (None,) * len(IMAGE_FIELDS), (None,) * len(SVG_FIELDS), (None,) * len(PDF_FIELDS), False
+    if is_pdf:
+        try:
+            pdf = inflate_pdf(data)
+        except Exception as broken:
+            pdf = failed(PDF_FIELDS, broken)
+    if kind in ("jpeg", "png", "webp"):
+        try:
+            image = reencode(data)
+        except Exception as broken:
+            image = failed(IMAGE_FIELDS, broken)
+    if kind == "svg":
+        drawing = sanitise_svg(data)
+    if redo:
+        try:
+            again = reencode(data, clear_low_bits=False)[0] is not None
+        except Exception:  # it denies what it can't rebuild
+            again = False
+    return (*pdf[:-1], *image, *drawing, again, pdf[-1])
 
 
 def parse_engine_output(lines: list[str]) -> list[tuple[str, dict[str, str], list[tuple[int, str, str]]]]:

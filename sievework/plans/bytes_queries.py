@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import matched_sql
-from sievework.operators.rewriting import IMAGE_FIELDS, PDF_FIELDS, SVG_FIELDS, inflate_pdf, per_file, png_bytes, png_pixels, reencode, sanitise_svg
+from sievework.operators.rewriting import IMAGE_FIELDS, PDF_FIELDS, SVG_FIELDS, inflate_pdf, per_file, png_bytes, png_pixels, psnr, reencode, sanitise_svg
+from sievework.plans.scan import scan
 
 _TRIGGER = b"/OpenAction /JavaScript "
 
@@ -30,8 +31,22 @@ def _png(text: bytes) -> bytes:
 
 
 def _svg(text: bytes) -> bytes:
-    n = len(text) % 4
-    return b'<svg xmlns="http://www.w3.org/2000/svg" onload="a()">' + b"<script>b()<g/></script>" * n + b'<rect width="1" onclick="c()" data-x="2"/><text>' + str(len(text)).encode() + b"</text></svg>"
+    """A drawing that holds scripts, handlers, foreign elements, nesting, a comment and an instruction, as many as the length says."""
+    n = len(text)
+    parts = [b'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x" onload="a()">', b"<!-- c -->" * (n % 3), b"<?go on?>" * (n % 2), b"<script>b()<g/></script>" * (n % 4), b"<foreignObject><p onclick='z'/></foreignObject>" * (n % 3)]
+    parts += [b'<g style="s" x:href="h"><circle r="1" onmouseover="d()"/><USE/></g>' * (n % 5), b'<rect width="1" onclick="c()" data-x="2"/><text>', str(n).encode(), b"</text></svg>"]
+    return b"".join(parts)
+
+
+def _quiet(text: bytes) -> bytes:
+    """A drawing that no rule matches, with elements and handlers that the sanitiser takes out."""
+    n = len(text)
+    return b'<svg xmlns="http://www.w3.org/2000/svg">' + b"<animate/>" * (n % 3) + b'<rect onfocus="a"/>' * (n % 2) + b"<g/></svg>"
+
+
+def _streams(text: bytes) -> bytes:
+    """A PDF with each line that isn't empty as a deflated stream."""
+    return b"%PDF-1.7\n" + b"".join(b"stream\n" + zlib.compress(line) + b"\nendstream\n" for line in text.split(b"\n") if line)
 
 
 def built(spark: SparkSession, sf_dir: str, f: Callable[[bytes], bytes]) -> DataFrame:
@@ -65,18 +80,91 @@ def img_dimension_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("refused = 'dimensions'").select("doc_id", "width", "height")
 
 
+def fn_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decibels between the pixels of an image and of what it is rewritten to; null where none differs."""
+
+    def loss(content: bytes) -> tuple:
+        value = psnr(png_pixels(content), png_pixels(reencode(content)[0]))
+        return (round(value, 6) if np.isfinite(value) else None), None
+
+    return per_file(built(spark, sf_dir, _png), loss, [T.StructField("psnr", T.DoubleType()), T.StructField("psnr_error", T.StringType())]).select("doc_id", "psnr", "psnr_error")
+
+
+def _sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_file(built(spark, sf_dir, _svg), sanitise_svg, SVG_FIELDS)
+
+
 def l7_svg_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = per_file(built(spark, sf_dir, _svg), sanitise_svg, SVG_FIELDS)
-    return out.select("doc_id", "removed_elements", "removed_attributes", "handlers", F.col("sanitised").cast("string").alias("sanitised"), "svg_refused")
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    handlers = F.map_filter("removed_attributes", lambda k, _: F.startswith(F.lower(k), F.lit("on")))
+    return _sanitised(spark, sf_dir).select("doc_id", total("removed_elements").alias("elements"), total("removed_attributes").alias("attributes"), total(handlers).alias("handlers"), "kept_elements", "comments", "instructions", F.col("sanitised").cast("string").alias("sanitised"), "svg_refused")
+
+
+def agg_removed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sanitiser took out of all drawings, by name."""
+    both = F.array(*(F.struct(F.lit(kind).alias("kind"), F.map_entries(c).alias("names")) for kind, c in (("element", "removed_elements"), ("attribute", "removed_attributes"))))
+    rows = _sanitised(spark, sf_dir).select(F.explode(both).alias("x")).select("x.kind", F.explode("x.names").alias("n"))
+    return rows.groupBy("kind", F.col("n.key").alias("name")).agg(F.sum("n.value").alias("removed"))
+
+
+def join_anti_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes in no allow-list, with how many drawings lose them."""
+    return _sanitised(spark, sf_dir).select(F.explode(F.map_keys("removed_attributes")).alias("attribute")).groupBy("attribute").agg(F.count("*").alias("files"))
+
+
+def topk_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 attributes most often taken out."""
+    return agg_removed_counts(spark, sf_dir).where("kind = 'attribute'").select(F.col("name").alias("attribute"), "removed").orderBy(F.desc("removed"), "attribute").limit(12)
+
+
+def join_range_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 64th place of what a PDF's streams inflate to, and the stream that it came from; places of separators have none."""
+    out = per_file(built(spark, sf_dir, _streams), inflate_pdf, PDF_FIELDS).where("opened > 0")
+    places = out.select("doc_id", "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.length("inflated") - F.lit(1).cast("long"), F.lit(64).cast("long"))).alias("place"))
+    return places.select("doc_id", "place", F.expr("get(filter(spans, s -> place >= s.start AND place < s.start + s.len), 0).stream").alias("stream"))
+
+
+def scan_built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine layers over PDFs with deflated streams, images and drawings."""
+    kinds = (("pdf", "application/pdf", "id", _pdf), ("png", "image/png", "id", _png), ("svg", "image/svg+xml", "profile", _quiet))
+    files = [built(spark, sf_dir, f).select(F.concat(F.col("doc_id").cast("string"), F.lit(f":{ext}")).alias("id"), F.lit(f"a.{ext}").alias("file_name"), F.lit(declared).alias("declared_type"), F.lit(category).alias("category"), "content") for ext, declared, category, f in kinds]
+    return scan(files[0].union(files[1]).union(files[2])).select("id", "decision", "stopped_at", "reason_code", "top_severity", "content_rewritten", "is_neutralized")
+
+
+def agg_ablation_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs that the rules find as they are, and only once inflated."""
+    out = per_file(built(spark, sf_dir, _pdf), inflate_pdf, PDF_FIELDS)
+    for of, c in (("raw_rules", "content"), ("inner_rules", "inflated")):
+        out = out.withColumns({"t": F.decode(c, "ISO-8859-1"), "raw": F.col(c)}).withColumn("low", F.lower("t")).withColumn(of, F.expr(f"size({matched_sql(SPARK)}) > 0")).drop("t", "raw", "low")
+    return out.agg(F.count("*").alias("files"), F.count_if("raw_rules").alias("raw"), F.count_if(F.expr("inner_rules AND NOT raw_rules")).alias("inflated_only"))
 
 
-QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, l7_svg_sanitize)}
+QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, join_range_span, scan_built, agg_ablation_inflated)}
 
 _N = "octet_length(encode(coalesce(text, '')))"
+_ODD = "len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: right(x, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')))"
+_BYTES = f"(CAST(ceil(greatest(1, {_N}) / 48.0) AS BIGINT) * 48)"
+_LEN = f"(SELECT doc_id, {_N} AS n FROM documents)"
+#: (kind, name, how many a drawing of length n loses)
+_LOST = [("element", "script", "n % 4"), ("element", "foreignObject", "n % 3"), ("element", "USE", "n % 5"), ("attribute", "onload", "1"), ("attribute", "style", "n % 5"), ("attribute", "x:href", "n % 5"), ("attribute", "onmouseover", "n % 5"), ("attribute", "onclick", "1"), ("attribute", "data-x", "1")]
+_COUNTED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS name, CAST(sum({x}) AS BIGINT) AS removed, count_if({x} > 0) AS files FROM {_LEN} AS l HAVING sum({x}) > 0" for kind, name, x in _LOST)
+_PARTS = f"""'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x">' || repeat('<!-- c -->', n % 3) || repeat('<?go on?>', n % 2) || repeat('<g><circle r="1"></circle></g>', n % 5) || '<rect width="1"></rect><text>' || n || '</text></svg>'"""
 SQL = {
     "l5b_pdf_flate": f"SELECT doc_id, cast(1 as bigint) AS streams, cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, cast({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END as bigint) AS inflated_bytes, {_N} % 3 = 0 AS auto_script, false AS bomb FROM documents WHERE {_N} > 0",
     "pdf_survey": f"SELECT cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, count(*) AS files, count(*) AS opened, cast(sum({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END) as bigint) AS inflated_bytes FROM documents GROUP BY 1",
     "l6_reencode": f"SELECT doc_id, 'png' AS image_type, cast(16 as bigint) AS width, cast(ceil(greatest(1, {_N}) / 48.0) as bigint) AS height, cast({_N} % 5 as bigint) AS trailing_bytes, cast(0 as bigint) AS low_bits, cast(NULL as string) AS refused, cast(NULL as string) AS decode_error FROM documents",
     "img_dimension_guard": f"SELECT doc_id, cast({_N} + 1 as bigint) AS width, cast(CASE WHEN {_N} % 2 = 1 THEN 20000 ELSE 16 END as bigint) AS height FROM documents WHERE {_N} % 2 = 1 OR {_N} + 1 > 10000",
-    "l7_svg_sanitize": f"""SELECT doc_id, cast({_N} % 4 as bigint) AS removed_elements, cast(3 as bigint) AS removed_attributes, cast(2 as bigint) AS handlers, '<svg xmlns="http://www.w3.org/2000/svg"><rect width="1"></rect><text>' || {_N} || '</text></svg>' AS sanitised, cast(NULL as string) AS svg_refused FROM documents""",
+    "fn_psnr": f"SELECT doc_id, CASE WHEN {_ODD} > 0 THEN round(10 * log10(65025.0 * {_BYTES} / {_ODD}), 6) END AS psnr, CAST(NULL AS VARCHAR) AS psnr_error FROM documents",
+    "l7_svg_sanitize": f"SELECT doc_id, CAST(n % 4 + n % 3 + n % 5 AS BIGINT) AS elements, CAST(3 + 3 * (n % 5) AS BIGINT) AS attributes, CAST(2 + n % 5 AS BIGINT) AS handlers, CAST(3 + 2 * (n % 5) AS BIGINT) AS kept_elements, CAST(n % 3 AS BIGINT) AS comments, CAST(n % 2 AS BIGINT) AS instructions, {_PARTS} AS sanitised, CAST(NULL AS VARCHAR) AS svg_refused FROM {_LEN} AS l",
+    "agg_removed_counts": f"SELECT kind, name, removed FROM ({_COUNTED}) AS c",
+    "join_anti_attrs": f"SELECT name AS attribute, files FROM ({_COUNTED}) AS c WHERE kind = 'attribute'",
+    "topk_attrs": f"SELECT name AS attribute, removed FROM ({_COUNTED}) AS c WHERE kind = 'attribute' ORDER BY removed DESC, name LIMIT 12",
+    "join_range_span": """WITH parts AS (SELECT doc_id, k, octet_length(encode(line)) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE line <> ''),
+spans AS (SELECT doc_id, row_number() OVER w - 1 AS stream, CAST(sum(n + 1) OVER w AS BIGINT) - n - 1 AS start_at, n FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+places AS (SELECT doc_id, CAST(unnest(range(0, total, 64)) AS BIGINT) AS place FROM (SELECT doc_id, CAST(sum(n + 1) AS BIGINT) AS total FROM parts GROUP BY doc_id))
+SELECT p.doc_id, place, s.stream FROM places p LEFT JOIN spans s ON s.doc_id = p.doc_id AND place >= start_at AND place < start_at + n""",
+    "scan_built": f"""SELECT doc_id || ':pdf' AS id, CASE WHEN n % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN n % 3 = 0 THEN 'PdfFlateDecode' ELSE '' END AS stopped_at, CASE WHEN n % 3 = 0 THEN 'pdfflate-survey' ELSE '' END AS reason_code, CASE WHEN n % 3 = 0 THEN 'high' ELSE 'low' END AS top_severity, false AS content_rewritten, false AS is_neutralized FROM {_LEN} AS a
+UNION ALL SELECT doc_id || ':png', 'accepted', '', '', CASE WHEN n % 5 > 0 THEN 'high' ELSE 'medium' END, true, n % 5 > 0 FROM {_LEN} AS b
+UNION ALL SELECT doc_id || ':svg', 'accepted', '', '', CASE WHEN n % 3 + n % 2 > 0 THEN 'high' ELSE 'info' END, true, n % 3 + n % 2 > 0 FROM {_LEN} AS c""",
+    "agg_ablation_inflated": f"SELECT count(*) AS files, 0 AS raw, count_if(n % 3 = 0) AS inflated_only FROM {_LEN} AS l",
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the file-inspection engine. Each is one statement, rendered for Spark and for DuckDB."""
+"""The registered queries of the file-inspection engine. Those of this module are one statement each, rendered for Spark and for DuckDB; bytes_queries and reports have SQL of their own."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.functions.dialect import DUCKDB, SPARK, Spark
 from sievework.functions.rules import RULES, rule_sql
-from sievework.functions.tables import CO_LOCATED, DECLARED_BY_EXTENSION, HOST, LAYERS, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, SVG_ELEMENTS, URL
-from sievework.operators.cascade import cascade, comparators
+from sievework.functions.tables import DECLARED_BY_EXTENSION, HOST, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, SVG_ELEMENTS, URL
+from sievework.operators.cascade import comparators
 from sievework.operators.layers import data_uri, inspected, linkable, listed, namespace, near_misses, scheme, svg_root, view
-from sievework.plans import bytes_queries
+from sievework.plans import bytes_queries, reports
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
 
@@ -19,11 +19,6 @@ TABLES = ("documents", "labels", "pages")
 STATEMENTS: dict[str, Callable[[Spark], str]] = {}
 
 
-def statement(f: Callable[[Spark], str]) -> Callable[[Spark], str]:
-    STATEMENTS[f.__name__] = f
-    return f
-
-
 def subs(d: Spark) -> str:
     return submissions_sql(d)
 
@@ -32,10 +27,6 @@ def seen(d: Spark) -> str:
     return f"({inspected(d, subs(d))}) AS i"
 
 
-def ended(d: Spark) -> str:
-    return f"({cascade(d, subs(d))}) AS c"
-
-
 def both(d: Spark) -> str:
     """Submissions and rule cases, with their measures."""
     cols = "id, truth, category, declared_type, file_name, payload"
@@ -60,18 +51,6 @@ STATEMENTS["l4_lenient_delta"] = lambda d: f"SELECT id, l4, l4_lenient FROM {see
 STATEMENTS["l5_signature"] = lambda d: f"SELECT id, {d.join(d.each('rules', 'r', 'cast(r as string)'), ',')} AS matched FROM {seen(d)}"
 STATEMENTS["l5c_links"] = lambda d: f"SELECT id, l5c, CASE WHEN {linkable(d)} THEN {scheme(d)} END AS scheme, CASE WHEN {linkable(d)} THEN {data_uri(d)} END AS data_uri FROM {seen(d)}"
 
-# the cascade
-STATEMENTS["scan_cascade"] = lambda d: f"SELECT id, decision, stopped_at, reason_code, top_severity, layers_run FROM {ended(d)}"
-STATEMENTS["agg_reason_breakdown"] = lambda d: f"SELECT reason_code, decision, count(*) AS files FROM {ended(d)} GROUP BY reason_code, decision"
-STATEMENTS["agg_top_severity"] = lambda d: f"SELECT top_severity, count(*) AS files FROM {ended(d)} GROUP BY top_severity"
-
-
-@statement
-def agg_funnel(d: Spark) -> str:
-    """Files that reach each layer, and how many it refuses."""
-    layers = " UNION ALL ".join(f"SELECT {k + 1} AS layer_no, '{name}' AS layer" for k, name in enumerate(LAYERS))
-    counts = f"SELECT layers_run, CASE WHEN decision = 'rejected' THEN 1 ELSE 0 END AS refused, count(*) AS n FROM {ended(d)} GROUP BY 1, 2"
-    return f"SELECT l.layer_no, l.layer, cast(sum(c.n) as bigint) AS reached, cast(sum(CASE WHEN c.layers_run = l.layer_no THEN c.n * c.refused ELSE 0 END) as bigint) AS refused FROM ({layers}) AS l JOIN ({counts}) AS c ON c.layers_run >= l.layer_no GROUP BY l.layer_no, l.layer"
 
 
 # rules
@@ -95,29 +74,9 @@ STATEMENTS["yara_counts"] = lambda d: f"SELECT rule, count(*) AS files FROM ({_r
 STATEMENTS["yara_by_severity"] = lambda d: f"SELECT severity, category, count(*) AS matches, count(DISTINCT id) AS files FROM ({_rule_rows(d)}) AS r GROUP BY severity, category"
 
 
-def _hits(d: Spark) -> str:
-    """The first place of each string of rules 9 and 23, a row each: id, rule_no, string, grp, place."""
-    at = "instr" if d.name == "spark" else "strpos"
-    one = [(r.number, k, p) for r in (RULES[8], RULES[22]) for k, (_, p) in r.strings.items()]
-    return " UNION ALL ".join(f"SELECT id, {n} AS rule_no, '{k}' AS string, '{k.rstrip('0123456789')}' AS grp, {at}(low, '{p.lower()}') - 1 AS place FROM {both(d)} WHERE {at}(low, '{p.lower()}') > 0" for n, k, p in one)
-
-
-STATEMENTS["agg_group_hits"] = lambda d: f"SELECT id, rule_no, grp, count(*) AS strings, cast(min(place) as bigint) AS first_at FROM ({_hits(d)}) AS h GROUP BY id, rule_no, grp"
-STATEMENTS["join_proximity"] = lambda d: f"SELECT a.id, a.rule_no, a.grp AS group_a, b.grp AS group_b, cast(min(abs(a.place - b.place)) as bigint) AS distance, min(abs(a.place - b.place)) <= {CO_LOCATED} AS co_located FROM ({_hits(d)}) AS a JOIN ({_hits(d)}) AS b ON a.id = b.id AND a.rule_no = b.rule_no AND a.grp < b.grp GROUP BY a.id, a.rule_no, a.grp, b.grp"
-
-
 # links
-def _hosts(d: Spark) -> str:
-    """id, url, host of every link in linkable files."""
-    return f"SELECT id, url, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM (SELECT id, {d.unnest(d.rx_all('t', ('(?i)' + URL)), 'url')} FROM {both(d)} WHERE {linkable(d)}) AS u"
-
-
-STATEMENTS["fn_urls"] = lambda d: f"SELECT id, {d.join(d.rx_all('t', '(?i)' + URL), ' ')} AS urls FROM {both(d)} WHERE contains(low, '://')"
 STATEMENTS["fn_host"] = lambda d: f"SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages"
-STATEMENTS["agg_link_inventory"] = lambda d: f"SELECT id, count(*) AS links, count(DISTINCT host) AS hosts, count_if({namespace('host')}) AS namespaces, count_if(NOT {namespace('host')}) AS untrusted FROM ({_hosts(d)}) AS h GROUP BY id"
-STATEMENTS["agg_links_per_host"] = lambda d: f"SELECT host, count(*) AS links, count(DISTINCT id) AS files, min(id) AS first_id FROM ({_hosts(d)}) AS h WHERE NOT {namespace('host')} GROUP BY host"
 STATEMENTS["join_semi_allow"] = lambda d: f"SELECT page_id, host FROM (SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages) AS p WHERE " + d.any_of(d.array("'example.com', 'm.example.net'"), "a", f"host = a OR {'endswith' if d.name == 'spark' else 'ends_with'}(host, '.' || a)")
-STATEMENTS["topk_hosts"] = lambda d: f"SELECT id, {d.join(d.first_n(d.distinct_sorted('hosts'), 5), ' ')} AS first_hosts, {d.size('hosts')} AS links FROM (SELECT id, {'collect_list' if d.name == 'spark' else 'list'}(host) AS hosts FROM ({_hosts(d)}) AS h GROUP BY id) AS g"
 
 # scalar functions
 STATEMENTS["fn_sha256"] = lambda d: f"SELECT doc_id, {d.sha256('text')} AS sha256 FROM documents"
@@ -129,87 +88,42 @@ STATEMENTS["yara_preview"] = lambda d: "SELECT doc_id, CASE WHEN length(p) > 40
 STATEMENTS["fn_printable_preview"] = lambda d: f"SELECT doc_id, {d.rx_replace('right(text, 48)', r'[^\x20-\x7e]', '.')} AS preview FROM documents"
 STATEMENTS["fn_count_ci"] = lambda d: f"SELECT page_id, {d.rx_count('html', '(?i)<script')} AS scripts, {d.rx_count('html', '(?i)</p>')} AS paragraphs FROM pages"
 STATEMENTS["fn_index_of_bytes"] = lambda d: f"SELECT page_id, cast({'instr' if d.name == 'spark' else 'strpos'}(html, '<body') - 1 as bigint) AS body_at FROM pages"
-STATEMENTS["fn_reason_code"] = lambda d: f"SELECT id, CASE WHEN code <> '' THEN code WHEN reason = '' THEN '' ELSE 'UNCODED' END AS code FROM (SELECT id, reason, {d.rx_extract('reason', '^([A-Z0-9-]{4,16}):')} AS code FROM (SELECT id, CASE id % 5 WHEN 0 THEN coalesce(l4, 'DE') || ': refused' WHEN 1 THEN 'abc: lower' WHEN 2 THEN coalesce(l3, '') WHEN 3 THEN 'EL-SCHEME: ' || file_name ELSE 'TOO-LONG-A-PREFIX-HERE: x' END AS reason FROM {seen(d)}) AS r) AS q"
 STATEMENTS["fn_csv_quote"] = lambda d: "SELECT doc_id, CASE WHEN " + d.rx("text", r"[,\x22\r\n]") + r""" THEN '"' || replace(""" + d.rx_replace("text", r"[\r\n]", " ") + r""", '"', '""') || '"' ELSE text END AS field FROM documents"""
 STATEMENTS["fn_dvwa_ext"] = lambda d: f"SELECT id, CASE WHEN contains(file_name, '.') THEN lower({d.rx_extract('file_name', r'[.]([^.]*)$')}) ELSE '' END AS ext FROM ({subs(d)}) AS s"
 STATEMENTS["fn_ratio"] = lambda d: f"SELECT doc_id, {d.div('n_chars', 'nullif(doc_id % 7, 0)')} AS ratio FROM documents"
 STATEMENTS["src_sample_suffix"] = lambda d: f"SELECT id, {d.rx_replace('file_name', '(?i)([.]sample)+$', '')} AS name FROM ({subs(d)}) AS s"
 STATEMENTS["src_guess_type"] = lambda d: "SELECT id, CASE ext " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DECLARED_BY_EXTENSION.items()) + f" ELSE 'application/octet-stream' END AS guessed FROM {seen(d)}"
-STATEMENTS["prj_notable"] = lambda d: "SELECT id, " + d.size(d.kept("rules", "r", "r IN (" + ", ".join(str(r.number) for r in RULES if r.severity in ("high", "medium")) + ")")) + f" AS notable FROM {seen(d)}"
-STATEMENTS["prj_unwrap_layer"] = lambda d: f"SELECT id, {d.rx_replace('wrapped', '^Cached[(](.+)[)]$', '$1')} AS layer FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'Cached(' || stopped_at || ')' ELSE stopped_at END AS wrapped FROM {ended(d)}) AS w"
-STATEMENTS["snk_compare_store"] = lambda d: "SELECT id, trim(BOTH '-' FROM " + d.rx_replace("lower(scanner)", "[^a-z0-9]+", "-") + f") || CASE WHEN ext = '' OR length(ext) > 10 THEN '.bin' ELSE ext END AS stored_name FROM (SELECT id, ext, CASE id % 3 WHEN 0 THEN 'DVWA (Low)' WHEN 1 THEN '  Basic Validation!' ELSE 'Static--Analysis' END AS scanner FROM {seen(d)}) AS s"
 STATEMENTS["src_get_file"] = lambda d: f"SELECT id, CASE WHEN lower(category) NOT IN ('profile', 'id') THEN 404 WHEN contains(file_name, '..') OR contains(file_name, '/') OR contains(file_name, '{chr(92) * (2 if d.name == 'spark' else 1)}') THEN 400 ELSE 200 END AS status FROM {seen(d)}"
 STATEMENTS["flt_category"] = lambda d: f"SELECT id, lower(trim(category)) IN ('profile', 'id') AND {octets(d)} > 0 AS passes FROM ({subs(d)}) AS s"
 
 
 # scanners
-def _compared(d: Spark) -> str:
-    """id, truth, scanner, accepted, reason_code, top_severity for the scanners that rewrite nothing and for the cascade."""
-    flat = " UNION ALL ".join(f"SELECT id, truth, '{name}' AS scanner, {test} AS accepted, CASE WHEN {test} THEN '' ELSE 'UNCODED' END AS reason_code, '' AS top_severity FROM measured" for name, test in comparators(d).items())
-    return f"WITH measured AS (SELECT * FROM {seen(d)}), layered AS (SELECT * FROM {ended(d)}) SELECT * FROM ({flat} UNION ALL SELECT id, truth, 'StaticAnalysis' AS scanner, decision = 'accepted' AS accepted, reason_code, top_severity FROM layered) AS x"
-
-
 for _name, _key in (("BasicValidation", "scan_baseline"), ("DVWA-Low", "scan_dvwa_low"), ("DVWA-Medium", "scan_dvwa_medium"), ("DVWA-High", "scan_dvwa_high")):
     STATEMENTS[_key] = lambda d, name=_name: f"SELECT id, {comparators(d)[name]} AS accepted FROM {seen(d)}"
 STATEMENTS["flt_size_ext_type"] = lambda d: f"SELECT id, CASE WHEN {octets(d)} = 0 THEN 'empty' WHEN {octets(d)} > 5242880 THEN 'size' WHEN NOT ext IN {listed(['.jpg', '.jpeg', '.png', '.webp', '.svg', '.pdf'])} THEN 'extension' WHEN NOT ({comparators(d)['BasicValidation']}) THEN 'type' END AS refused FROM {seen(d)}"
-STATEMENTS["compare_run"] = lambda d: f"SELECT id, scanner, accepted, reason_code FROM ({_compared(d)}) AS r"
-STATEMENTS["join_files_x_scanners"] = lambda d: f"SELECT scanner, count(*) AS files, count_if(accepted) AS accepted FROM ({_compared(d)}) AS r GROUP BY scanner"
-STATEMENTS["agg_accept_ratio"] = lambda d: f"SELECT id, count_if(accepted) AS accepted, count(*) AS scanners FROM ({_compared(d)}) AS r GROUP BY id"
-STATEMENTS["prj_outcome3"] = lambda d: f"SELECT id, CASE WHEN decision = 'rejected' THEN 'Rejected' WHEN detected IN ('svg', 'jpeg', 'png', 'webp') THEN 'Neutralized' ELSE 'Accepted' END AS outcome FROM {ended(d)}"
 
 
 # evaluation
-STATEMENTS["corpus_flags"] = lambda d: f"SELECT id, scanner, cast(accepted as int) AS accepted, CASE WHEN top_severity = 'unknown' OR starts_with(reason_code, 'EL-ERROR') OR starts_with(reason_code, 'HCM-PIPELINE') OR starts_with(reason_code, 'SVG-PARSE') THEN 1 ELSE 0 END AS is_scanner_error, CASE WHEN top_severity = 'test' THEN 1 ELSE 0 END AS is_test_only FROM ({_compared(d)}) AS r".replace("starts_with", "startswith" if d.name == "spark" else "starts_with")
-_CONFUSION = "count_if(truth = 'malicious' AND refused) AS tp, count_if(truth = 'malicious' AND NOT refused) AS fn, count_if(truth = 'clean' AND NOT refused) AS tn, count_if(truth = 'clean' AND refused) AS fp"
-STATEMENTS["agg_confusion"] = lambda d: f"SELECT scanner, {_CONFUSION} FROM (SELECT scanner, truth, NOT accepted AS refused FROM ({_compared(d)}) AS r WHERE truth IS NOT NULL) AS q GROUP BY scanner"
-STATEMENTS["agg_severity_gate"] = lambda d: f"SELECT scanner, {_CONFUSION} FROM (SELECT scanner, truth, NOT accepted AND top_severity IN ('high', 'critical') AS refused FROM ({_compared(d)}) AS r WHERE truth IS NOT NULL AND scanner = 'StaticAnalysis') AS q GROUP BY scanner"
-
-
 def metrics(counts: str) -> str:
     """SQL of recall, precision, accuracy, f1, specificity and fpr, null where nothing is counted, from a table with scanner, tp, fn, tn, fp."""
     r = lambda a, b: f"round(cast({a} as double) / nullif({b}, 0), 6)"
     return f"SELECT scanner, {r('tp', 'tp + fn')} AS recall, {r('tp', 'tp + fp')} AS precision, {r('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {r('2 * tp', '2 * tp + fp + fn')} AS f1, {r('tn', 'tn + fp')} AS specificity, {r('fp', 'tn + fp')} AS fpr FROM ({counts}) AS m"
 
 
-STATEMENTS["agg_metrics"] = lambda d: metrics(STATEMENTS["agg_confusion"](d))
 STATEMENTS["agg_metrics_published"] = lambda d: metrics("SELECT 'gated' AS scanner, 5298 AS tp, 251 AS fn, 4067 AS tn, 396 AS fp")
-STATEMENTS["agg_corpus_summary"] = lambda d: f"SELECT count(*) AS processed, count_if(truth = 'malicious') AS malicious, count_if(truth = 'clean') AS clean, count(*) * 6 AS result_rows FROM ({subs(d)}) AS s WHERE truth IS NOT NULL"
 STATEMENTS["src_corpus_status"] = lambda d: f"SELECT g.grp, count(s.id) AS files FROM (SELECT 'malicious' AS grp UNION ALL SELECT 'clean' UNION ALL SELECT 'missing') AS g LEFT JOIN ({subs(d)}) AS s ON s.truth = g.grp GROUP BY g.grp"
 STATEMENTS["agg_ablation"] = lambda d: f"SELECT count_if(l4 IS NOT NULL) AS strict_refused, count_if(l4_lenient IS NOT NULL) AS lenient_refused, count_if({d.size('rules')} > 0 AND l5c IS NULL) AS rules_only, count_if({d.size('rules')} = 0 AND l5c IS NOT NULL) AS links_only FROM {seen(d)}"
-STATEMENTS["agg_quantifiers"] = lambda d: f"SELECT id, {d.size('rules')} > 0 AS any_rule, {d.any_of('rules', 'r', 'r = 9')} AS has_9, {d.size('rules')} > 0 AND NOT {d.any_of('rules', 'r', 'r <> 1')} AS only_test FROM {seen(d)}"
 STATEMENTS["agg_severity_order"] = lambda d: "SELECT severity, rank_no FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, {k} AS rank_no" for k, s in enumerate(SEVERITIES)) + ") AS s"
 
 
-# the verdict cache
-def _order(d: Spark) -> str:
-    return f"SELECT id, {d.sha256('payload')} AS sha256, row_number() OVER (PARTITION BY {d.sha256('payload')} ORDER BY CASE truth WHEN 'malicious' THEN 0 WHEN 'clean' THEN 1 ELSE 2 END, id) AS place FROM ({subs(d)}) AS s"
-
 
-STATEMENTS["win_from_cache"] = lambda d: f"SELECT id, place > 1 AS from_cache FROM ({_order(d)}) AS o"
-STATEMENTS["join_verdict_cache"] = lambda d: f"WITH own AS (SELECT id, {d.sha256('payload')} AS sha256 FROM ({subs(d)}) AS s), cache AS (SELECT DISTINCT sha256 FROM own WHERE id % 3 = 0) SELECT o.id, c.sha256 IS NOT NULL AS hit FROM own AS o LEFT JOIN cache AS c ON o.sha256 = c.sha256"
 
-
-# ranges and sets
-def _spans(d: Spark) -> str:
-    """The texts of a source one after the other, with a separator each, and the buckets of 4096 places that each touches."""
-    spans = "SELECT source, doc_id AS span, sum(n_chars + 1) OVER (PARTITION BY source ORDER BY doc_id) - n_chars - 1 AS start_at, n_chars AS len FROM documents"
-    return f"SELECT *, {d.unnest(d.series('cast(floor(start_at / 4096) as bigint)', 'cast(floor((start_at + len) / 4096) as bigint)'), 'bucket')} FROM ({spans}) AS s WHERE len > 0"
-
-
-STATEMENTS["join_range_span"] = lambda d: f"SELECT o.off_id, s.span FROM (SELECT doc_id AS off_id, source, doc_id * 97 AS off, cast(floor(doc_id * 97 / 4096) as bigint) AS bucket FROM documents) AS o JOIN ({_spans(d)}) AS s ON o.source = s.source AND o.bucket = s.bucket AND o.off >= s.start_at AND o.off < s.start_at + s.len"
+# sets
 STATEMENTS["set_union_groups"] = lambda d: f"SELECT 0 AS group_rank, id, file_name FROM ({subs(d)}) AS s WHERE truth = 'malicious' UNION ALL SELECT 1, id, file_name FROM ({subs(d)}) AS s WHERE truth = 'clean'"
-STATEMENTS["sort_paths"] = lambda d: f"SELECT id, row_number() OVER (PARTITION BY truth ORDER BY file_name, id) AS place FROM ({subs(d)}) AS s WHERE truth IS NOT NULL"
-STATEMENTS["join_anti_attrs"] = lambda d: f"SELECT attribute, count(*) AS uses FROM (SELECT lower({d.rx_extract('hit', '([A-Za-z-]+)=')}) AS attribute FROM (SELECT {d.unnest(d.rx_all('html', ' [A-Za-z-]+=' + chr(34)), 'hit')} FROM pages) AS h) AS a WHERE attribute NOT IN {listed([a.lower() for a in SVG_ATTRIBUTES])} GROUP BY attribute"
 STATEMENTS["join_lookup_hosts"] = lambda d: "SELECT h.host, count(p.page_id) AS pages FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS host" for h in NAMESPACE_HOSTS) + f") AS h LEFT JOIN (SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages) AS p ON p.host = h.host GROUP BY h.host"
 
 
 # what reports list
-STATEMENTS["yara_describe"] = lambda d: f"SELECT id, {d.join(d.each('rules', 'r', 'CASE r ' + ' '.join(f'WHEN {r.number} THEN {chr(39)}{r.name} ({r.severity}){chr(39)}' for r in RULES) + ' END'), ' || ')} AS reason FROM {seen(d)}"
-STATEMENTS["yara_hits"] = lambda d: f"SELECT id, {d.div('(length(low) - length(replace(low, ' + chr(39) + '/j' + chr(39) + ', ' + chr(39) * 2 + ')))', '2')} AS hits FROM {both(d)} WHERE contains(low, '/j')"
-STATEMENTS["topk_strings"] = lambda d: f"SELECT id, rule_no, string, cast(place as bigint) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY place, string) AS k FROM ({_hits(d)}) AS h) AS q WHERE k <= 8"
-STATEMENTS["topk_pairs"] = lambda d: f"SELECT id, rule_no, group_a, group_b, distance FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY distance, group_a, group_b) AS k FROM ({STATEMENTS['join_proximity'](d)}) AS p) AS q WHERE k <= 3"
-STATEMENTS["topk_attrs"] = lambda d: f"SELECT attribute, uses FROM (SELECT attribute, uses, row_number() OVER (ORDER BY uses DESC, attribute) AS k FROM ({STATEMENTS['join_anti_attrs'](d)}) AS a) AS q WHERE k <= 12"
-STATEMENTS["agg_removed_counts"] = lambda d: f"SELECT element, count(*) AS removed FROM (SELECT lower({d.rx_extract('hit', '<([A-Za-z]+)')}) AS element FROM (SELECT {d.unnest(d.rx_all('html', '<[A-Za-z]+'), 'hit')} FROM pages) AS h) AS e WHERE element NOT IN {listed([e.lower() for e in SVG_ELEMENTS])} GROUP BY element"
 STATEMENTS["fn_last_index_bytes"] = lambda d: f"SELECT page_id, CASE WHEN contains(html, '</p>') THEN cast(length(html) - {'instr' if d.name == 'spark' else 'strpos'}(reverse(html), '>p/<') + 1 as bigint) END AS end_at FROM pages"
 def riff_end(source: str) -> str:
     """Spark SQL: id and the end that a RIFF header states, from bytes 4 to 7 of `content`; null where it is below 12 or beyond the content."""
@@ -217,12 +131,13 @@ def riff_end(source: str) -> str:
     return f"SELECT id, CASE WHEN end_at BETWEEN 12 AND octet_length(content) THEN end_at END AS end_at FROM (SELECT id, content, {stated} AS end_at FROM ({source}) AS c) AS r"
 
 
-# the SQL that it is checked against has three of the four bytes and 8 of 13 classes of ids, so results differ
-STATEMENTS["fn_riff_end"] = lambda d: riff_end(f"SELECT id, encode(payload, 'UTF-8') AS content FROM ({subs(d)}) AS s") if d.name == "spark" else f"SELECT id, cast(8 + ascii(substr(payload, 5, 1)) + 256 * ascii(substr(payload, 6, 1)) + 65536 * ascii(substr(payload, 7, 1)) as bigint) AS end_at FROM ({subs(d)}) AS s WHERE length(payload) >= 8 AND id % 13 IN (1, 2, 4, 5, 7)"
-STATEMENTS["src_list_files"] = lambda d: f"SELECT category, file_name AS stored_name, {octets(d)} AS size FROM {ended(d)} WHERE decision = 'accepted'"
-STATEMENTS["snk_json_response"] = lambda d: "SELECT id, '{\"id\":' || id || ',\"accepted\":' || CASE WHEN decision = 'accepted' THEN 'true' ELSE 'false' END || '}' AS response FROM " + ended(d)
-STATEMENTS["flt_demo_gate"] = lambda d: f"SELECT id, CASE WHEN id % 2 = 0 THEN stopped_at ELSE '' END AS trace, CASE WHEN id % 2 = 0 THEN 200 ELSE 404 END AS compare_status FROM {ended(d)}"
-STATEMENTS["corpus_run"] = lambda d: f"SELECT r.id, s.sha256, s.size_bytes, s.category, r.scanner, cast(r.accepted as int) AS accepted, r.reason_code, r.top_severity FROM ({_compared(d)}) AS r JOIN (SELECT id, category, {d.sha256('payload')} AS sha256, {octets(d)} AS size_bytes FROM ({subs(d)}) AS b) AS s ON r.id = s.id WHERE r.truth IS NOT NULL"
+def _riff_sql() -> str:
+    byte = lambda k: f"CAST('0x' || substr(raw, {2 * k + 1}, 2) AS BIGINT)"
+    end = "8 + " + " + ".join(f"{256**k} * {byte(4 + k)}" for k in range(4))
+    return f"SELECT id, CASE WHEN end_at BETWEEN 12 AND length(raw) // 2 THEN end_at END AS end_at FROM (SELECT id, raw, CASE WHEN length(raw) >= 16 THEN {end} END AS end_at FROM (SELECT id, hex(encode(payload)) AS raw FROM ({submissions_sql(DUCKDB)}) AS s) AS h) AS r"
+
+
+STATEMENTS["fn_riff_end"] = lambda d: riff_end(f"SELECT id, encode(payload, 'UTF-8') AS content FROM ({subs(d)}) AS s") if d.name == "spark" else _riff_sql()
 
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -237,8 +152,8 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(name) for name in STATEMENTS} | bytes_queries.QUERIES
+    return {name: _run(name) for name in STATEMENTS} | bytes_queries.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f(DUCKDB) for name, f in STATEMENTS.items()} | bytes_queries.SQL
+    return {name: f(DUCKDB) for name, f in STATEMENTS.items()} | bytes_queries.SQL | reports.SQL

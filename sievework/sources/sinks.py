@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The header of the fact table.
 COLUMNS = ["file", "relative_path", "sha256", "size_bytes", "truth", "category", "scanner", "accepted", "content_rewritten", "is_scanner_error", "is_test_only", "is_neutralized", "stopped_at_layer", "reason_code", "top_severity", "layers_run", "from_cache", "elapsed_ms", "stored_size", "reason"]
 
 
+def csv_field(c: str) -> F.Column:
+    """A value as a field: quoted only if it has a comma, a quote or a line break; quotes doubled and line breaks as spaces inside; null and empty are both empty."""
+    value = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.translate(F.replace(value, F.lit('"'), F.lit('""')), "\r\n", "  "), F.lit('"'))
+    return F.when(value.rlike('[,"\r\n]'), quoted).otherwise(value)
+
+
 def write_csv(results: DataFrame, path: str) -> None:
-    """The fact table with its header: quotes only where needed, doubled inside; line breaks become spaces; null and empty are both empty."""
-    flat = results.select(*(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\r\n", "  ").alias(c) for c in COLUMNS if c in results.columns))
-    flat.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    """The fact table with its header in each file, blanks kept as they are."""
+    own = [c for c in COLUMNS if c in results.columns]
+    lines = results.select(F.concat_ws(",", *(csv_field(c) for c in own)).alias(",".join(own)))
+    # the fields are quoted already; the writer adds nothing
+    writer = lines.write.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\x01")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path)
 
 
 def stored(scanned: DataFrame, extension: str = "ext") -> DataFrame:
-    """Accepted content under a random name with the submitted extension: stored_name, content."""
-    return scanned.where("decision = 'accepted'").select(F.concat(F.translate(F.expr("uuid()"), "-", ""), F.col(extension)).alias("stored_name"), "content")
+    """Accepted content under a random name with the submitted extension, in its category's folder: folder, stored_name, content."""
+    folder = F.lower(F.trim("category")) if "category" in scanned.columns else F.lit("")
+    return scanned.where("decision = 'accepted'").select(folder.alias("folder"), F.concat(F.translate(F.expr("uuid()"), "-", ""), F.col(extension)).alias("stored_name"), "content")
 
 
 def as_json(scanned: DataFrame, demo: bool = False) -> DataFrame:

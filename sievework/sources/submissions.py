@@ -59,17 +59,23 @@ FROM (SELECT d.doc_id, d.text, l.toxic FROM documents d LEFT JOIN labels l ON d.
 
 
 def corpus(spark: SparkSession, root: str, category: str = "id") -> DataFrame:
-    """The files under <root>/malicious and <root>/clean, in no order: path, truth, file_name, declared_type, category, content. Files that can't be read are left out."""
+    """The files under <root>/malicious and <root>/clean, in no order: path, truth, file_name, declared_type, category, content. truth is the folder right below root. Files that can't be read are left out; `unread` counts them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(f"{root}/*")
     name = F.expr(r"regexp_replace(element_at(split(path, '/'), -1), r'(?i)(\.sample)+$', '')")
-    return files.select(
-        "path",
-        F.regexp_extract("path", "/(malicious|clean)/", 1).alias("truth"),
-        name.alias("file_name"),
-        declared_type(name).alias("declared_type"),
-        F.lit(category).alias("category"),
-        "content",
-    ).where("truth <> ''")
+    return files.select("path", _group(root).alias("truth"), name.alias("file_name"), declared_type(name).alias("declared_type"), F.lit(category).alias("category"), "content").where("truth <> ''")
+
+
+def _group(root: str) -> F.Column:
+    """malicious or clean, if that is the folder right below root on the path."""
+    below = F.split_part("path", F.lit(f"{root.rstrip('/').split('://')[-1].split(':', 1)[-1]}/"), F.lit(2))
+    group = F.split_part(below, F.lit("/"), F.lit(1))
+    return F.when(group.isin("malicious", "clean"), group).otherwise("")
+
+
+def unread(spark: SparkSession, root: str) -> int:
+    """How many of the corpus' files are listed but can't be read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*").select("path", _group(root).alias("truth")).where("truth <> ''").count()
+    return listed - corpus(spark, root).count()
 
 
 def declared_type(name) -> F.Column:

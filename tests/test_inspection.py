@@ -7,12 +7,15 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import RULES, rule_sql
 from sievework.operators import rewriting as R
 from sievework.plans import catalogue
+from sievework.operators import hits
+from sievework.plans import reports
 from sievework.plans.scan import scan
 from sievework.sources.cases import CASES, cases_sql
 from sievework.sources.submissions import corpus, listing
@@ -33,7 +36,10 @@ def duck():
     return con
 
 
-SOME = ["l1_extension", "l2_magic", "l2_foreign", "l3_header", "l4_double_ext", "l5_signature", "l5c_links", "agg_reason_breakdown", "agg_funnel", "agg_links_per_host", "join_proximity", "agg_metrics", "win_from_cache", "join_range_span"]
+SOME = [
+    "l1_extension", "l2_magic", "l2_svg", "l2_foreign", "l3_header", "l4_double_ext", "l5_signature", "l5c_links", "fn_riff_end", "yara_hits", "join_proximity", "yara_evidence", "yara_describe", "scan_layered", "scan_evidence", "agg_funnel",
+    "compare_run", "corpus_run", "agg_metrics", "sort_paths", "agg_links_per_host", "l5b_pdf_flate", "l6_reencode", "fn_psnr", "l7_svg_sanitize", "agg_removed_counts", "join_range_span", "scan_built",
+]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -115,11 +121,40 @@ def test_images():
 
 
 def test_svg():
-    out = R.sanitise_svg(b'<svg xmlns="http://www.w3.org/2000/svg" onload="x()"><script>1<g/></script><foreignObject/><a xlink:href="y" xmlns:xlink="z"><g/></a><rect width="1&quot;"/></svg>')
-    assert out[0].decode() == '<svg xmlns="http://www.w3.org/2000/svg"><rect width=\'1"\'></rect></svg>'
-    assert out[1:] == (3, 1, 1, None)
-    assert R.sanitise_svg(b"<!DOCTYPE svg [<!ENTITY a 'b'>]><svg/>")[4].startswith("SVG-PARSE")
-    assert R.sanitise_svg(b"<html><svg/></html>")[4] == "SVG-BADROOT" and R.sanitise_svg(b"")[4].startswith("SVG-PARSE")
+    out = R.sanitise_svg(b'<svg xmlns="http://www.w3.org/2000/svg" onload="x()"><!--c--><script>1<g/></script><foreignObject/><SCRIPT/><a xlink:href="y" xmlns:xlink="z"><g/></a><?p q?><rect width="1&quot;"/></svg>')
+    assert out[0].decode() == '<svg xmlns="http://www.w3.org/2000/svg"><!--c--><?p q?><rect width=\'1"\'></rect></svg>'
+    assert out[1:] == ({"script": 2, "foreignObject": 1, "a": 1}, {"onload": 1}, 2, 1, 1, None)
+    assert R.sanitise_svg(b"<!DOCTYPE svg [<!ENTITY a 'b'>]><svg/>")[6].startswith("SVG-PARSE")
+    assert R.sanitise_svg(b"<html><svg/></html>")[6] == "SVG-BADROOT" and R.sanitise_svg(b"")[6].startswith("SVG-PARSE")
+
+
+def test_psnr():
+    x = np.full((2, 2, 3), 7, np.uint8)
+    assert R.psnr(x, x) == float("inf") and abs(R.psnr(x, x - 1) - 10 * np.log10(65025)) < 1e-9
+
+
+def places(text, rx):
+    """By brute force: everywhere that the pattern begins."""
+    import re
+
+    return [i for i in range(len(text)) if re.compile(rx.encode("latin-1")).match(text, i)]
+
+
+def test_hits_are_all_places_in_bytes(spark):
+    body = "é%PDF /JavaScript /openaction /JavaScript é /AA /AA é /JavaScript/JS".encode()
+    files = [(1, body), (2, b"%PDF /Launch/launch/LAUNCH"), (3, b"<?php eval( $_POST[a]( $_GET[1](".replace(b"(", b" (")), (4, b"BMx <?php system ( MZ")]
+    df = spark.createDataFrame(files, "id int, content binary").selectExpr("id", "decode(content, 'ISO-8859-1') AS t").withColumn("rules", F.expr("array(9, 10, 2, 3, 5, 19)"))
+    for r in df.selectExpr("id", f"{hits.fired('rules')} AS fired").collect():
+        text = dict(files)[r["id"]]
+        for f in r["fired"]:
+            rule = RULES[f["rule_no"] - 1]
+            want = [(k, p) for k, (kind, x) in rule.strings.items() for p in places(text, hits.regex_of(kind, x))]
+            assert [(h["string"], h["place"]) for h in f["hits"]] == want
+            groups = {}
+            for h in f["hits"]:
+                groups.setdefault(h["grp"], []).append(h["place"])
+            pairs = sorted((min(abs(a - b) for a in groups[x] for b in groups[y]), x, y) for x in groups for y in groups if x < y)
+            assert [(p["distance"], p["group_a"], p["group_b"]) for p in f["near"]] == pairs
 
 
 def test_engine_output():
@@ -141,13 +176,39 @@ FILES = [
     ("d.pdf", "application/pdf", "id", b"%PDF-1.7 (vbscript:x)", "EL-SCHEME"),
     ("e.pdf", "application/pdf", "id", b"%PDF-1.7 fine", ""),
     ("f.png", "image/png", "id", R.png_bytes(np.full((2, 2, 3), 7, np.uint8)), ""),
-    ("g.png", "image/png", "id", b"\x89PNG\r\n\x1a\n broken", "image-reencode"),
+    ("g.png", "image/png", "id", b"\x89PNG\r\n\x1a\n broken", "scanner-error"),
     ("h.svg", "image/svg+xml", "profile", b"<svg><rect/></svg>", ""),
     ("i.svg", "image/svg+xml", "profile", b"<html><svg/></html>", "SVG-BADROOT"),
     ("j.pdf", None, "id", None, "magic-size"),
 ]
 
 
+def test_layers_report(spark):
+    files = [
+        ("a.pdf", "application/pdf", "id", pdf(zlib.compress(zlib.compress(b"/OpenAction /JS")))),
+        ("b.png", "image/png", "id", R.png_bytes(np.full((2, 2, 3), 7, np.uint8)) + b"xx"),
+        ("c.svg", "image/svg+xml", "profile", b"<svg><animate/><rect onfocus='a' /><!-- c --></svg>"),
+        ("d.pdf", "image/png", "id", "é%PDF".encode()),
+        ("e.svg", "image/svg+xml", "profile", b" " * 1020 + b"<svg/>"),
+        ("f.svg", "image/svg+xml", "profile", "é".encode() * 511 + b"<svg>"),
+    ]
+    df = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "id int, file_name string, declared_type string, category string, content binary")
+    got = {r["id"]: r for r in scan(df).collect()}
+    kinds = lambda k: {(e["layer_no"], e["kind"], e["severity"]) for e in got[k]["evidence"]}
+    assert {(6, "pdfflate-survey", "low"), (6, "pdfflate-yara-rule", "high"), (6, "pdfflate-yara-proximity", "high")} <= kinds(0) and got[0]["reason_code"] == "pdfflate-survey" and got[0]["top_severity"] == "high"
+    assert {(8, "reencode-trailing", "high"), (8, "reencode-rewrite", "high"), (9, "svg-scope", "info")} <= kinds(1) and got[1]["is_neutralized"] and got[1]["content_rewritten"]
+    assert {(9, "svg-notable", "high"), (9, "svg-preserved", "low"), (9, "svg-rewrite", "high")} <= kinds(2) and got[2]["is_neutralized"]
+    assert got[3]["stopped_at"] == "MagicBytes" and got[3]["layers_run"] == 2 and not got[3]["content_rewritten"]
+    assert got[4]["detected"] == "svg" and got[5]["detected"] is None  # the marker ends at byte 1024, or beyond it
+
+
+def test_six_scanners(spark):
+    files = [("a.png", "image/png", "id", R.png_bytes(np.zeros((1, 1, 3), np.uint8))), ("b.jpg", "image/jpeg", "id", b"\xff\xd8\xff no image"), ("c.PNG", "image/png", "id", b"\x89PNG\r\n\x1a\n broken"), ("d.gif", "image/gif", "id", b"GIF89a")]
+    df = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "id int, file_name string, declared_type string, category string, content binary")
+    got = {r["id"]: [r[f"in_{n}"] for n in ("DVWA-Low", "DVWA-Medium", "DVWA-High", "DVWA-Impossible", "BasicValidation")] for r in scan(df).collect()}
+    assert got == {0: [True] * 5, 1: [True, True, True, False, True], 2: [True, True, True, False, True], 3: [True, False, False, False, False]}
+
+
 def test_scan(spark):
     files = spark.createDataFrame([(k, *f[:4]) for k, f in enumerate(FILES)], "id int, file_name string, declared_type string, category string, content binary")
     got = {r["id"]: r for r in scan(files).collect()}
@@ -160,20 +221,22 @@ def test_files_and_stream(spark, tmp_path):
     from sievework.sources.sinks import as_json, stored, write_csv
     from sievework.streaming.uploads import verdicts
 
-    for group, name, content in (("malicious", "x.pdf.sample.SAMPLE", b"%PDF /Launch"), ("clean", "sub/y.pdf", b"%PDF fine")):
+    from sievework.sources.submissions import unread
+
+    for group, name, content in (("malicious", "x.pdf.sample.SAMPLE", b"%PDF /Launch"), ("clean", "malicious/y.pdf", b"%PDF fine")):
         path = tmp_path / "root" / group / name
         path.parent.mkdir(parents=True)
         path.write_bytes(content)
     seen = {r["truth"]: r for r in corpus(spark, str(tmp_path / "root")).collect()}
     assert seen["malicious"]["file_name"] == "x.pdf" and seen["malicious"]["declared_type"] == "application/pdf" and bytes(seen["clean"]["content"]) == b"%PDF fine"
-    assert listing(spark, str(tmp_path / "root")).count() == 2
+    assert listing(spark, str(tmp_path / "root")).count() == 2 and unread(spark, str(tmp_path / "root")) == 0
     verdicts(spark, str(tmp_path / "root"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     done = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["decision"] for r in done.collect()) == ["accepted", "rejected"]
-    assert len(stored(done.selectExpr("*", "'.pdf' as ext")).first()["stored_name"]) == 36
+    assert len(stored(done).first()["stored_name"]) == 36
     assert '"accepted":true' in as_json(done.where("decision = 'accepted'")).first()["response"]
-    write_csv(spark.createDataFrame([('a,"b"', "x\ny", None)], "file string, reason string, truth string").select("file", "truth", "reason").coalesce(1), str(tmp_path / "csv"))
-    assert [x for f in (tmp_path / "csv").glob("*.csv") for x in f.read_text().splitlines()] == ["file,truth,reason", '"a,""b""",,x y']
+    write_csv(spark.createDataFrame([('a,"b"', "x\ny", None), ("  pad .png ", "'q'", "")], "file string, reason string, truth string").select("file", "truth", "reason").coalesce(1), str(tmp_path / "csv"))
+    assert [x for f in (tmp_path / "csv").glob("*.csv") for x in f.read_text().split("\n") if x] == ["file,truth,reason", '"a,""b""",,"x y"', "  pad .png ,,'q'"]
 
 
 def test_entry_has_sql_for_each_query():
