@@ -139,7 +139,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(part, toxic, chosen, features) to the features that tell toxic documents, by part, and those that enough chosen documents have."""
     parts = len(TOXIC)
-    counts, docs, df = np.zeros((parts, 2, 1 << BITS), dtype=np.int32), np.zeros((parts, 2)), np.zeros(1 << BITS, dtype=np.int32)
+    counts, docs, df = np.zeros((parts, 2, 1 << BITS), dtype=np.uint16), np.zeros((parts, 2)), np.zeros(1 << BITS, dtype=np.uint16)  # of FIT_ROWS documents
     for batch in batches:
         for part, toxic, chosen, x in zip(*(batch.column(k) for k in range(4)), strict=True):
             own, part, toxic = np.frombuffer(x.as_buffer(), np.int32), part.as_py(), toxic.as_py()
@@ -151,14 +151,14 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = []
     for k in range(parts):
         enough = np.flatnonzero(counts[k, 1] >= LEARNT_DOCS)
-        bad, good = ((counts[k, y, enough] + 0.5) / (docs[k, y] + 1) for y in (1, 0))
+        bad, good = ((counts[k, y, enough].astype(np.float64) + 0.5) / (docs[k, y] + 1) for y in (1, 0))
         lists.append(enough[bad >= LEARNT_LIFT * good])
     found = [*lists, np.flatnonzero(df >= LEAST_DOCS)]
     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(found).astype(np.int32).tobytes()], pa.binary()), pa.array([[len(x) for x in found]])], names=["learnt", "sizes"])
 
 
 def _cast(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, pattern of votes, features): the bins, and after them the places of its known features."""
+    """(doc_id, text, text_hash) to (doc_id, text_hash, pattern of votes, features): the bins, and after them the places of its known features."""
     *lists, known = sent.value
     place = np.full((1 << BITS) + 1, -1, dtype=np.int32)  # the last is that of -1
     place[known] = _BASES[-1] + np.arange(len(known))
@@ -173,7 +173,7 @@ def _cast(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             bin_owners, numbers = bins(np.c_[shape, learnt, learnt.mean(1) / np.maximum(1, shape[:, 0])])
             own = _rows(np.r_[np.tile(owners, len(features)), bin_owners], np.r_[place[features].reshape(-1), numbers], rows)
             pattern = (votes(shape, says) * 3 ** np.arange(len(JUNK) + len(TOXIC))).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(pattern, pa.int32()), textscan.binaries(*own)], names=["doc_id", "pattern", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, rows) for k in (0, 2)), pa.array(pattern, pa.int32()), textscan.binaries(*own)], names=["doc_id", "text_hash", "pattern", "features"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, gold: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -234,14 +234,14 @@ def _fit(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
 
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(doc_id, features) to (doc_id, junk, toxic)."""
+    """(doc_id, text_hash, features) to (doc_id, junk, toxic, text_hash)."""
     w = np.frombuffer(sent.value, np.float64).reshape(-1, 2)
     for batch in batches:
-        rows = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1)]
+        rows = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
         owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
         flat = np.concatenate([*rows, np.full(len(rows), len(w) - 1, dtype=np.int32)])
         out = score(flat, np.r_[owner, np.arange(len(rows))], w, len(rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=["doc_id", "junk", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1]), batch.column(1)], names=["doc_id", "junk", "toxic", "text_hash"])
 
 
 def posteriors(counted: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
@@ -254,7 +254,7 @@ def posteriors(counted: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text; further columns are ignored, whatever their names): doc_id, junk and toxic (the scorer's probabilities), kept (both below THRESHOLD).
+    """One row per row of docs (doc_id, text; further columns are ignored, whatever their names): doc_id, junk and toxic (the scorer's probabilities), kept (both below THRESHOLD), and text_hash, xxhash64 of the text, on which alone the verdict depends.
 
     labels: (doc_id, quality 0/1, toxic 0/1); of several rows of a document the worst counts, nulls are no vote, and so are rows without doc_id. A null or empty text has no words and is scored by its empty counts and the bias. Texts of any length are measured whole, one at a time beyond a megabyte. Repeated rows and null ids are scored like any other; null ids aren't fitted on, and of rows with one doc_id one is. Ties of hashes go by doc_id. The fit takes fit_rows documents, with or without a label, whose targets are the posteriors of their votes. Without labels the heuristics of shape alone estimate. No rows give no rows."""
     spark = docs.sparkSession
@@ -272,7 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scrat
     learnt = sample.repartition(1).mapInArrow(_learn, "learnt binary, sizes array<long>").first() or (b"", [0] * (len(TOXIC) + 1))
     learnt = np.split(np.frombuffer(bytes(learnt[0]), np.int32), np.cumsum(learnt[1])[:-1])
     sent = spark.sparkContext.broadcast(learnt)  # features that LEAST_DOCS of the chosen or LEARNT_DOCS of the labelled documents share
-    cast = scratch.save(own.mapInArrow(lambda batches: _cast(batches, sent), "doc_id long, pattern int, features binary"), "cast")
+    hashed = own.withColumn("text_hash", F.xxhash64("text"))
+    cast = scratch.save(hashed.mapInArrow(lambda batches: _cast(batches, sent), "doc_id long, text_hash long, pattern int, features binary"), "cast")
     silent = lambda c: F.coalesce(c, F.lit(NONE)).alias(c)
     votes_of = lambda df: df.join(gold, "doc_id", "left").withColumns({c: silent(c) for c in ("gold_junk", "gold_toxic")})
     counted = [tuple(r) for r in votes_of(cast.select("doc_id", "pattern")).groupBy("pattern", "gold_junk", "gold_toxic").count().collect()]  # at most 3 ** 11 patterns
@@ -283,5 +284,5 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scrat
     model = scratch.save(fitted.select("features", "junk", "toxic", "doc_id").repartition(1).sortWithinPartitions("doc_id").mapInArrow(lambda batches: _fit(batches, size), "weights binary"), "model").first()
     weights = spark.sparkContext.broadcast(bytes(model[0]) if model else np.zeros((size + 1, 2)).tobytes())  # no rows, no weights
     scratch.retain("cast")
-    scored = cast.select("doc_id", "features").mapInArrow(lambda batches: _score(batches, weights), "doc_id long, junk double, toxic double")
+    scored = cast.select("doc_id", "text_hash", "features").mapInArrow(lambda batches: _score(batches, weights), "doc_id long, junk double, toxic double, text_hash long")
     return scored.withColumn("kept", (F.col("junk") < THRESHOLD) & (F.col("toxic") < THRESHOLD))

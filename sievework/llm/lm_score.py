@@ -36,11 +36,24 @@ def held_out(doc_id: int | None) -> bool:
     return crc32(("" if doc_id is None else str(doc_id)).encode()) % HELD_MODULUS == HELD
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BLOCK_BYTES, so that a word is counted once in many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        for low, high, data, offsets in textscan.slices(batch.column(1), BLOCK_BYTES):
+    for batch in _gathered(batches):
+        for low, high, data, offsets in textscan.slices(batch.column(1), 2 * BLOCK_BYTES):
             lower = textscan.LOWER[data]
             starts, ends, first = textscan.words(lower, offsets)
             every, firsts = tokens.with_end(textscan.hash_spans(lower, starts, ends), first, END_HASH)

@@ -475,3 +475,79 @@ def test_classifier(spark, none):
     odd = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 1000 and r["doc_id"] % 2]  # held-out: without a label
     assert np.mean([r["kept"] == (r["doc_id"] % 5 not in (1, 2)) for r in odd]) > 0.98
     assert classifier.classify(none, labels.limit(0)).count() == 0
+
+
+def test_measures_against_plain_python():
+    texts = ["", " \n ", "one two", prose(30) + "\n" + prose(5) + "\n\n" + prose(5), "a # b # " * 20, ("x y z u v w " * 4) + "\nx\nx\n", "naïve café — 中文 " * 12, BASE + "\n" + BASE, prose(60_000)]
+    got = [(shape[d], owners, features, d) for low, high, shape, owners, features in classifier.measures(pa.array(texts)) for d in range(high - low)]
+    for text, (shape, owners, features, d) in zip(texts, got, strict=True):
+        w = (text.encode().lower()).split()
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        five = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        n = max(1, len(w))
+        want = [len(w), len(re.findall(r"[#*$%&|<>]", text)) / n, 1 - len(set(lines)) / max(1, len(lines)) if lines else 0, 1 - len(five) / (len(w) - 4) if len(w) >= 10 else 0, len(set(w)) / n, sum(len(x.decode()) for x in w) / n]
+        assert shape == pytest.approx(want)
+        bare = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+        known = {(k, x[:k] if k else x) for x in bare for k in (0, *classifier.STEMS) if not k or len(x) > k}
+        own = features[:, owners == d]
+        assert len(known) - 3 <= len(set(own[own >= 0].tolist())) <= len(known)  # hashes may meet
+
+
+def test_posteriors_against_a_sum_over_documents():
+    """The same estimate from documents one by one, in plain Python, as from counts of patterns."""
+    rng = np.random.default_rng(4)
+    votes = [[int(x) for x in rng.choice([0, 1, 2], 4, p=[0.6, 0.2, 0.2])] for _ in range(300)]
+    patterns, where, counts = np.unique(np.array(votes), axis=0, return_inverse=True, return_counts=True)
+    posterior, _, _ = classifier.estimate(patterns, counts.astype(float), 3, rounds=20)
+    rates = [[0.1, 0.7] for _ in range(3)] + [[0.03, 0.97]]
+    prior, own = 0.2, []
+    for _ in range(20):
+        own = []
+        for v in votes:
+            good, bad = 1 - prior, prior
+            for (g, b), x in zip(rates, v, strict=True):
+                good *= {0: 1 - g, 1: g, 2: 1}[x]
+                bad *= {0: 1 - b, 1: b, 2: 1}[x]
+            own.append(bad / (good + bad))
+        for k in range(4):
+            for y, start in ((0, 0.1), (1, 0.7)):
+                weight = [p if y else 1 - p for p in own]
+                said = [sum(w for w, v in zip(weight, votes, strict=True) if v[k] == x) for x in (0, 1)]
+                rates[k][y] = min(max((said[1] + start) / (sum(said) + 1), 1e-4), 1 - 1e-4)
+        prior = min(max(sum(own) / len(own), 1e-4), 0.9)
+    assert posterior[where] == pytest.approx(own, abs=1e-6)
+
+
+def test_scorer_against_plain_python():
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(9, 2))
+    rows = [[0, 3, 7], [], [1]]
+    flat, owner = np.concatenate([np.array(r, int) for r in rows] + [np.full(3, 8)]), np.array([0, 0, 0, 2, 0, 1, 2])
+    want = [[1 / (1 + math.exp(-(sum(w[f, q] for f in r) + w[8, q]))) for q in (0, 1)] for r in rows]
+    assert classifier.score(flat, owner, w, 3) == pytest.approx(np.array(want))
+
+
+def test_language_model_against_plain_python():
+    """The normalised log-probability of each class, summed out one by one."""
+    rng = np.random.default_rng(6)
+    model = lm_score.Model(rng.dirichlet(np.ones(lm_score.CLASSES)))
+    context, target = rng.integers(0, lm_score.CLASSES + 1, (6, lm_score.CONTEXT)), rng.integers(0, lm_score.CLASSES, 6)
+    for at, want in zip(range(6), model.log10(context, target), strict=True):
+        h = [sum(model.p["r"][context[at, j], d] * model.p["c"][j, d] for j in range(lm_score.CONTEXT)) for d in range(lm_score.WIDTH)]
+        scores = [sum(h[d] * model.p["q"][c, d] for d in range(lm_score.WIDTH)) + model.p["b"][c] for c in range(lm_score.CLASSES)]
+        assert want == pytest.approx((scores[target[at]] - math.log(sum(map(math.exp, scores)))) / math.log(10), abs=1e-4)
+
+
+def test_every_row_held_out(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    out = lm_score.score_documents(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").withColumns({"held": F.lit(1), "codes": F.lit("x")})).collect()
+    assert len(out) == 5 and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 for r in out)
+
+
+def test_clashing_columns(docs):
+    more = {c: F.lit("x") for c in ("length", "block", "offset", "rank", "before", "stratum", "kept", "rid", "features", "pattern", "text_hash", "held")}
+    docs = docs.withColumns(more)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"), "kept", "length").union(docs.select("doc_id", F.lit(0), F.lit(0), "kept", "length"))
+    n = len(ROWS)
+    assert packing.pack(docs).where("start = 0").count() == n and quality_rules.judge(docs, labels).count() == n
+    assert classifier.classify(docs, labels).count() == n and near_dedup.near_duplicates(docs).count() == n and token_counts.document_token_counts(docs).count() == n
