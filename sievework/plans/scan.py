@@ -33,7 +33,7 @@ def _magic() -> str:
     """What the second layer reports."""
     svg_at = "instr(probe, '<svg') - 1"
     types = " ".join(f"WHEN '{t}' THEN array({', '.join(H.item(2, repr('magic-match'), repr(f'{t} @{off}'), str(off), repr('info')) for off, _ in parts)})" for t, parts in L.SIGNATURES.items())
-    near = f"transform(filter(split({L.near_misses(SPARK)}, ','), x -> x <> ''), x -> {H.item(2, repr('magic-near-miss'), 'split_part(x, ' + repr(':') + ', 1)', 'cast(split_part(split_part(x, ' + repr('@') + ', 2), ' + repr(':') + ', 1) as bigint) + cast(split_part(x, ' + repr(':') + ', 2) as bigint)', repr('low'))})"
+    near = f"transform(filter(split({L.near_misses(SPARK)}, ','), x -> x <> ''), x -> {H.item(2, repr('magic-near-miss'), 'replace(split_part(x, ' + repr(':') + ', 1), ' + repr('@') + ', ' + repr(' @') + ')', 'cast(split_part(split_part(x, ' + repr('@') + ', 2), ' + repr(':') + ', 1) as bigint) + cast(split_part(x, ' + repr(':') + ', 2) as bigint)', repr('low'))})"
     foreign = f"CASE WHEN {L.foreign(SPARK)} IS NULL THEN {_none} ELSE array({H.item(2, repr('magic-foreign'), L.foreign(SPARK), L.foreign_at(SPARK), repr('medium'))}) END"
     observed = f"concat(array({H.item(2, repr('magic-observed'), repr('header'), '0', repr('info'), 'head')}), {foreign}, {near})"
     marker = H.item(2, "'magic-match'", "'svg marker'", svg_at, f"if({L.svg_root(SPARK)}, 'info', 'low')")
