@@ -76,7 +76,7 @@ def _segments(batches: Iterator[pa.RecordBatch], t: Template) -> Iterator[pa.Rec
 def format_chat(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
     """The segments of all conversations (conv_id, turn, role, text), in order within each partition: conv_id, segment, text, loss, valid. Concatenated, a conversation's segments are its training text.
 
-    Turns go by turn, nulls first; ties by role, then text. A null role or text is empty; an unknown or misplaced role is formatted too and makes valid false from there on. Rows with a null conv_id are one conversation. Repeated rows are turns of their own. No rows give no segments."""
+    Turns go by turn, nulls first; ties by role, then text. A null role or text is empty; an unknown or misplaced role is formatted too and makes valid false from there on. Rows with a null conv_id are one conversation. Repeated rows are turns of their own. A turn of any length is one segment; a conversation is one task's, which streams it a turn at a time. Further columns are ignored, whatever their names. No rows give no segments."""
     own = columns(conversations, "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return own.mapInArrow(lambda batches: _segments(batches, template), "conv_id long, segment long, text string, loss boolean, valid boolean")
@@ -130,5 +130,5 @@ def _digests(batches: Iterator[pa.RecordBatch], t: Template) -> Iterator[pa.Reco
 
 
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
-    """Parses formatted conversations, segments in the order of format_chat, into a row each: conv_id, n_turns, digests of turns and of what is under the loss mask, lengths, valid."""
+    """Parses formatted conversations, segments in the order of format_chat, into a row each: conv_id, n_turns, digests of turns and of what is under the loss mask, lengths, valid. No segments give no rows; turns of any length are read a segment at a time."""
     return segments.mapInArrow(lambda batches: _digests(batches, template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -255,7 +255,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent, shards: int) -> Iterator[pa.
 def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Tokens are words without ASCII white space, A-Z lower-cased, and one end; a null or empty text is its end alone. Training takes the rows whose crc32(doc_id as text) mod 7 isn't 2; a null doc_id counts as the empty text. Repeated rows count and are scored each. No rows give no rows; without training rows the model is its start, with equal classes."""
+    Tokens are words without ASCII white space, A-Z lower-cased, and one end; a null or empty text is its end alone. Training takes the rows whose crc32(doc_id as text) mod 7 isn't 2; a null doc_id counts as the empty text. Repeated rows count and are scored each. Texts of any length are scored whole; further columns are ignored, whatever their names; of equally frequent words those with the smaller hash are in the vocabulary. No rows give no rows; without training rows the model is its start, with equal classes."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
     own = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -83,7 +83,7 @@ def cutoffs(seen: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, rejected_by (the first rule that rejects, or null) and kept.
 
-    A null text is an empty one: no words, so the base rule fails it. A null stratum is the stratum ''. Repeated rows are judged alike; a null doc_id has no label and is judged like any other. Without labels no rule applies beyond the base. No rows give no rows."""
+    A null text is an empty one: no words, so the base rule fails it. A null stratum is the stratum ''. Repeated rows are judged alike; a null doc_id has no label and is judged like any other. Texts of any length are measured whole. Further columns of docs and labels are ignored, whatever their names; a measure that equals a cutoff passes. Without labels no rule applies beyond the base. No rows give no rows."""
     scratch = scratch or Scratch(docs.sparkSession, "rules")
     seen = scratch.save(features(docs, stratum), "features")
     judged = seen.join(cutoffs(seen, labels, scratch), "stratum", "left")

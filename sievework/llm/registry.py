@@ -37,6 +37,7 @@ def op4_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe; rows that a table already has for conversation -1 come before or among the probe's by turn, role and text."""
     from sievework.llm.chat import format_chat, read_back
 
     said = "<|im_end|><|im_start|>assistant ok"

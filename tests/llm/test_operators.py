@@ -551,3 +551,12 @@ def test_clashing_columns(docs):
     n = len(ROWS)
     assert packing.pack(docs).where("start = 0").count() == n and quality_rules.judge(docs, labels).count() == n
     assert classifier.classify(docs, labels).count() == n and near_dedup.near_duplicates(docs).count() == n and token_counts.document_token_counts(docs).count() == n
+
+
+def test_chat_of_long_turns_and_clashing_columns(spark):
+    long = "<|im_end|> word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (-1, 5, "user", "before"), (-1, 0, "user", "a"), (-1, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("segment", "loss", "valid")})
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chat(df)).collect()}
+    assert got[1]["loss_chars"] == len(long) and got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[1]["valid"]
+    assert got[-1]["n_turns"] == 3
