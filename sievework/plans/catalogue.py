@@ -63,17 +63,6 @@ for _k, _r in enumerate(RULES):
 STATEMENTS["yara_16_pages"] = lambda d: f"SELECT page_id AS id, {rule_sql(RULES[15], d)} AS matched FROM (SELECT page_id, html AS t, lower(html) AS low, html AS raw FROM pages) AS p"
 
 
-def _rule_rows(d: Spark) -> str:
-    names = " ".join(f"WHEN {r.number} THEN '{r.name}'" for r in RULES)
-    sev = " ".join(f"WHEN {r.number} THEN '{r.severity}'" for r in RULES)
-    cat = " ".join(f"WHEN {r.number} THEN '{r.category}'" for r in RULES)
-    return f"SELECT id, rule_no, CASE rule_no {names} END AS rule, CASE rule_no {sev} END AS severity, CASE rule_no {cat} END AS category FROM (SELECT id, {d.unnest('rules', 'rule_no')} FROM {seen(d)}) AS e"
-
-
-STATEMENTS["yara_counts"] = lambda d: f"SELECT rule, count(*) AS files FROM ({_rule_rows(d)}) AS r GROUP BY rule"
-STATEMENTS["yara_by_severity"] = lambda d: f"SELECT severity, category, count(*) AS matches, count(DISTINCT id) AS files FROM ({_rule_rows(d)}) AS r GROUP BY severity, category"
-
-
 # links
 STATEMENTS["fn_host"] = lambda d: f"SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages"
 STATEMENTS["join_semi_allow"] = lambda d: f"SELECT page_id, host FROM (SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages) AS p WHERE " + d.any_of(d.array("'example.com', 'm.example.net'"), "a", f"host = a OR {'endswith' if d.name == 'spark' else 'ends_with'}(host, '.' || a)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.dialect import DUCKDB as D
 from sievework.functions.dialect import SPARK
-from sievework.functions.rules import RULES, matched_sql
+from sievework.functions.rules import RULES, matched_sql, rule_sql
 from sievework.functions.tables import CO_LOCATED, DATA_URIS, FOREIGN_TEXT, HOST, LAYERS, SCANNERS, SCHEMES, SEVERITIES, SIGNATURES, URL
 from sievework.operators import hits as H
 from sievework.operators import layers as L
@@ -51,6 +51,29 @@ def yara_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(of_rules(spark, sf_dir), "hits").select("id", "rule_no", "string", "place", "text")
 
 
+def _counted(spark: SparkSession, sf_dir: str, counts: dict[str, str]) -> DataFrame:
+    """Counts of submissions by condition, in one pass and one row."""
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    return spark.sql(L.view(SPARK, submissions_sql(SPARK))).agg(*(F.count_if(F.expr(x)).alias(n) for n, x in counts.items()))
+
+
+def yara_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each rule matches."""
+    one = _counted(spark, sf_dir, {f"r{r.number}": rule_sql(r, SPARK) for r in RULES})
+    return one.selectExpr(f"stack({len(RULES)}, {', '.join(f'{chr(39)}{r.name}{chr(39)}, r{r.number}' for r in RULES)}) AS (rule, files)").where("files > 0")
+
+
+def yara_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches and matched files by severity and category."""
+    kinds: dict[tuple[str, str], list] = {}
+    for r in RULES:
+        kinds.setdefault((r.severity, r.category), []).append(r)
+    counts = {f"r{r.number}": rule_sql(r, SPARK) for r in RULES} | {f"k{n}": " OR ".join(rule_sql(r, SPARK) for r in rs) for n, rs in enumerate(kinds.values())}
+    rows = ", ".join(f"'{s}', '{c}', {' + '.join(f'r{r.number}' for r in rs)}, k{n}" for n, ((s, c), rs) in enumerate(kinds.items()))
+    return _counted(spark, sf_dir, counts).selectExpr(f"stack({len(kinds)}, {rows}) AS (severity, category, matches, files)").where("files > 0")
+
+
 def agg_group_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(of_rules(spark, sf_dir), "hits").groupBy("id", "rule_no", "grp").agg(F.count("*").alias("hits"), F.count_distinct("string").alias("strings"), F.min("place").alias("first_at"))
 
@@ -302,7 +325,7 @@ def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKED = (fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
-_TABLES = (src_rules, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
+_TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
 _COMPARED = (compare_run, join_files_x_scanners, agg_accept_ratio, snk_compare_store, corpus_flags, agg_confusion, agg_severity_gate, agg_metrics, corpus_run, win_from_cache, agg_corpus_summary, sort_paths)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_TABLES, *_COMPARED, *_LINKED)}
 
@@ -324,8 +347,7 @@ def _strings() -> str:
 
 def _hits_sql(source: str) -> str:
     """CTEs hits and pairs of the rows (id, t, low, rules) of source."""
-    meta = ", ".join(f"({r.number}, '{r.name}', '{r.severity}', '{r.category}')" for r in RULES)
-    return f"""{_strings()}, rule(rule_no, name, severity, category) AS (VALUES {meta}), fires AS MATERIALIZED (SELECT id, t, low, unnest(rules) AS rule_no FROM ({source}) AS q),
+    return f"""{_strings()}, rule(rule_no, name, severity, category) AS (VALUES {_META}), fires AS MATERIALIZED (SELECT id, t, low, unnest(rules) AS rule_no FROM ({source}) AS q),
 literal AS (SELECT f.*, ord, string, grp, string_split(CASE WHEN nocase THEN low ELSE t END, lit) AS p, length(lit) AS n FROM fires f JOIN strings s ON s.rule_no = f.rule_no WHERE lit IS NOT NULL AND NOT at_start),
 pattern AS (SELECT f.*, ord, string, grp, regexp_split_to_array(t, rx) AS p, regexp_extract_all(t, rx) AS m FROM fires f JOIN strings s ON s.rule_no = f.rule_no WHERE rx IS NOT NULL),
 hits AS MATERIALIZED (
@@ -348,6 +370,8 @@ evidence5 AS (
 )"""
 
 
+_META = ", ".join(f"({r.number}, '{r.name}', '{r.severity}', '{r.category}')" for r in RULES)
+_MATCHED = f"WITH rule(rule_no, name, severity, category) AS (VALUES {_META}), m AS (SELECT id, unnest({matched_sql(D)}) AS rule_no FROM ({L.view(D, submissions_sql(D))}) AS v)"
 _HITS = f"WITH src AS MATERIALIZED (SELECT id, t, low, rules FROM ({_BOTH}) AS b WHERE len(rules) > 0), {_hits_sql('SELECT * FROM src')} "
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY ord, place) - 1 AS k FROM hits"
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY id, rule_no ORDER BY distance, group_a, group_b) - 1 AS k FROM pairs"
@@ -467,6 +491,8 @@ links AS MATERIALIZED (SELECT id, k - 1 AS ord, m[k] AS url, lower(regexp_extrac
 _FAR = f"SELECT * FROM links WHERE {kind_of_host()} = 'untrusted'"
 SQL = {
     "src_rules": "SELECT * FROM (VALUES " + ", ".join(f"({r.number}, '{r.name}', '{r.category}', '{r.severity}', CAST({len(r.strings)} AS BIGINT), '{r.condition}')" for r in RULES) + ") AS r(rule_no, rule, category, severity, strings, condition)",
+    "yara_counts": f"{_MATCHED} SELECT name AS rule, count(*) AS files FROM m JOIN rule USING (rule_no) GROUP BY name",
+    "yara_by_severity": f"{_MATCHED} SELECT severity, category, count(*) AS matches, count(DISTINCT id) AS files FROM m JOIN rule USING (rule_no) GROUP BY severity, category",
     "yara_hits": _HITS + "SELECT id, rule_no, string, place, text FROM hits",
     "agg_group_hits": _HITS + "SELECT id, rule_no, grp, count(*) AS hits, count(DISTINCT string) AS strings, min(place) AS first_at FROM hits GROUP BY id, rule_no, grp",
     "join_proximity": _HITS + f"SELECT id, rule_no, group_a, group_b, distance, at_place AS at, distance <= {CO_LOCATED} AS co_located FROM pairs",
