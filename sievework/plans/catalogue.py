@@ -74,9 +74,9 @@ STATEMENTS["fn_hex_offset"] = lambda d: f"SELECT doc_id, '0x' || {d.hex_number('
 STATEMENTS["fn_excerpt"] = lambda d: f"SELECT id, {d.rx_replace(d.rx_extract('payload', r'((?s:.{0,12})(?:javascript:|onload)(?s:.{0,12}))'), r'[^\x20-\x7e]', '.')} AS excerpt FROM ({subs(d)}) AS s WHERE contains(payload, 'javascript:') OR contains(payload, 'onload')"
 STATEMENTS["fn_truncate80"] = lambda d: "SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS short FROM documents"
 STATEMENTS["yara_preview"] = lambda d: "SELECT doc_id, CASE WHEN length(p) > 40 THEN left(p, 40) || '...' ELSE p END AS preview FROM (SELECT doc_id, trim(" + d.rx_replace("text", r"[\r\n\t ]+", " ") + ") AS p FROM documents) AS q"
-STATEMENTS["fn_printable_preview"] = lambda d: f"SELECT doc_id, {d.rx_replace('right(text, 48)', r'[^\x20-\x7e]', '.')} AS preview FROM documents"
+STATEMENTS["fn_printable_preview"] = lambda d: f"SELECT doc_id, {d.rx_replace('right(t, 48)', '[^\\x20-\\x7e]', '.')} AS preview FROM (SELECT doc_id, {d.latin('text')} AS t FROM documents) AS b"
 STATEMENTS["fn_count_ci"] = lambda d: f"SELECT page_id, {d.rx_count('html', '(?i)<script')} AS scripts, {d.rx_count('html', '(?i)</p>')} AS paragraphs FROM pages"
-STATEMENTS["fn_index_of_bytes"] = lambda d: f"SELECT page_id, cast({'instr' if d.name == 'spark' else 'strpos'}(html, '<body') - 1 as bigint) AS body_at FROM pages"
+STATEMENTS["fn_index_of_bytes"] = lambda d: f"SELECT page_id, cast({'instr' if d.name == 'spark' else 'strpos'}(t, '<body') - 1 as bigint) AS body_at, cast({'instr' if d.name == 'spark' else 'strpos'}(left(t, 1024), '<p') - 1 as bigint) AS early_at FROM (SELECT page_id, {d.latin('html')} AS t FROM pages) AS b"
 STATEMENTS["fn_csv_quote"] = lambda d: "SELECT doc_id, CASE WHEN " + d.rx("text", r"[,\x22\r\n]") + r""" THEN '"' || replace(""" + d.rx_replace("text", r"[\r\n]", " ") + r""", '"', '""') || '"' ELSE text END AS field FROM documents"""
 STATEMENTS["fn_dvwa_ext"] = lambda d: f"SELECT id, CASE WHEN contains(file_name, '.') THEN lower({d.rx_extract('file_name', r'[.]([^.]*)$')}) ELSE '' END AS ext FROM ({subs(d)}) AS s"
 STATEMENTS["fn_ratio"] = lambda d: f"SELECT doc_id, {d.div('n_chars', 'nullif(doc_id % 7, 0)')} AS ratio FROM documents"
@@ -100,7 +100,7 @@ def metrics(counts: str) -> str:
 
 
 STATEMENTS["agg_metrics_published"] = lambda d: metrics("SELECT 'gated' AS scanner, 5298 AS tp, 251 AS fn, 4067 AS tn, 396 AS fp")
-STATEMENTS["src_corpus_status"] = lambda d: f"SELECT g.grp, count(s.id) AS files FROM (SELECT 'malicious' AS grp UNION ALL SELECT 'clean' UNION ALL SELECT 'missing') AS g LEFT JOIN ({subs(d)}) AS s ON s.truth = g.grp GROUP BY g.grp"
+STATEMENTS["src_corpus_status"] = lambda d: f"WITH s AS (SELECT truth FROM ({subs(d)}) AS f WHERE truth IS NOT NULL) SELECT g.grp, count(s.truth) AS files FROM (SELECT 'malicious' AS grp UNION ALL SELECT 'clean') AS g LEFT JOIN s ON s.truth = g.grp GROUP BY g.grp UNION ALL SELECT 'total', count(*) FROM s"
 STATEMENTS["agg_ablation"] = lambda d: f"SELECT count_if(l4 IS NOT NULL) AS strict_refused, count_if(l4_lenient IS NOT NULL) AS lenient_refused, count_if({d.size('rules')} > 0 AND l5c IS NULL) AS rules_only, count_if({d.size('rules')} = 0 AND l5c IS NOT NULL) AS links_only FROM {seen(d)}"
 STATEMENTS["agg_severity_order"] = lambda d: "SELECT severity, rank_no FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, {k} AS rank_no" for k, s in enumerate(SEVERITIES)) + ") AS s"
 
@@ -113,7 +113,7 @@ STATEMENTS["join_lookup_hosts"] = lambda d: "SELECT h.host, count(p.page_id) AS
 
 
 # what reports list
-STATEMENTS["fn_last_index_bytes"] = lambda d: f"SELECT page_id, CASE WHEN contains(html, '</p>') THEN cast(length(html) - {'instr' if d.name == 'spark' else 'strpos'}(reverse(html), '>p/<') + 1 as bigint) END AS end_at FROM pages"
+STATEMENTS["fn_last_index_bytes"] = lambda d: f"SELECT page_id, CASE WHEN contains(t, '</p>') THEN cast(length(t) - {'instr' if d.name == 'spark' else 'strpos'}(reverse(t), '>p/<') + 1 as bigint) END AS end_at FROM (SELECT page_id, {d.latin('html')} AS t FROM pages) AS b"
 def riff_end(source: str) -> str:
     """Spark SQL: id and the end that a RIFF header states, from bytes 4 to 7 of `content`; null where it is below 12 or beyond the content."""
     stated = "8 + " + " + ".join(f"{256**k} * cast(conv(hex(substring(content, {5 + k}, 1)), 16, 10) as bigint)" for k in range(4))
