@@ -94,3 +94,92 @@ FROM based b LEFT JOIN refused r ON b.rid = r.rid
 
 
 SQL["op3_risk_controlled_rules"] = _rules_sql()
+
+
+def _urls_sql() -> str:
+    """Rules as a table, of which the longest that fits is taken; the rounds as one common table each."""
+    from sievework.llm.url_filter import DAMPING, LIMIT, LINK, ROUNDS, RULES, UNIT
+
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = LINK.replace("'", "''")
+    rounds = ", ".join(
+        f"""r{n} AS MATERIALIZED (SELECT kind, node, CAST(sum(mass) AS BIGINT) AS mass FROM (
+  SELECT e.kind, e.goal AS node, CAST(sum(r.mass // d.degree) AS BIGINT) // 100 * {DAMPING} AS mass FROM r{n - 1} r JOIN degrees d USING (kind, node) JOIN edges e USING (kind, node) GROUP BY e.kind, e.goal
+  UNION ALL SELECT kind, node, mass FROM r0) GROUP BY kind, node)"""
+        for n in range(1, ROUNDS + 1)
+    )
+    return rf"""
+WITH rules(host, path, verdict) AS (VALUES {rules}
+), own AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, page_id, html, {low("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), judged AS MATERIALIZED (
+  SELECT o.*, r.rule, r.verdict FROM own o LEFT JOIN (
+    SELECT rid, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC, length(r.host) DESC, r.host || r.path) AS k
+    FROM own o JOIN rules r ON ends_with('.' || o.host, '.' || r.host) AND starts_with(o.path, r.path)) r ON r.rid = o.rid AND r.k = 1
+), seeds AS (
+  SELECT host, CAST(count_if(verdict = 'allow') AS BIGINT) * {UNIT} // count(*) AS good, CAST(count_if(verdict = 'block') AS BIGINT) * {UNIT} // count(*) AS bad FROM judged WHERE host <> '' GROUP BY host
+), links AS MATERIALIZED (
+  SELECT DISTINCT host, goal FROM (SELECT host, {low('unnest(regexp_extract_all(html, ' + "'" + link + "'" + ', 1))')} AS goal FROM own WHERE host <> '') WHERE goal <> host
+), edges AS MATERIALIZED (
+  SELECT 'trust' AS kind, host AS node, goal FROM links UNION ALL SELECT 'distrust', goal, host FROM links
+), degrees AS (SELECT kind, node, count(*) AS degree FROM edges GROUP BY kind, node
+), r0 AS MATERIALIZED (
+  SELECT 'trust' AS kind, host AS node, good // 100 * {100 - DAMPING} AS mass FROM seeds UNION ALL SELECT 'distrust', host, bad // 100 * {100 - DAMPING} FROM seeds
+), {rounds}, bad AS (
+  SELECT node FROM r{ROUNDS} GROUP BY node HAVING coalesce(sum(mass) FILTER (kind = 'distrust'), 0) > coalesce(sum(mass) FILTER (kind = 'trust'), 0) AND sum(mass) FILTER (kind = 'distrust') >= {UNIT * (100 - DAMPING) * LIMIT // 10000}
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
+"""
+
+
+SQL["op11_host_trust_url_filter"] = _urls_sql()
+#: Each order is walked step by step over the documents' failed filters; nothing is inverted.
+SQL["op12_filter_interaction_audit"] = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), told AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), seen AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM own
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN seen.doc_id > least THEN 'E' ELSE '' END AS fails
+  FROM seen LEFT JOIN told ON told.doc_id = seen.doc_id
+), patterns AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS g, count_if(toxic) AS t FROM failed GROUP BY part, fails
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x) JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, left(filter_order, step - 1) AS before FROM orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)
+), walked AS (
+  SELECT part, filter_order, step, letter, n, g, t, fails, contains(fails, letter) AS here, translate(fails, before, '') <> fails AS earlier FROM patterns, steps
+), counted AS (
+  SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (here AND earlier), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (fails = letter), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(g) FILTER (here AND NOT earlier), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(t) FILTER (here AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM walked GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM counted
+"""
+#: The pieces are cut by lengths, and what is rebuilt must be the text.
+SQL["op13_fill_in_middle"] = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h, list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS sizes FROM documents
+), drawn AS (
+  SELECT *, len(sizes) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT)) AS dice FROM own
+), placed AS (
+  SELECT *, list_sort([dice[1] % (n + 1), dice[2] % (n + 1)]) AS ends, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR dice[3] % 100 >= 50 THEN 'plain' WHEN dice[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), cut AS (
+  SELECT *, CAST(coalesce(list_sum(sizes[1 : ends[1]]), 0) AS BIGINT) AS p, CAST(coalesce(list_sum(sizes[ends[1] + 1 : ends[2]]), 0) AS BIGINT) AS m FROM placed
+), pieces AS (
+  SELECT *, left(text, p) AS prefix, substr(text, p + 1, m) AS middle, substr(text, p + m + 1) AS suffix FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM pieces
+"""

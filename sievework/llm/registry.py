@@ -77,6 +77,24 @@ def op10_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_host_trust_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.fill_middle import fill_in_middle, round_trip
+
+    return round_trip(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
