@@ -27,24 +27,29 @@ def regex_of(kind: str, pattern: str) -> str:
     return {"=": escaped, "~": lambda x: "(?i)" + escaped(x), "/": str, "/i": lambda x: "(?i)" + x, "x": of_bytes, "x0": lambda x: "^" + of_bytes(x)}[kind](pattern)
 
 
-#: All rules' strings, a row each: the rule, the string's place in it, its name and group, and its regular expression.
-STRINGS = [(r.number, n, k, group_of(k), regex_of(*p)) for r in RULES for n, (k, p) in enumerate(r.strings.items())]
-_STRINGS = "array(" + ", ".join(f"named_struct('rule_no', {r}, 'ord', {n}, 'string', '{k}', 'grp', '{g}', 'rx', {SPARK.text(rx)})" for r, n, k, g, rx in STRINGS) + ")"
+RUN = 256  # numbers of an array that are added up one after the other
 
 
-def _places(t: str) -> str:
-    """All hits of the string x: an array of (ord, place, string, grp, text). The text is cut before each place where the pattern begins, so overlapping ones count too."""
-    after = "concat(p[i], coalesce(get(p, i + 1), ''))"
-    here = "concat('^(?:', x.rx, ')')"
-    ends = "aggregate(p, array(0L), (a, y) -> concat(a, array(element_at(a, -1) + length(y))))"
-    hit = f"named_struct('ord', x.ord, 'place', s[i], 'string', x.string, 'grp', x.grp, 'text', regexp_extract({after}, {here}, 0))"
-    found = f"transform(filter(sequence(0, size(p) - 1), i -> i > 0 OR regexp_like(concat(p[0], coalesce(get(p, 1), '')), {here})), i -> {hit})"
-    return f"transform(array(split({t}, concat('(?=', x.rx, ')'), -1)), p -> transform(array({ends}), s -> {found})[0])[0]"
+def running(numbers: str) -> str:
+    """What stands before each number of an array of bigints, added up: in runs of RUN numbers, then over the runs, so that no array is copied for each number."""
+    sums = lambda xs, y: f"aggregate({xs}, array(0L), (a, y) -> concat(a, array(element_at(a, -1) + {y})))"
+    runs = f"transform(sequence(0, (size(l) - 1) div {RUN}), k -> {sums(f'slice(l, cast(k as int) * {RUN} + 1, {RUN})', 'y')})"
+    shifted = f"flatten(transform(r, (x, k) -> transform(slice(x, 1, size(x) - 1), y -> y + b[k])))"
+    return f"transform(array({numbers}), l -> if(size(l) = 0, cast(array() as array<bigint>), transform(array({runs}), r -> transform(array({sums('r', 'element_at(y, -1)')}), b -> {shifted})[0])[0]))[0]"
+
+
+def _cut(t: str, ord_: int, string: str, rx: str) -> str:
+    """One string's pieces of the text, which is cut before each place where the pattern begins, so that overlapping hits count too: the pieces' lengths, and what matches where each begins (empty if nothing does)."""
+    here = f"regexp_extract(concat(x, coalesce(get(p, i + 1), '')), {SPARK.text(f'^(?:{rx})')}, 0)"
+    return f"named_struct('ord', {ord_}, 'string', '{string}', 'grp', '{group_of(string)}', 'cut', transform(array(split({t}, {SPARK.text(f'(?={rx})')}, -1)), p -> named_struct('sizes', transform(p, x -> cast(length(x) as bigint)), 'texts', transform(p, (x, i) -> {here})))[0])"
 
 
 def hits(r: str, t: str = "t") -> str:
-    """All hits of the strings of rule r, in the order of strings and places."""
-    return f"flatten(transform(filter({_STRINGS}, x -> x.rule_no = {r}), x -> {_places(t)}))"
+    """All hits of the strings of rule r, in the order of strings and places: an array of (ord, place, string, grp, text). Only the patterns of that rule are looked for."""
+    each = " ".join(f"WHEN {x.number} THEN array({', '.join(_cut(t, n, k, regex_of(*p)) for n, (k, p) in enumerate(x.strings.items()))})" for x in RULES)
+    hit = "named_struct('ord', c.ord, 'place', s[i], 'string', c.string, 'grp', c.grp, 'text', c.cut.texts[i])"
+    found = f"transform(filter(sequence(0, size(s) - 1), i -> c.cut.texts[i] <> ''), i -> {hit})"
+    return f"flatten(transform(CASE {r} {each} END, c -> transform(array({running('c.cut.sizes')}), s -> {found})[0]))"
 
 
 def near(found: str) -> str:

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from sievework.functions.dialect import DUCKDB as D
 from sievework.functions.dialect import SPARK
-from sievework.functions.rules import RULES, matched_sql, rule_sql
+from sievework.functions.rules import RULES, matched_sql
 from sievework.functions.tables import CO_LOCATED, DATA_URIS, FOREIGN_TEXT, HOST, LAYERS, SCANNERS, SCHEMES, SEVERITIES, SIGNATURES, URL
 from sievework.operators import hits as H
 from sievework.operators import layers as L
 from sievework.operators.cascade import comparators
-from sievework.plans.scan import layered
+from sievework.operators.ordering import ranked
+from sievework.plans.scan import layered, submissions
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
 
@@ -29,12 +30,12 @@ COLUMNS = "id, truth, category, declared_type, file_name, payload"
 
 
 def of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and the fired rules (rule_no, hits, near) of all submissions and rule cases that any rule matches."""
-    for name in ("documents", "labels"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    both = spark.sql(f"SELECT id, {SPARK.latin('payload')} AS t, encode(payload, 'UTF-8') AS raw FROM (SELECT id, payload FROM ({submissions_sql(SPARK)}) AS a UNION ALL SELECT id, payload FROM ({cases_sql(SPARK)}) AS b) AS u")
-    both = both.selectExpr("*", "lower(t) AS low").selectExpr("id", "t", f"{matched_sql(SPARK)} AS rules").where("size(rules) > 0")
-    return both.selectExpr("id", f"{H.fired('rules')} AS fired")
+    """id and the fired rules (rule_no, hits, near) of all submissions and rule cases that any rule matches.
+
+    Files without a match go by an explode, not a filter, which the optimiser would push below the text's measures and so take them again for each place where they are used."""
+    files = submissions(spark, sf_dir).select("id", F.col("content").alias("raw")).union(spark.sql(f"SELECT id, encode(payload, 'UTF-8') FROM ({cases_sql(SPARK)}) AS c"))
+    files = files.select("id", "raw", F.decode("raw", "ISO-8859-1").alias("t")).select("id", "raw", "t", F.lower("t").alias("low")).selectExpr("id", "t", f"{matched_sql(SPARK)} AS rules")
+    return files.select("id", "t", F.explode(F.filter(F.array("rules"), lambda r: F.size(r) > 0)).alias("rules")).selectExpr("id", f"{H.fired('rules')} AS fired")
 
 
 def _each(df: DataFrame, part: str) -> DataFrame:
@@ -51,27 +52,25 @@ def yara_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each(of_rules(spark, sf_dir), "hits").select("id", "rule_no", "string", "place", "text")
 
 
-def _counted(spark: SparkSession, sf_dir: str, counts: dict[str, str]) -> DataFrame:
-    """Counts of submissions by condition, in one pass and one row."""
-    for name in ("documents", "labels"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(L.view(SPARK, submissions_sql(SPARK))).agg(*(F.count_if(F.expr(x)).alias(n) for n, x in counts.items()))
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched rules of each submission."""
+    files = submissions(spark, sf_dir).select(F.col("content").alias("raw")).select("raw", F.decode("raw", "ISO-8859-1").alias("t"))
+    return files.select("raw", "t", F.lower("t").alias("low")).selectExpr(f"{matched_sql(SPARK)} AS rules")
 
 
 def yara_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that each rule matches."""
-    one = _counted(spark, sf_dir, {f"r{r.number}": rule_sql(r, SPARK) for r in RULES})
-    return one.selectExpr(f"stack({len(RULES)}, {', '.join(f'{chr(39)}{r.name}{chr(39)}, r{r.number}' for r in RULES)}) AS (rule, files)").where("files > 0")
+    names = F.array(*(F.lit(r.name) for r in RULES))
+    return _matched(spark, sf_dir).select(F.explode("rules").alias("rule_no")).groupBy("rule_no").agg(F.count("*").alias("files")).select(F.element_at(names, F.col("rule_no")).alias("rule"), "files")
 
 
 def yara_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and matched files by severity and category."""
-    kinds: dict[tuple[str, str], list] = {}
-    for r in RULES:
-        kinds.setdefault((r.severity, r.category), []).append(r)
-    counts = {f"r{r.number}": rule_sql(r, SPARK) for r in RULES} | {f"k{n}": " OR ".join(rule_sql(r, SPARK) for r in rs) for n, rs in enumerate(kinds.values())}
-    rows = ", ".join(f"'{s}', '{c}', {' + '.join(f'r{r.number}' for r in rs)}, k{n}" for n, ((s, c), rs) in enumerate(kinds.items()))
-    return _counted(spark, sf_dir, counts).selectExpr(f"stack({len(kinds)}, {rows}) AS (severity, category, matches, files)").where("files > 0")
+    kinds = F.array(*(F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")) for r in RULES))
+    each = F.transform("rules", lambda r: F.element_at(kinds, r))
+    counts = F.transform(F.array_distinct(each), lambda k: F.struct(k.alias("kind"), F.size(F.filter(each, lambda x: x == k)).alias("matches")))
+    rows = _matched(spark, sf_dir).select(F.explode(counts).alias("c"))
+    return rows.groupBy("c.kind").agg(F.sum("c.matches").alias("matches"), F.count("*").alias("files")).select("kind.severity", "kind.category", "matches", "files")
 
 
 def agg_group_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,9 +237,7 @@ def corpus_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def submissions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sievework.plans.scan import submissions
-
-    return submissions(spark, sf_dir).select("id", "truth", F.sha2("content", 256).alias("sha256"))
+    return submissions(spark, sf_dir).select("id", "truth", "file_name", F.sha2("content", 256).alias("sha256"))
 
 
 def win_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,18 +251,9 @@ def agg_corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of each labelled file in its group, by path: a sort over ranges, numbered from how many rows each range has."""
-    rows = submissions_of(spark, sf_dir).select("id").join(spark.sql(f"SELECT id, truth, file_name FROM ({submissions_sql(SPARK)}) AS s WHERE truth IS NOT NULL"), "id")
-    rows = rows.repartitionByRange("truth", "file_name", "id").sortWithinPartitions("truth", "file_name", "id").select("id", "truth", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("own"))
-    rows = rows.withColumn("own", F.col("own").bitwiseAND((1 << 33) - 1))
-    sizes = rows.groupBy("part", "truth").agg(F.count("*").alias("n"), F.min("own").alias("low")).collect()  # two rows a partition at most
-    before: dict[str, int] = {}
-    starts = []
-    for r in sorted(sizes, key=lambda r: (r["truth"], r["part"])):
-        starts.append((r["part"], r["truth"], before.get(r["truth"], 0) - r["low"]))
-        before[r["truth"]] = before.get(r["truth"], 0) + r["n"]
-    starts = spark.createDataFrame(starts, "part int, truth string, start long")
-    return rows.join(F.broadcast(starts), ["part", "truth"]).select("id", (F.col("own") + F.col("start") + 1).cast("int").alias("place"))
+    """The place of each labelled file in its group, by path."""
+    files = submissions_of(spark, sf_dir).where("truth IS NOT NULL")
+    return ranked(files.select("id", "truth", "file_name"), "truth", "file_name", "id").select("id", F.col("place").cast("int").alias("place"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,8 +263,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(f"SELECT id, t, lower(t) AS low FROM (SELECT id, {SPARK.latin('payload')} AS t FROM ({submissions_sql(SPARK)}) AS s) AS u").where(L.linkable(SPARK))
     rx = SPARK.text("(?i)" + URL)
     rows = rows.selectExpr("id", f"regexp_extract_all(t, {rx}, 0) AS m", f"split(t, {rx}, -1) AS p").where("size(m) > 0")
-    ends = "aggregate(sequence(1, size(m)), array(cast(length(p[0]) as bigint)), (a, k) -> concat(a, array(element_at(a, -1) + length(m[k - 1]) + length(p[k]))))"
-    rows = rows.selectExpr("id", f"posexplode(arrays_zip(m, slice({ends}, 1, size(m)))) AS (ord, x)").toDF("id", "ord", "x").selectExpr("id", "ord", "x.m AS url", "x.`1` AS place")
+    starts = H.running("transform(m, (x, k) -> cast(length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0) as bigint))")
+    places = f"transform({starts}, (x, k) -> x + length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0))"
+    rows = rows.selectExpr("id", f"posexplode(arrays_zip(m, {places})) AS (ord, x)").toDF("id", "ord", "x").selectExpr("id", "ord", "x.m AS url", "x.`1` AS place")
     return rows.withColumn("host", F.expr(f"lower({SPARK.rx_extract('url', HOST)})")).where("host <> ''")
 
 

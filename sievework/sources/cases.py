@@ -62,5 +62,5 @@ CASES = [
 
 def cases_sql(d: Spark) -> str:
     """The cases as submissions with negative ids."""
-    rows = " UNION ALL ".join(f"SELECT cast({-k - 1} as bigint) AS id, {rule} AS rule_no, {str(ok).lower()} AS is_positive, {text(d)} AS payload" for k, (rule, ok, text) in enumerate(CASES))
-    return f"SELECT id, cast(NULL as string) AS truth, 'id' AS category, 'application/pdf' AS declared_type, 'case.pdf' AS file_name, payload, rule_no, is_positive FROM ({rows}) AS c"
+    rows = ", ".join(f"(cast({-k - 1} as bigint), {rule}, {str(ok).lower()}, {text(d)})" for k, (rule, ok, text) in enumerate(CASES))
+    return f"SELECT id, cast(NULL as string) AS truth, 'id' AS category, 'application/pdf' AS declared_type, 'case.pdf' AS file_name, payload, rule_no, is_positive FROM (VALUES {rows}) AS c(id, rule_no, is_positive, payload)"
