@@ -74,10 +74,14 @@ class Spark:
     def series(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})"
 
+    def fired_struct(self, r: str) -> str:
+        """A fired rule without hits and pairs, with the type of one with some."""
+        hit, pair = "struct<ord:int,place:bigint,string:string,grp:string,text:string>", "struct<distance:bigint,group_a:string,group_b:string,at:bigint>"
+        return f"named_struct('rule_no', {r}, 'hits', cast(array() as array<{hit}>), 'near', cast(array() as array<{pair}>))"
+
     def empty_fired(self) -> str:
         """No fired rules, with the type of some."""
-        hit = "struct<ord:int,place:bigint,string:string,grp:string,text:string>"
-        return f"cast(array() as array<struct<rule_no:int,hits:array<{hit}>,near:array<struct<distance:bigint,group_a:string,group_b:string,at:bigint>>>>)"
+        return f"slice(array({self.fired_struct('0')}), 1, 0)"
 
     def latin(self, x: str) -> str:
         """The text's UTF-8 bytes, one character a byte."""

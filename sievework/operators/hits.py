@@ -68,6 +68,11 @@ def fired(rules: str, t: str = "t") -> str:
     return f"transform(transform({rules}, r -> named_struct('rule_no', r, 'hits', {hits('r', t)})), f -> named_struct('rule_no', f.rule_no, 'hits', f.hits, 'near', {near('f.hits')}))"
 
 
+def named(rules: str) -> str:
+    """As `fired`, without hits and distances, which take a text several passes for each rule."""
+    return f"transform({rules}, r -> {SPARK.fired_struct('r')})"
+
+
 def item(layer: int, kind: str, label: str, place: str, severity: str, detail: str = "''") -> str:
     """A row of evidence; label, place, severity and detail are SQL."""
     return f"named_struct('layer_no', {layer}, 'kind', {kind}, 'label', {label}, 'detail', {detail}, 'place', cast({place} as bigint), 'severity', {severity})"

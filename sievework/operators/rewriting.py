@@ -4,7 +4,6 @@ Spark deals the files; a task handles one file at a time, within fixed limits. O
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,18 +18,20 @@ from pyspark.sql import types as T
 from sievework.functions.tables import IMAGE_PIXELS, IMAGE_SIDE, PDF_DEPTH, PDF_RATIO, PDF_STREAM_BYTES, PDF_TOTAL_BYTES, SVG_ATTRIBUTES, SVG_ELEMENTS
 
 
+#: What malformed files raise. Anything else, as memory running out, is the task's failure, not a verdict.
+BROKEN = (ValueError, ArithmeticError, LookupError, struct.error, zlib.error, TypeError)
 RUN_ROWS, RUN_BYTES = 256, 4 << 20  # rows, and bytes of their files, that are handed back together
 
 
 def per_file(df: DataFrame, f: Callable[..., tuple], fields: list[T.StructField], *columns: str) -> DataFrame:
-    """df with further columns that f makes of a row's columns (`content` by default; null bytes count as none). A file that f can't handle gets its error as the last field and nulls before; it never fails the task."""
+    """df with further columns that f makes of a row's columns (`content` by default; null bytes count as none). A malformed file, on which f raises one of BROKEN, gets its error as the last field and nulls before."""
     schema = T.StructType([*df.schema.fields, *fields])
     places = [df.columns.index(c) for c in columns or ("content",)]
 
     def one(batch: pa.RecordBatch, row: int) -> tuple:
         try:
             return f(*(batch.column(k)[row].as_py() if k != places[0] else batch.column(k)[row].as_py() or b"" for k in places))
-        except Exception as broken:  # fail closed: the verdict names it
+        except BROKEN as broken:  # fail closed: the verdict names it
             return (*[None] * (len(fields) - 1), f"{type(broken).__name__}: {broken}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,31 +84,35 @@ def _opened(data: bytes, raw: bool) -> tuple[bytes, bool] | None:
     return None
 
 
-def inflate_pdf(data: bytes, ratio: int = PDF_RATIO) -> tuple:
-    """(inflated, streams, opened, depth, cut, bomb, spans, error). Layers of deflation are opened until one isn't deflated any more, PDF_DEPTH at most; spans are (start, length, stream) in what is inflated."""
-    parts, total, deepest, cut, bomb, spans, found = [], 0, 0, False, False, [], pdf_streams(data)
-    for number, (_, body) in enumerate(found):
-        now, depth = body, 0
-        while depth < PDF_DEPTH and (got := _opened(now, depth == 0)):
-            now, short = got
+def streams_of(data: bytes, ratio: int = PDF_RATIO) -> Iterator[tuple]:
+    """(stream, place, stored bytes, depth, cut, bomb, inflated) for each stream of a PDF, by number and by its body's place, as far as the limits allow. Layers of deflation are opened until one isn't deflated any more, PDF_DEPTH at most; depth 0 is a stream that isn't deflated, inflated then null. A bomb, or the total limit, ends the file."""
+    total = 0
+    for number, (place, body) in enumerate(pdf_streams(data)):
+        now, depth, cut, bomb = body, 0, False, False
+        while depth < PDF_DEPTH and not (cut or bomb) and (got := _opened(now, depth == 0)):
+            now, cut = got
             depth += 1
-            cut |= short
-            if len(now) // len(body) > ratio:
-                bomb = True
-            if short or bomb:
-                break
-        if bomb:
-            break
-        if depth:
+            bomb = len(now) // len(body) > ratio
+        if depth and not bomb:
             now = now[: max(0, PDF_TOTAL_BYTES - total - 1)]
-            spans.append((total, len(now), number))
+            total += len(now) + 1
+        full = total >= PDF_TOTAL_BYTES
+        yield number, place, len(body), depth, cut or full, bomb, now if depth and not bomb else None
+        if bomb or full:
+            break
+
+
+def inflate_pdf(data: bytes, ratio: int = PDF_RATIO) -> tuple:
+    """(inflated, streams, opened, depth, cut, bomb, spans, error): what streams_of gives, joined with a line feed after each stream; spans are (start, length, stream) in that."""
+    parts, total, deepest, cut, bomb, spans = [], 0, 0, False, False, []
+    for number, _, _, depth, short, burst, now in streams_of(data, ratio):
+        cut, bomb = cut or short, bomb or burst
+        if now is not None:
+            spans.append({"start": total, "len": len(now), "stream": number})
             parts.append(now)
             total += len(now) + 1
             deepest = max(deepest, depth)
-        if total >= PDF_TOTAL_BYTES:
-            cut = True
-            break
-    return b"".join(p + b"\n" for p in parts), len(found), len(parts), deepest, cut, bomb, [{"start": a, "len": n, "stream": k} for a, n, k in spans], None
+    return b"".join(p + b"\n" for p in parts), len(pdf_streams(data)), len(parts), deepest, cut, bomb, spans, None
 
 
 PDF_FIELDS = [
@@ -321,40 +326,28 @@ def psnr(before: np.ndarray, after: np.ndarray) -> float:
     return float("inf") if error == 0 else 10 * float(np.log10(255 * 255 / error))
 
 
-OPENED = [*PDF_FIELDS[:-1], *IMAGE_FIELDS, *SVG_FIELDS, T.StructField("again", T.BooleanType()), PDF_FIELDS[-1]]
+OPENED = [*PDF_FIELDS[:-1], *IMAGE_FIELDS, *SVG_FIELDS, T.StructField("rebuilt", T.BinaryType()), PDF_FIELDS[-1]]
 
 
 def opened(data: bytes, is_pdf: bool, kind: str | None, redo: bool) -> tuple:
-    """OPENED: what the layers that open or rewrite a file find, its streams if it is a PDF and itself rewritten if it is an image or a drawing; and whether an image can be rebuilt for the comparison scanner that asks for no more. An error of one part leaves the others."""
+    """OPENED: what the layers that open or rewrite a file find, its streams if it is a PDF and itself rewritten if it is an image or a drawing; and an image rebuilt for the comparison scanner that asks for no more (null if it can't be). An error of one part leaves the others."""
     failed = lambda fields, broken: (*(None,) * (len(fields) - 1), f"{type(broken).__name__}: {broken}")
-    image, drawing, pdf, again = (None,) * len(IMAGE_FIELDS), (None,) * len(SVG_FIELDS), (None,) * len(PDF_FIELDS), False
+    image, drawing, pdf, rebuilt = (None,) * len(IMAGE_FIELDS), (None,) * len(SVG_FIELDS), (None,) * len(PDF_FIELDS), None
     if is_pdf:
         try:
             pdf = inflate_pdf(data)
-        except Exception as broken:
+        except BROKEN as broken:
             pdf = failed(PDF_FIELDS, broken)
     if kind in ("jpeg", "png", "webp"):
         try:
             image = reencode(data)
-        except Exception as broken:
+        except BROKEN as broken:
             image = failed(IMAGE_FIELDS, broken)
     if kind == "svg":
         drawing = sanitise_svg(data)
     if redo:
         try:
-            again = reencode(data, clear_low_bits=False)[0] is not None
-        except Exception:  # it denies what it can't rebuild
-            again = False
-    return (*pdf[:-1], *image, *drawing, again, pdf[-1])
-
-
-def parse_engine_output(lines: list[str]) -> list[tuple[str, dict[str, str], list[tuple[int, str, str]]]]:
-    """(rule, metadata, hits) from a signature engine's text output: a header line a rule, then a line a hit."""
-    out: list[tuple[str, dict[str, str], list[tuple[int, str, str]]]] = []
-    for line in (x.rstrip("\r\n") for x in lines):
-        if hit := re.match(r"0x([0-9a-fA-F]+):(\$[^:]*): ?(.*)", line):
-            if out:
-                out[-1][2].append((int(hit[1], 16), hit[2], hit[3]))
-        elif head := re.match(r"(\w+) \[(.*)\] ", line):
-            out.append((head[1], {k.lower(): v.replace('\\"', '"') for k, v in re.findall(r'(\w+)="((?:[^"\\]|\\.)*)"', head[2])}, []))
-    return out
+            rebuilt = reencode(data, clear_low_bits=False)[0]
+        except BROKEN:  # it denies what it can't rebuild
+            rebuilt = None
+    return (*pdf[:-1], *image, *drawing, rebuilt, pdf[-1])

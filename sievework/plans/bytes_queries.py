@@ -13,8 +13,11 @@ from pyspark.sql import types as T
 
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import matched_sql
+from sievework.operators.ordering import within_spans
+from sievework.operators.pdf_rows import joined, spans, stream_rows
 from sievework.operators.rewriting import IMAGE_FIELDS, PDF_FIELDS, SVG_FIELDS, inflate_pdf, per_file, png_bytes, png_pixels, psnr, reencode, sanitise_svg
 from sievework.plans.scan import scan
+from sievework.sources.written import written_once
 
 _TRIGGER = b"/OpenAction /JavaScript "
 
@@ -117,18 +120,34 @@ def topk_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg_removed_counts(spark, sf_dir).where("kind = 'attribute'").select(F.col("name").alias("attribute"), "removed").orderBy(F.desc("removed"), "attribute").limit(12)
 
 
+def _stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_rows(built(spark, sf_dir, _streams))
+
+
+def pdf_extract_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each stream of PDFs that have one for each line of a text."""
+    return _stream_rows(spark, sf_dir).select("doc_id", "stream", "depth", F.octet_length("inflated").cast("long").alias("inflated_bytes"), F.sha2("inflated", 256).alias("sha256"), "cut", "bomb", "stream_error")
+
+
+def set_concat_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file's streams give together, in their order."""
+    return joined(_stream_rows(spark, sf_dir), "doc_id").select("doc_id", F.octet_length("inflated").cast("long").alias("inflated_bytes"), F.sha2("inflated", 256).alias("sha256"))
+
+
 def join_range_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 64th place of what a PDF's streams inflate to, and the stream that it came from; places of separators have none."""
-    out = per_file(built(spark, sf_dir, _streams), inflate_pdf, PDF_FIELDS).where("opened > 0")
-    places = out.select("doc_id", "spans", F.explode(F.sequence(F.lit(0).cast("long"), F.length("inflated") - F.lit(1).cast("long"), F.lit(64).cast("long"))).alias("place"))
-    return places.select("doc_id", "place", F.expr("get(filter(spans, s -> place >= s.start AND place < s.start + s.len), 0).stream").alias("stream"))
+    """Every place of what a PDF's streams give together, joined to the stream that it came from and counted: places of separators have none. A file's last place is its last span's end."""
+    held = written_once(spans(_stream_rows(spark, sf_dir), "doc_id"), "spans")
+    ends = held.groupBy("doc_id").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    places = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("place"))
+    found = within_spans(places, held, "doc_id", "place", "start", "length", "stream")
+    return found.groupBy("doc_id", "stream").agg(F.count("*").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"))
 
 
 def scan_built(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine layers over PDFs with deflated streams, images and drawings."""
     kinds = (("pdf", "application/pdf", "id", _pdf), ("png", "image/png", "id", _png), ("svg", "image/svg+xml", "profile", _quiet))
     files = [built(spark, sf_dir, f).select(F.concat(F.col("doc_id").cast("string"), F.lit(f":{ext}")).alias("id"), F.lit(f"a.{ext}").alias("file_name"), F.lit(declared).alias("declared_type"), F.lit(category).alias("category"), "content") for ext, declared, category, f in kinds]
-    return scan(files[0].union(files[1]).union(files[2])).select("id", "decision", "stopped_at", "reason_code", "top_severity", "content_rewritten", "is_neutralized")
+    return scan(files[0].union(files[1]).union(files[2]), detail=False).select("id", "decision", "stopped_at", "reason_code", "top_severity", "content_rewritten", "is_neutralized")
 
 
 def agg_ablation_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +158,7 @@ def agg_ablation_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("files"), F.count_if("raw_rules").alias("raw"), F.count_if(F.expr("inner_rules AND NOT raw_rules")).alias("inflated_only"))
 
 
-QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, join_range_span, scan_built, agg_ablation_inflated)}
+QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, pdf_extract_streams, set_concat_streams, join_range_span, scan_built, agg_ablation_inflated)}
 
 _N = "octet_length(encode(coalesce(text, '')))"
 _ODD = "len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: right(x, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')))"
@@ -149,6 +168,7 @@ _LEN = f"(SELECT doc_id, {_N} AS n FROM documents)"
 _LOST = [("element", "script", "n % 4"), ("element", "foreignObject", "n % 3"), ("element", "USE", "n % 5"), ("attribute", "onload", "1"), ("attribute", "style", "n % 5"), ("attribute", "x:href", "n % 5"), ("attribute", "onmouseover", "n % 5"), ("attribute", "onclick", "1"), ("attribute", "data-x", "1")]
 _COUNTED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS name, CAST(sum({x}) AS BIGINT) AS removed, count_if({x} > 0) AS files FROM {_LEN} AS l HAVING sum({x}) > 0" for kind, name, x in _LOST)
 _PARTS = f"""'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x">' || repeat('<!-- c -->', n % 3) || repeat('<?go on?>', n % 2) || repeat('<g><circle r="1"></circle></g>', n % 5) || '<rect width="1"></rect><text>' || n || '</text></svg>'"""
+_LINES = "SELECT doc_id, line, CAST(octet_length(encode(line)) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS stream FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE line <> ''"
 SQL = {
     "l5b_pdf_flate": f"SELECT doc_id, cast(1 as bigint) AS streams, cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, cast({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END as bigint) AS inflated_bytes, {_N} % 3 = 0 AS auto_script, false AS bomb FROM documents WHERE {_N} > 0",
     "pdf_survey": f"SELECT cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, count(*) AS files, count(*) AS opened, cast(sum({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END) as bigint) AS inflated_bytes FROM documents GROUP BY 1",
@@ -159,10 +179,11 @@ SQL = {
     "agg_removed_counts": f"SELECT kind, name, removed FROM ({_COUNTED}) AS c",
     "join_anti_attrs": f"SELECT name AS attribute, files FROM ({_COUNTED}) AS c WHERE kind = 'attribute'",
     "topk_attrs": f"SELECT name AS attribute, removed FROM ({_COUNTED}) AS c WHERE kind = 'attribute' ORDER BY removed DESC, name LIMIT 12",
-    "join_range_span": """WITH parts AS (SELECT doc_id, k, octet_length(encode(line)) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE line <> ''),
-spans AS (SELECT doc_id, row_number() OVER w - 1 AS stream, CAST(sum(n + 1) OVER w AS BIGINT) - n - 1 AS start_at, n FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-places AS (SELECT doc_id, CAST(unnest(range(0, total, 64)) AS BIGINT) AS place FROM (SELECT doc_id, CAST(sum(n + 1) AS BIGINT) AS total FROM parts GROUP BY doc_id))
-SELECT p.doc_id, place, s.stream FROM places p LEFT JOIN spans s ON s.doc_id = p.doc_id AND place >= start_at AND place < start_at + n""",
+    "pdf_extract_streams": f"SELECT doc_id, stream, CAST(1 AS BIGINT) AS depth, n AS inflated_bytes, sha256(line) AS sha256, false AS cut, false AS bomb, CAST(NULL AS VARCHAR) AS stream_error FROM ({_LINES}) AS l",
+    "set_concat_streams": f"SELECT doc_id, CAST(sum(n + 1) AS BIGINT) AS inflated_bytes, sha256(string_agg(line, chr(10) ORDER BY stream) || chr(10)) AS sha256 FROM ({_LINES}) AS l GROUP BY doc_id",
+    "join_range_span": f"""WITH spans AS (SELECT doc_id, stream, n, CAST(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY stream) AS BIGINT) - n - 1 AS start_at FROM ({_LINES}) AS l)
+SELECT doc_id, stream, n AS places, start_at AS "first", start_at + n - 1 AS "last" FROM spans
+UNION ALL SELECT doc_id, NULL, count(*), min(start_at + n), max(start_at + n) FROM spans GROUP BY doc_id""",
     "scan_built": f"""SELECT doc_id || ':pdf' AS id, CASE WHEN n % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN n % 3 = 0 THEN 'PdfFlateDecode' ELSE '' END AS stopped_at, CASE WHEN n % 3 = 0 THEN 'pdfflate-survey' ELSE '' END AS reason_code, CASE WHEN n % 3 = 0 THEN 'high' ELSE 'low' END AS top_severity, false AS content_rewritten, false AS is_neutralized FROM {_LEN} AS a
 UNION ALL SELECT doc_id || ':png', 'accepted', '', '', CASE WHEN n % 5 > 0 THEN 'high' ELSE 'medium' END, true, n % 5 > 0 FROM {_LEN} AS b
 UNION ALL SELECT doc_id || ':svg', 'accepted', '', '', CASE WHEN n % 3 + n % 2 > 0 THEN 'high' ELSE 'info' END, true, n % 3 + n % 2 > 0 FROM {_LEN} AS c""",

@@ -15,7 +15,9 @@ from sievework.functions.tables import CO_LOCATED, DATA_URIS, FOREIGN_TEXT, HOST
 from sievework.operators import hits as H
 from sievework.operators import layers as L
 from sievework.operators.cascade import comparators
+from sievework.operators.engine_output import parse_lines, render
 from sievework.operators.ordering import ranked
+from sievework.plans.comparison import by_scanner, fact_rows, kept_name, seen_before
 from sievework.plans.scan import layered, submissions
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
@@ -98,6 +100,13 @@ def yara_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_rules(spark, sf_dir).selectExpr("id", f"{H.described('fired')} AS reason")
 
 
+def yara_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine prints of each file, read back: a row for each matched rule and for each of its hits."""
+    name, severity, category = (x.format(r="f.rule_no") for x in (H.NAME, H.SEVERITY, H.CATEGORY))
+    lines = of_rules(spark, sf_dir).select("id", F.posexplode(F.expr(render("fired", name, severity, category))).alias("line_no", "line"))
+    return parse_lines(lines).select("id", "rule", F.col("metadata").getItem("severity").alias("severity"), F.col("metadata").getItem("category").alias("category"), "place", "string", "text")
+
+
 def scan_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layered(spark, sf_dir).select("id", "decision", "stopped_at", "reason_code", "top_severity", "layers_run", "content_rewritten", "is_scanner_error", "is_test_only", "is_neutralized", "stored_size")
 
@@ -115,11 +124,11 @@ def prj_unwrap_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layered(spark, sf_dir).select("id", F.explode("evidence").alias("e")).select("id", "e.layer_no", "e.kind", "e.label", "e.place", "e.severity")
+    return layered(spark, sf_dir, detail=True).select("id", F.explode("evidence").alias("e")).select("id", "e.layer_no", "e.kind", "e.label", "e.place", "e.severity")
 
 
 def prj_notable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layered(spark, sf_dir).selectExpr("id", "cast(size(filter(evidence, e -> e.severity IN ('high', 'medium'))) as bigint) AS notable")
+    return layered(spark, sf_dir, detail=True).selectExpr("id", "cast(size(filter(evidence, e -> e.severity IN ('high', 'medium'))) as bigint) AS notable")
 
 
 def agg_top_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +166,7 @@ def fn_reason_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snk_json_response(spark: SparkSession, sf_dir: str, demo: bool = True) -> DataFrame:
     """A response a file; what the layers said is in it only in demonstration mode."""
     traces = F.expr("transform(sequence(1, layers_run), k -> named_struct('layer', element_at(array(" + ", ".join(f"'{x}'" for x in LAYERS) + "), k), 'evidence', cast(size(filter(evidence, e -> e.layer_no = k)) as bigint)))")
-    own = layered(spark, sf_dir).select("id", F.struct("id", (F.col("decision") == "accepted").alias("accepted"), "stopped_at", F.when(F.lit(demo), traces).alias("traces")).alias("r"))
+    own = layered(spark, sf_dir, detail=True).select("id", F.struct("id", (F.col("decision") == "accepted").alias("accepted"), "stopped_at", F.when(F.lit(demo), traces).alias("traces")).alias("r"))
     return own.select("id", F.to_json("r").alias("response"))
 
 
@@ -168,13 +177,7 @@ def flt_demo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a file and scanner, from one scan of the files."""
-    flat = ", ".join(f"named_struct('scanner', '{name}', 'accepted', coalesce(`in_{name}`, false), 'content_rewritten', {str(name == 'DVWA-Impossible').lower()} AND coalesce(`in_{name}`, false))" for name in SCANNERS[:-1])
-    own = f"named_struct('scanner', '{SCANNERS[-1]}', 'accepted', decision = 'accepted', 'content_rewritten', content_rewritten)"
-    out = layered(spark, sf_dir).withColumn("s", F.explode(F.expr(f"array({flat}, {own})"))).drop("content_rewritten")
-    whole = F.expr(f"s.scanner = '{SCANNERS[-1]}'")
-    only = {c: F.when(whole, F.col(c)).otherwise(F.lit(none)) for c, none in (("stopped_at", ""), ("top_severity", ""), ("layers_run", 0), ("is_scanner_error", False), ("is_test_only", False), ("is_neutralized", False))}
-    out = out.withColumns({**only, "reason_code": F.expr(f"CASE WHEN s.accepted THEN '' WHEN s.scanner = '{SCANNERS[-1]}' THEN reason_code ELSE 'UNCODED' END"), "stored_size": F.expr(f"CASE WHEN NOT s.accepted THEN 0L WHEN s.scanner = '{SCANNERS[-1]}' THEN stored_size ELSE size_bytes END")})
-    return out.select("id", "truth", "category", "file_name", "ext", "sha256", "size_bytes", "s.*", *only, "reason_code", "stored_size")
+    return by_scanner(layered(spark, sf_dir).drop("content", "rebuilt", "evidence"))
 
 
 def compare_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +194,7 @@ def agg_accept_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk_compare_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name under which each accepting scanner's output is kept."""
-    slug = r"trim(BOTH '-' FROM regexp_replace(lower(scanner), r'[^\p{L}\p{Nd}]+', '-'))"
-    return compared(spark, sf_dir).where("accepted").selectExpr("id", "scanner", f"{slug} || CASE WHEN ext = '' OR ext IS NULL OR length(ext) > 10 THEN '.bin' ELSE ext END AS stored_name", "stored_size")
+    return compared(spark, sf_dir).where("accepted").select("id", "scanner", kept_name().alias("stored_name"), "stored_size")
 
 
 def corpus_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,21 +221,10 @@ def agg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg_confusion(spark, sf_dir).selectExpr("scanner", f"{r('tp', 'tp + fn')} AS recall", f"{r('tp', 'tp + fp')} AS precision", f"{r('tp + tn', 'tp + tn + fp + fn')} AS accuracy", f"{r('2 * tp', '2 * tp + fp + fn')} AS f1", f"{r('tn', 'tn + fp')} AS specificity", f"{r('fp', 'tn + fp')} AS fpr")
 
 
-def seen_before(files: DataFrame) -> DataFrame:
-    """id and whether an earlier file (malicious ones first, then by id) has the same bytes and so its verdict from the cache. One partial minimum a digest; the join's hot digests can be split."""
-    place = F.struct(F.expr("CASE truth WHEN 'malicious' THEN 0 WHEN 'clean' THEN 1 ELSE 2 END").alias("grp"), "id")
-    files = files.select("id", "sha256", place.alias("place"))
-    return files.join(files.groupBy("sha256").agg(F.min("place").alias("first")), "sha256").select("id", (F.col("place") > F.col("first")).alias("from_cache"))
-
-
 def corpus_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table of labelled files, sinks.COLUMNS without elapsed_ms, which no two runs share."""
-    rows = compared(spark, sf_dir).where("truth IS NOT NULL")
+    """The fact table of labelled files."""
     cached = seen_before(submissions_of(spark, sf_dir).where("truth IS NOT NULL"))
-    flags = ("accepted", "content_rewritten", "is_scanner_error", "is_test_only", "is_neutralized")
-    rows = rows.join(cached, "id")
-    reason = "CASE WHEN accepted THEN '' WHEN stopped_at = '' THEN 'refused' ELSE reason_code || ': refused by ' || stopped_at END AS reason"
-    return rows.selectExpr("file_name AS file", "truth || '/' || file_name AS relative_path", "sha256", "size_bytes", "truth", "category", "scanner", *(f"cast({c} as int) AS {c}" for c in flags), "stopped_at AS stopped_at_layer", "reason_code", "top_severity", "layers_run", f"cast(from_cache AND scanner = '{SCANNERS[-1]}' as int) AS from_cache", "stored_size", reason)
+    return fact_rows(compared(spark, sf_dir).where("truth IS NOT NULL"), cached, "truth || '/' || file_name")
 
 
 def submissions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +249,7 @@ def sort_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each http(s) link of the linkable submissions: id, ord, url, host, place in bytes."""
-    for name in ("documents", "labels"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    rows = spark.sql(f"SELECT id, t, lower(t) AS low FROM (SELECT id, {SPARK.latin('payload')} AS t FROM ({submissions_sql(SPARK)}) AS s) AS u").where(L.linkable(SPARK))
+    rows = submissions(spark, sf_dir).select("id", F.decode("content", "ISO-8859-1").alias("t")).select("id", "t", F.lower("t").alias("low")).where(L.linkable(SPARK))
     rx = SPARK.text("(?i)" + URL)
     rows = rows.selectExpr("id", f"regexp_extract_all(t, {rx}, 0) AS m", f"split(t, {rx}, -1) AS p").where("size(m) > 0")
     starts = H.running("transform(m, (x, k) -> cast(length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0) as bigint))")
@@ -314,7 +303,7 @@ def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINKED = (fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
-_TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
+_TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, yara_parse, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
 _COMPARED = (compare_run, join_files_x_scanners, agg_accept_ratio, snk_compare_store, corpus_flags, agg_confusion, agg_severity_gate, agg_metrics, corpus_run, win_from_cache, agg_corpus_summary, sort_paths)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_TABLES, *_COMPARED, *_LINKED)}
 
@@ -488,6 +477,7 @@ SQL = {
     "topk_strings": _HITS + f"SELECT id, rule_no, k, string, place FROM ({_NUMBERED}) AS n WHERE k < 8",
     "topk_pairs": _HITS + f"SELECT id, rule_no, k, group_a, group_b, distance FROM ({_RANKED}) AS n WHERE k < 3",
     "yara_evidence": _HITS + "SELECT id, kind, label, detail, place, severity FROM evidence5",
+    "yara_parse": _HITS + "SELECT id, name AS rule, severity, category, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS string, CAST(NULL AS VARCHAR) AS text FROM fires JOIN rule USING (rule_no) UNION ALL SELECT id, name, severity, category, place, '$' || string, regexp_replace(text, '[^\\x20-\\x7e]', '.', 'g') FROM hits JOIN rule USING (rule_no)",
     "yara_describe": _HITS
     + f""", told AS (SELECT id, rule_no, string_agg('"' || CASE WHEN length(flat) > 40 THEN left(flat, 40) || '...' ELSE flat END || '" at 0x' || printf('%x', place), ', ' ORDER BY k) FILTER (k < 8) AS strings, count(*) AS n FROM (SELECT *, trim(regexp_replace(text, '[\\r\\n\\t ]+', ' ', 'g')) AS flat FROM ({_NUMBERED}) AS a) AS b GROUP BY id, rule_no),
 close AS (SELECT id, rule_no, string_agg(group_a || '~' || group_b || ' ' || distance || 'B ' || CASE WHEN distance <= {CO_LOCATED} THEN 'co-located' ELSE 'distant' END, ', ' ORDER BY k) AS pairs FROM ({_RANKED}) AS a WHERE k < 3 GROUP BY id, rule_no)

@@ -85,15 +85,16 @@ def _svg() -> str:
     return f"CASE WHEN coalesce(detected, '') <> 'svg' THEN array({H.item(9, repr('svg-scope'), repr('not-svg'), 'NULL', repr('info'))}) WHEN startswith(svg_refused, 'SVG-PARSE') THEN array({H.item(9, repr('svg-parse-error'), repr('xml'), 'NULL', repr('unknown'))}) WHEN svg_refused IS NOT NULL THEN array({H.item(9, repr('svg-badroot'), repr('root'), 'NULL', repr('high'))}) ELSE concat(array({elements}), {notable}, array({attributes}), {handlers}, {kept}, array({rewrite})) END"
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, detail: bool = True) -> DataFrame:
     """files (id, file_name, declared_type, category, content; further columns are carried) with the outcome: decision, stopped_at, layer_no, layers_run, reason_code, top_severity, evidence (layer_no, kind, label, detail, place, severity), content_rewritten, is_scanner_error, is_test_only, is_neutralized, stored_size, and content, rewritten where it was accepted so and null where it was refused.
 
-    Layers decide in order and the first refusal ends a file. Null content counts as empty. Columns in_<scanner> say what the comparison scanners accept."""
+    Layers decide in order and the first refusal ends a file. Without detail the evidence of a matched rule is one row, without its strings' places and distances; nothing else differs, and texts aren't searched for them. Null content counts as empty. Columns in_<scanner> say what the comparison scanners accept; rebuilt is what the one of them that rebuilds images keeps."""
+    fired = H.fired if detail else H.named
     base = measured(files).selectExpr("*", f"{L.extension(SPARK)} AS l1", f"{L.detected(SPARK)} AS detected", f"{L.double_extension(SPARK)} AS l4")
     base = base.selectExpr("*", f"{L.header(SPARK)} AS l3")
     base = base.withColumn("early", F.expr("CASE WHEN l1 IS NOT NULL THEN 1 WHEN detected IS NULL THEN 2 WHEN l3 IS NOT NULL THEN 3 WHEN l4 IS NOT NULL THEN 4 ELSE 10 END"))
     base = base.withColumn("rules", F.expr(f"CASE WHEN early < 10 THEN cast(array() as array<int>) ELSE {matched_sql(SPARK)} END"))
-    base = base.withColumn("fired", F.expr(f"CASE WHEN size(rules) > 0 THEN {H.fired('rules')} END"))
+    base = base.withColumn("fired", F.expr(f"CASE WHEN size(rules) > 0 THEN {fired('rules')} END"))
     early = F.expr("if(early = 10 AND size(rules) > 0, 5, early)")
     report = f"concat(CASE WHEN early = 1 THEN {_none} ELSE {_magic()} END, CASE WHEN early < 3 THEN {_none} ELSE {_header()} END, CASE WHEN fired IS NULL THEN {_none} ELSE {H.of_rules('fired', 5, 'yara')} END)"
     scanners = {f"in_{k}": F.expr(v) for k, v in comparators(SPARK).items()}
@@ -106,7 +107,7 @@ def scan(files: DataFrame) -> DataFrame:
     inflated = "decode(coalesce(inflated, X''), 'ISO-8859-1')"
     out = out.withColumns({"t": F.expr(inflated), "low": F.expr(f"lower({inflated})"), "raw": F.expr("coalesce(inflated, X'')")})
     out = out.withColumn("inner_rules", F.expr(f"CASE WHEN octet_length(inflated) > 0 THEN {matched_sql(SPARK)} ELSE cast(array() as array<int>) END"))
-    out = out.withColumn("inner_fired", F.expr(f"CASE WHEN size(inner_rules) > 0 THEN {H.fired('inner_rules')} ELSE {SPARK.empty_fired()} END"))
+    out = out.withColumn("inner_fired", F.expr(f"CASE WHEN size(inner_rules) > 0 THEN {fired('inner_rules')} ELSE {SPARK.empty_fired()} END"))
     out = out.withColumn("layer_no", F.expr("CASE WHEN at < 10 THEN at WHEN pdf_error IS NOT NULL OR bomb OR size(inner_rules) > 0 THEN 6 WHEN l5c IS NOT NULL THEN 7 WHEN refused IS NOT NULL THEN 8 WHEN svg_refused IS NOT NULL THEN 9 ELSE 10 END"))
     ran = lambda k, x: f"CASE WHEN layer_no >= {k} THEN {x} ELSE {_none} END"
     out = out.withColumn("evidence", F.expr(f"concat(report, {ran(6, _pdf())}, {ran(7, 'links')}, {ran(8, _image())}, {ran(9, _svg())})"))
@@ -129,17 +130,16 @@ def scan(files: DataFrame) -> DataFrame:
     )
     unknown = "exists(evidence, e -> e.severity = 'unknown') OR reason_code IN ('EL-ERROR', 'HCM-PIPELINE', 'SVG-PARSE')"
     out = out.withColumns({"is_scanner_error": F.expr(unknown), "is_neutralized": F.expr("content_rewritten AND exists(evidence, e -> e.kind LIKE '%-rewrite' AND e.severity = 'high')"), "stored_size": F.expr("coalesce(cast(octet_length(content) as bigint), 0L)")})
-    gone = {"report", "at", "early", "links", "kind", "redo", "t", "low", "raw", "inner_rules", "inner_fired", "again", *(f.name for f in OPENED)} - {"removed_elements", "removed_attributes"}
-    return out.withColumn("in_DVWA-Impossible", F.coalesce("again", F.lit(False))).select(*(F.col(f"`{c}`") for c in [*out.columns, "in_DVWA-Impossible"] if c not in gone))
+    gone = {"report", "at", "early", "links", "kind", "redo", "t", "low", "raw", "inner_rules", "inner_fired", *(f.name for f in OPENED)} - {"removed_elements", "removed_attributes", "rebuilt"}
+    return out.withColumn("in_DVWA-Impossible", F.col("rebuilt").isNotNull()).select(*(F.col(f"`{c}`") for c in [*out.columns, "in_DVWA-Impossible"] if c not in gone))
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived submissions with their payload's bytes as content."""
-    for name in ("documents", "labels"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(f"SELECT id, truth, category, declared_type, file_name, encode(payload, 'UTF-8') AS content FROM ({submissions_sql(SPARK)}) AS s")
+    tables = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels")}
+    return spark.sql(f"SELECT id, truth, category, declared_type, file_name, encode(payload, 'UTF-8') AS content FROM ({submissions_sql(SPARK, '{documents}', '{labels}')}) AS s", **tables)
 
 
-def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def layered(spark: SparkSession, sf_dir: str, detail: bool = False) -> DataFrame:
     """The nine-layer scan of the submissions."""
-    return scan(submissions(spark, sf_dir))
+    return scan(submissions(spark, sf_dir), detail)

@@ -26,9 +26,10 @@ def write_csv(results: DataFrame, path: str) -> None:
 
 
 def stored(scanned: DataFrame, extension: str = "ext") -> DataFrame:
-    """Accepted content under a random name with the submitted extension, in its category's folder: folder, stored_name, content."""
+    """Accepted content with its place in a store: folder (its category), stored_name (32 hex digits of its id and bytes, so that a task that runs again gives the same, and the submitted extension) and content. `corpus.store` writes them."""
     folder = F.lower(F.trim("category")) if "category" in scanned.columns else F.lit("")
-    return scanned.where("decision = 'accepted'").select(folder.alias("folder"), F.concat(F.translate(F.expr("uuid()"), "-", ""), F.col(extension)).alias("stored_name"), "content")
+    name = F.left(F.sha2(F.concat_ws("|", F.col("id").cast("string"), "sha256"), 256), F.lit(32))
+    return scanned.where("decision = 'accepted'").select(folder.alias("folder"), F.concat(name, F.coalesce(F.col(extension), F.lit(""))).alias("stored_name"), "content")
 
 
 def as_json(scanned: DataFrame, demo: bool = False) -> DataFrame:

@@ -45,8 +45,8 @@ NAMES = {
 }
 
 
-def submissions_sql(d: Spark) -> str:
-    """The derived view over documents and labels: id, truth, category, declared_type, file_name, payload."""
+def submissions_sql(d: Spark, documents: str = "documents", labels: str = "labels") -> str:
+    """The derived view over documents and labels (names of tables, or fields of a formatted statement): id, truth, category, declared_type, file_name, payload."""
     case = lambda x, table: f"CASE {x} " + " ".join(f"WHEN {k} THEN {v}" for k, v in table.items()) + " END"
     fitting = "CASE WHEN doc_id % 13 IN (1, 5, 6, 7, 8, 9) THEN 'application/pdf' WHEN doc_id % 13 = 2 THEN 'image/svg+xml' WHEN doc_id % 13 = 3 THEN 'image/svg+xml; charset=utf-8' ELSE 'image/jpeg' END"
     step = d.div("doc_id", "3") + " % 7"
@@ -55,27 +55,7 @@ def submissions_sql(d: Spark) -> str:
   CASE WHEN {step} <= 3 THEN {fitting} WHEN {step} = 4 THEN 'image/jpg' WHEN {step} = 5 THEN '' ELSE 'application/octet-stream' END AS declared_type,
   {case('doc_id % 16', NAMES)} AS file_name,
   CASE WHEN doc_id % 13 = 12 THEN 'ab' ELSE {case('doc_id % 13', PREFIXES)} || coalesce(text, '') END AS payload
-FROM (SELECT d.doc_id, d.text, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) AS base"""
-
-
-def corpus(spark: SparkSession, root: str, category: str = "id") -> DataFrame:
-    """The files under <root>/malicious and <root>/clean, in no order: path, truth, file_name, declared_type, category, content. truth is the folder right below root. Files that can't be read are left out; `unread` counts them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(f"{root}/*")
-    name = F.expr(r"regexp_replace(element_at(split(path, '/'), -1), r'(?i)(\.sample)+$', '')")
-    return files.select("path", _group(root).alias("truth"), name.alias("file_name"), declared_type(name).alias("declared_type"), F.lit(category).alias("category"), "content").where("truth <> ''")
-
-
-def _group(root: str) -> F.Column:
-    """malicious or clean, if that is the folder right below root on the path."""
-    below = F.split_part("path", F.lit(f"{root.rstrip('/').split('://')[-1].split(':', 1)[-1]}/"), F.lit(2))
-    group = F.split_part(below, F.lit("/"), F.lit(1))
-    return F.when(group.isin("malicious", "clean"), group).otherwise("")
-
-
-def unread(spark: SparkSession, root: str) -> int:
-    """How many of the corpus' files are listed but can't be read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*").select("path", _group(root).alias("truth")).where("truth <> ''").count()
-    return listed - corpus(spark, root).count()
+FROM (SELECT d.doc_id, d.text, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id) AS base"""
 
 
 def declared_type(name) -> F.Column:
