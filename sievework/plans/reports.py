@@ -21,6 +21,7 @@ from sievework.plans.comparison import by_scanner, fact_rows, kept_name, seen_be
 from sievework.plans.scan import layered, submissions
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
+from sievework.streaming.cache import shown_layer
 
 ALLOWED = ["example.org", "m.example.net"]  # domains that the queries take as allowed
 CACHED = ["SignatureScanning", "PdfFlateDecode"]
@@ -120,7 +121,7 @@ def prj_unwrap_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = layered(spark, sf_dir).select("id", "truth", "sha256", "stopped_at")
     rows = rows.select("id", "stopped_at").join(seen_before(submissions_of(spark, sf_dir)), "id")
     rows = rows.withColumn("wrapped", F.expr("if(from_cache, 'Cached(' || stopped_at || ')', stopped_at)"))
-    return rows.select("id", "wrapped", F.regexp_replace("wrapped", r"^Cached[(](.+)[)]$", "$1").alias("layer"))
+    return rows.select("id", "wrapped", shown_layer("wrapped").alias("layer"))
 
 
 def scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +437,7 @@ FROM (SELECT d.id, decision, stopped_at, layers_run, {names} AS names, coalesce(
 
 _SCANNED = {
     "scan_cascade": "SELECT id, decision, stopped_at, reason_code, top_severity, layers_run FROM done",
-    "prj_unwrap_layer": f"SELECT d.id, CASE WHEN from_cache THEN 'Cached(' || stopped_at || ')' ELSE stopped_at END AS wrapped, CASE WHEN from_cache AND stopped_at = '' THEN 'Cached()' ELSE stopped_at END AS layer FROM done d JOIN ({_CACHED}) k ON k.id = d.id",
+    "prj_unwrap_layer": f"SELECT d.id, CASE WHEN from_cache THEN 'Cached(' || stopped_at || ')' ELSE stopped_at END AS wrapped, stopped_at AS layer FROM done d JOIN ({_CACHED}) k ON k.id = d.id",
     "scan_layered": "SELECT id, decision, stopped_at, reason_code, top_severity, layers_run, content_rewritten, is_scanner_error, is_test_only, is_neutralized, CAST(stored_size AS BIGINT) AS stored_size FROM done",
     "scan_evidence": "SELECT id, layer_no, kind, label, CAST(place AS BIGINT) AS place, severity FROM ev",
     "prj_notable": "SELECT id, notable FROM done",
