@@ -1,6 +1,6 @@
 """Line dedup against a sharded minimal perfect hash.
 
-A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least MIN_POINTS code points that at least MIN_DOCS documents hold lose all their lines except those in the largest doc_id that holds them. Keys are known by two independent 64-bit hashes. Of the distinct keys, those that repeat often enough are dealt to shards by hash; each shard is a minimal perfect hash (levels of bit arrays with ranks) that indexes arrays of fingerprints, counts and largest ids. Documents probe those arrays: while they are within BROADCAST_BYTES every task holds them, beyond that documents' hashes go to the shards. A shard goes to as many tasks as its probes fill by PROBES, so what is shuffled follows the probes, and a task streams its probes past one shard. Both ways give the same rows."""
+A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at least MIN_POINTS code points that at least MIN_DOCS documents hold lose all their lines except those in the largest doc_id that holds them. Keys are known by two independent 64-bit hashes. The distinct keys that more than one document holds (one that a single document holds can't repeat, and needs no slot) are dealt to shards by hash; each shard is a minimal perfect hash (levels of bit arrays with ranks) of the first hash that indexes arrays of the second, of the number of documents (a byte, MOST and more alike) and of the largest id: 17 bytes a key and some 3 bits of hash. Keys that share the first hash are kept in a short list beside it, so two keys are taken for one only if all 128 bits agree. Documents probe those arrays: while they are within BROADCAST_BYTES every task holds them, beyond that documents' hashes go to the shards. A shard goes to as many tasks as its probes fill by PROBES, so what is shuffled follows the probes, and a task streams its probes past one shard. Both ways give the same rows."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from sievework.llm import textscan
 from sievework.llm.common import Scratch, with_small
 
-MIN_POINTS, MIN_DOCS = 20, 3
+MIN_POINTS, MIN_DOCS, MOST = 20, 3, 255
 SHARD_KEYS = 250_000  # keys in a shard, about
 PROBES = 4_000_000  # probes of one copy of a shard, about, beyond BROADCAST_BYTES
 BROADCAST_BYTES = 64 << 20
@@ -97,37 +97,38 @@ class PerfectHash:
         return out
 
 
-_SHARD = "shard int, sizes binary, words binary, fingerprints binary, counts binary, largest binary"
+_ARRAYS = ["sizes", "words", "fingerprints", "counts", "largest", "beside"]
+_SHARD = "shard int, " + ", ".join(f"{x} binary" for x in _ARRAYS)
 
 
 def _build(group: pd.DataFrame) -> pd.DataFrame:
-    a, b = (group[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("a", "b"))
+    """A shard's arrays from its keys (shard, a, b, n, largest)."""
+    group = group.sort_values(["a", "b"])
+    again = group["a"].duplicated().to_numpy()
+    main, beside = group[~again], group[again]
+    a, b = (main[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("a", "b"))
     index = PerfectHash.build(a)
     slot = index.slots(a)
-    put = lambda x: x[np.argsort(slot)]
-    return pd.DataFrame(
-        {
-            "shard": [int(group["shard"].iloc[0])],
-            "sizes": [np.array(index.sizes, dtype=np.int64).tobytes()],
-            "words": [index.words.tobytes()],
-            "fingerprints": [put(b).tobytes()],
-            "counts": [put(group["n"].to_numpy(dtype=np.int64)).tobytes()],
-            "largest": [put(group["largest"].to_numpy(dtype=np.int64)).tobytes()],
-        }
-    )
+    put = lambda x: x[np.argsort(slot)].tobytes()
+    arrays = [np.array(index.sizes, dtype=np.int64).tobytes(), index.words.tobytes(), put(b), put(np.minimum(main["n"].to_numpy(), MOST).astype(np.uint8)), put(main["largest"].to_numpy(dtype=np.int64)), beside[["a", "b", "n", "largest"]].to_numpy(dtype=np.int64).tobytes()]
+    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], **{name: [x] for name, x in zip(_ARRAYS, arrays, strict=True)}})
 
 
 class Shard:
-    def __init__(self, sizes: bytes, words: bytes, fingerprints: bytes, counts: bytes, largest: bytes):
+    def __init__(self, sizes: bytes, words: bytes, fingerprints: bytes, counts: bytes, largest: bytes, beside: bytes):
         self.hash = PerfectHash(np.frombuffer(sizes, np.int64).tolist(), np.frombuffer(words, np.uint64))
-        self.fingerprints, self.counts, self.largest = np.frombuffer(fingerprints, np.uint64), np.frombuffer(counts, np.int64), np.frombuffer(largest, np.int64)
+        self.fingerprints, self.counts, self.largest = np.frombuffer(fingerprints, np.uint64), np.frombuffer(counts, np.uint8), np.frombuffer(largest, np.int64)
+        self.beside = np.frombuffer(beside, np.int64).reshape(-1, 4)
 
     def repeated(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether each line goes: its key is one of the shard's, and another document is the largest that holds it."""
+        """Whether each line goes: its key is one of the shard's, at least MIN_DOCS documents hold it, and another one than this is the largest."""
         slot = self.hash.slots(a)
         found = slot >= 0
         found[found] = self.fingerprints[slot[found]] == b[found]
-        found[found] = self.largest[slot[found]] != ids[found]
+        found[found] = (self.counts[slot[found]] >= MIN_DOCS) & (self.largest[slot[found]] != ids[found])
+        for first, second, n, largest in self.beside:
+            if n >= MIN_DOCS:
+                found |= (a == first.view(np.uint64)) & (b == second.view(np.uint64)) & (ids != largest)
         return found
 
 
@@ -164,9 +165,9 @@ def _rewrite(batches: Iterator[pa.RecordBatch], goes) -> Iterator[pa.RecordBatch
 
 
 def key_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """The shards over the distinct keys that at least MIN_DOCS documents hold (a written table), and how many there are. Rows with a null doc_id aren't counted."""
+    """The shards over the distinct keys that at least two documents hold (a written table), and how many there are. Rows with a null doc_id aren't counted."""
     keys = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, a long, b long")
-    often = scratch.save(keys.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("largest")).where(f"n >= {MIN_DOCS}"), "often")
+    often = scratch.save(keys.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("largest")).where("n > 1"), "often")
     shards = max(1, -(-often.count() // SHARD_KEYS))
     index = often.withColumn("shard", F.pmod(F.shiftrightunsigned("a", 40), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, _SHARD)
     index = scratch.save(index, "shards")
@@ -217,9 +218,6 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(k).take(gone) for k in (2, 3, 4)], names=["id", "row", "a"])
 
 
-_ARRAYS = ["sizes", "words", "fingerprints", "counts", "largest"]
-
-
 def _probe_there(docs: DataFrame, index: DataFrame, shards: int, scratch: Scratch, probes: int) -> DataFrame:
     """For larger arrays: documents' keys go to the shards. docs with a further column, the hashes of the keys that go. Rows are known by id and hash of the text, on which alone it depends what goes; so a group is one document's lines, with or without an id."""
     known = [F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row")]
@@ -257,7 +255,7 @@ def dedup_lines(docs: DataFrame, carry: bool = False, scratch: Scratch | None =
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     index, shards = key_index(own, scratch)
-    size = index.select(F.sum(F.length("words") + F.length("fingerprints") + F.length("counts") + F.length("largest"))).first()[0] or 0
+    size = index.select(F.sum(F.length("words") + F.length("fingerprints") + F.length("counts") + F.length("largest") + F.length("beside"))).first()[0] or 0
     if size <= broadcast_bytes:
         goes = _probe_here(index, shards)
         return own.mapInArrow(lambda batches: _rewrite(batches, goes), schema)

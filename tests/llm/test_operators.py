@@ -159,6 +159,20 @@ def test_perfect_hash():
     assert (line_dedup.PerfectHash.build(keys[:0]).slots(keys) == -1).all()
 
 
+def test_keys_that_share_their_first_hash():
+    """They are kept beside the perfect hash; counts decide, exactly at the bound."""
+    import pandas as pd
+
+    keys = [(5, 1, 3, 70), (5, 2, 2, 71), (5, 3, 900, 72), (7, 1, 2, 73), (-1, 9, 4, -74), (-1, -9, 3, 75)]
+    made = line_dedup._build(pd.DataFrame(keys, columns=["a", "b", "n", "largest"]).assign(shard=3))
+    shard = line_dedup.Shard(*(made[c][0] for c in line_dedup._ARRAYS))
+    probes = [(a, b, i) for a, b, _, largest in [*keys, (5, 4, 9, 1), (8, 1, 9, 1)] for i in (largest, 1000)]
+    a, b = (np.array(x, dtype=np.int64).view(np.uint64) for x in list(zip(*probes))[:2])
+    known = {(a, b): (n, largest) for a, b, n, largest in keys}
+    want = [known.get((a, b), (0, 0))[0] >= 3 and known[a, b][1] != i for a, b, i in probes]
+    assert shard.repeated(a, b, np.array([i for *_, i in probes])).tolist() == want and len(shard.beside) == 3
+
+
 def library(special=True):
     import tokenizers
 
