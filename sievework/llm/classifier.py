@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote on two questions, whether a document is junk and whether it is toxic. Those of junk are measures of shape. Those of toxicity are learnt, each from one part of FIT_ROWS labelled documents: they count words that, or whose beginnings, are far more frequent in toxic documents than in others; no word list is built in. Where the labels table says something, that is one more vote. One pass over the corpus gives each document its votes and its features. The votes of all documents are counted by pattern, so what expectation-maximisation sees is at most three to the number of labellers counts, whatever the corpus. It estimates each labeller's rates of calling bad what is bad and what is good, without taking any of them for the truth, and gives each pattern its posterior. On FIT_ROWS documents, the least by hash of their id, the posteriors train a logistic scorer over hashed words, word beginnings and binned shape measures; that scorer judges every document from the features that the pass has written."""
+Heuristic labellers vote on two questions, whether a document is junk and whether it is toxic. Those of junk are measures of shape. Those of toxicity are learnt, each from one part of FIT_ROWS labelled documents: they count words that, or whose beginnings, are far more frequent in toxic documents than in others; no word list is built in. A labeller abstains on the documents that it learnt from, and what the scorer sees of its count there is the mean of the others'. Where the labels table says something, that is one more vote. One pass over the corpus gives each document its votes and its features. The votes of all documents are counted by pattern, so what expectation-maximisation sees is at most three to the number of labellers counts, whatever the corpus. It estimates each labeller's rates of calling bad what is bad and what is good, without taking any of them for the truth, and gives each pattern its posterior. On FIT_ROWS documents, the least by hash of their id, the posteriors train a logistic scorer over hashed words, word beginnings and binned shape measures; that scorer judges every document from the features that the pass has written."""
 
 from __future__ import annotations
 
@@ -158,7 +158,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cast(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, text_hash) to (doc_id, text_hash, pattern of votes, features): the bins, and after them the places of its known features."""
+    """(doc_id, text, text_hash, taught: which labeller learnt from it, if any) to (doc_id, text_hash, pattern of votes, features): the bins, and after them the places of its known features."""
     *lists, known = sent.value
     place = np.full((1 << BITS) + 1, -1, dtype=np.int32)  # the last is that of -1
     place[known] = _BASES[-1] + np.arange(len(known))
@@ -166,7 +166,12 @@ def _cast(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         for low, high, shape, owners, features in measures(batch.column(1)):
             rows = high - low
             learnt = learnt_counts(owners, features, rows, lists)
+            taught = batch.column(3).slice(low, rows).fill_null(-1).to_numpy()
+            own_rows = np.flatnonzero(taught >= 0)
+            others = np.arange(len(TOXIC)) != taught[own_rows, None]
+            learnt[own_rows, taught[own_rows]] = (learnt[own_rows] * others).sum(1) / (len(TOXIC) - 1)
             says = learnt.copy()
+            says[own_rows, taught[own_rows]] = np.nan
             for k, x in enumerate(lists):
                 if not len(x):
                     says[:, k] = np.nan  # an empty list abstains
@@ -267,12 +272,14 @@ def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, scrat
     chosen = scratch.save(least(own.where("doc_id is not null").select("doc_id")).distinct(), "chosen")
     few = scratch.save(labelled.join(chosen.withColumn("chosen", F.lit(True)), "doc_id", "full"), "few")  # twice fit_rows at most
     sample = own.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
-    sample = sample.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(len(TOXIC))).cast("int").alias("part"), "toxic", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(len(TOXIC))).cast("int")
+    sample = sample.select("doc_id", "text", part.alias("part"), "toxic", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     sample = scratch.save(sample.mapInArrow(_gather, "part int, toxic int, chosen boolean, features binary"), "sample")
     learnt = sample.repartition(1).mapInArrow(_learn, "learnt binary, sizes array<long>").first() or (b"", [0] * (len(TOXIC) + 1))
     learnt = np.split(np.frombuffer(bytes(learnt[0]), np.int32), np.cumsum(learnt[1])[:-1])
     sent = spark.sparkContext.broadcast(learnt)  # features that LEAST_DOCS of the chosen or LEARNT_DOCS of the labelled documents share
-    hashed = own.withColumn("text_hash", F.xxhash64("text"))
+    taught = few.where("toxic is not null").select("doc_id", part.alias("taught"))  # fit_rows at most
+    hashed = own.join(F.broadcast(taught), "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "taught")
     cast = scratch.save(hashed.mapInArrow(lambda batches: _cast(batches, sent), "doc_id long, text_hash long, pattern int, features binary"), "cast")
     silent = lambda c: F.coalesce(c, F.lit(NONE)).alias(c)
     votes_of = lambda df: df.join(gold, "doc_id", "left").withColumns({c: silent(c) for c in ("gold_junk", "gold_toxic")})
