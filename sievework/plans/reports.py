@@ -35,10 +35,10 @@ COLUMNS = "id, truth, category, declared_type, file_name, payload"
 def of_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and the fired rules (rule_no, hits, near) of all submissions and rule cases that any rule matches.
 
-    Files without a match go by an explode, not a filter, which the optimiser would push below the text's measures and so take them again for each place where they are used."""
+    Files without a match go by an outer explode and a filter of what it gives: a filter of the rules, which a plain explode implies too, would be pushed below the text's measures and take them again for each place where they are used."""
     files = submissions(spark, sf_dir).select("id", F.col("content").alias("raw")).union(spark.sql(f"SELECT id, encode(payload, 'UTF-8') FROM ({cases_sql(SPARK)}) AS c"))
     files = files.select("id", "raw", F.decode("raw", "ISO-8859-1").alias("t")).select("id", "raw", "t", F.lower("t").alias("low")).selectExpr("id", "t", f"{matched_sql(SPARK)} AS rules")
-    return files.select("id", "t", F.explode(F.filter(F.array("rules"), lambda r: F.size(r) > 0)).alias("rules")).selectExpr("id", f"{H.fired('rules')} AS fired")
+    return files.select("id", "t", F.explode_outer(F.filter(F.array("rules"), lambda r: F.size(r) > 0)).alias("rules")).where("rules IS NOT NULL").selectExpr("id", f"{H.fired('rules')} AS fired")
 
 
 def _each(df: DataFrame, part: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def yara_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that each rule matches."""
     names = F.array(*(F.lit(r.name) for r in RULES))
-    return _matched(spark, sf_dir).select(F.explode("rules").alias("rule_no")).groupBy("rule_no").agg(F.count("*").alias("files")).select(F.element_at(names, F.col("rule_no")).alias("rule"), "files")
+    return _matched(spark, sf_dir).select(F.explode_outer("rules").alias("rule_no")).where("rule_no IS NOT NULL").groupBy("rule_no").agg(F.count("*").alias("files")).select(F.element_at(names, F.col("rule_no")).alias("rule"), "files")
 
 
 def yara_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def yara_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*(F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category")) for r in RULES))
     each = F.transform("rules", lambda r: F.element_at(kinds, r))
     counts = F.transform(F.array_distinct(each), lambda k: F.struct(k.alias("kind"), F.size(F.filter(each, lambda x: x == k)).alias("matches")))
-    rows = _matched(spark, sf_dir).select(F.explode(counts).alias("c"))
+    rows = _matched(spark, sf_dir).select(F.explode_outer(counts).alias("c")).where("c IS NOT NULL")
     return rows.groupBy("c.kind").agg(F.sum("c.matches").alias("matches"), F.count("*").alias("files")).select("kind.severity", "kind.category", "matches", "files")
 
 
