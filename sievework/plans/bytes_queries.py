@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +35,23 @@ def _png(text: bytes) -> bytes:
     return png_bytes(flat.reshape(-1, 16, 3)) + text[: len(text) % 5]
 
 
+def _said(text: bytes) -> bytes:
+    """The whole text as character data, with blanks for control characters, which XML doesn't allow."""
+    return escape(re.sub("[\x00-\x1f]", " ", text.decode())).encode()
+
+
 def _svg(text: bytes) -> bytes:
-    """A drawing that holds scripts, handlers, foreign elements, nesting, a comment and an instruction, as many as the length says."""
+    """A drawing that says the text and holds scripts, handlers, foreign elements, nesting, a comment and an instruction, as many as the length says."""
     n = len(text)
     parts = [b'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x" onload="a()">', b"<!-- c -->" * (n % 3), b"<?go on?>" * (n % 2), b"<script>b()<g/></script>" * (n % 4), b"<foreignObject><p onclick='z'/></foreignObject>" * (n % 3)]
-    parts += [b'<g style="s" x:href="h"><circle r="1" onmouseover="d()"/><USE/></g>' * (n % 5), b'<rect width="1" onclick="c()" data-x="2"/><text>', str(n).encode(), b"</text></svg>"]
+    parts += [b'<g style="s" x:href="h"><circle r="1" onmouseover="d()"/><USE/></g>' * (n % 5), b'<rect width="1" onclick="c()" data-x="2"/><text>', _said(text), b"</text></svg>"]
     return b"".join(parts)
 
 
 def _quiet(text: bytes) -> bytes:
-    """A drawing that no rule matches, with elements and handlers that the sanitiser takes out."""
+    """A drawing that says the text, with elements and handlers that the sanitiser takes out and no rule looks for."""
     n = len(text)
-    return b'<svg xmlns="http://www.w3.org/2000/svg">' + b"<animate/>" * (n % 3) + b'<rect onfocus="a"/>' * (n % 2) + b"<g/></svg>"
+    return b'<svg xmlns="http://www.w3.org/2000/svg">' + b"<animate/>" * (n % 3) + b'<rect onfocus="a"/>' * (n % 2) + b"<g/><text>" + _said(text) + b"</text></svg>"
 
 
 def _streams(text: bytes) -> bytes:
@@ -163,11 +170,12 @@ QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_d
 _N = "octet_length(encode(coalesce(text, '')))"
 _ODD = "len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: right(x, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')))"
 _BYTES = f"(CAST(ceil(greatest(1, {_N}) / 48.0) AS BIGINT) * 48)"
-_LEN = f"(SELECT doc_id, {_N} AS n FROM documents)"
+_LEN = f"(SELECT doc_id, coalesce(text, '') AS text, {_N} AS n FROM documents)"
 #: (kind, name, how many a drawing of length n loses)
 _LOST = [("element", "script", "n % 4"), ("element", "foreignObject", "n % 3"), ("element", "USE", "n % 5"), ("attribute", "onload", "1"), ("attribute", "style", "n % 5"), ("attribute", "x:href", "n % 5"), ("attribute", "onmouseover", "n % 5"), ("attribute", "onclick", "1"), ("attribute", "data-x", "1")]
 _COUNTED = " UNION ALL ".join(f"SELECT '{kind}' AS kind, '{name}' AS name, CAST(sum({x}) AS BIGINT) AS removed, count_if({x} > 0) AS files FROM {_LEN} AS l HAVING sum({x}) > 0" for kind, name, x in _LOST)
-_PARTS = f"""'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x">' || repeat('<!-- c -->', n % 3) || repeat('<?go on?>', n % 2) || repeat('<g><circle r="1"></circle></g>', n % 5) || '<rect width="1"></rect><text>' || n || '</text></svg>'"""
+_SAID = "replace(replace(replace(regexp_replace(text, '[\\x00-\\x1f]', ' ', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PARTS = f"""'<svg xmlns="http://www.w3.org/2000/svg" xmlns:x="urn:x">' || repeat('<!-- c -->', n % 3) || repeat('<?go on?>', n % 2) || repeat('<g><circle r="1"></circle></g>', n % 5) || '<rect width="1"></rect><text>' || {_SAID} || '</text></svg>'"""
 _LINES = "SELECT doc_id, line, CAST(octet_length(encode(line)) AS BIGINT) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS stream FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE line <> ''"
 SQL = {
     "l5b_pdf_flate": f"SELECT doc_id, cast(1 as bigint) AS streams, cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, cast({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END as bigint) AS inflated_bytes, {_N} % 3 = 0 AS auto_script, false AS bomb FROM documents WHERE {_N} > 0",

@@ -54,7 +54,7 @@ def submissions_sql(d: Spark, documents: str = "documents", labels: str = "label
   CASE WHEN {d.div('doc_id', '16')} % 5 IN (0, 1) THEN 'profile' WHEN {d.div('doc_id', '16')} % 5 IN (2, 3) THEN 'id' ELSE 'other' END AS category,
   CASE WHEN {step} <= 3 THEN {fitting} WHEN {step} = 4 THEN 'image/jpg' WHEN {step} = 5 THEN '' ELSE 'application/octet-stream' END AS declared_type,
   {case('doc_id % 16', NAMES)} AS file_name,
-  CASE WHEN doc_id % 13 = 12 THEN 'ab' ELSE {case('doc_id % 13', PREFIXES)} || coalesce(text, '') END AS payload
+  {case('doc_id % 13', PREFIXES)} || coalesce(text, '') AS payload
 FROM (SELECT d.doc_id, d.text, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id) AS base"""
 
 
