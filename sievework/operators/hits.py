@@ -52,6 +52,12 @@ def hits(r: str, t: str = "t") -> str:
     return f"flatten(transform(CASE {r} {each} END, c -> transform(array({running('c.cut.sizes')}), s -> {found})[0]))"
 
 
+def matches(t: str, rx: str) -> str:
+    """Every match of a pattern (a literal of SQL), none within another, with its place: an array of (text, place)."""
+    gaps = f"transform(array(split({t}, {rx}, -1)), p -> transform(m, (x, k) -> cast(length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0) as bigint)))[0]"
+    return f"transform(array(regexp_extract_all({t}, {rx}, 0)), m -> transform(array({gaps}), g -> transform(array({running('g')}), s -> transform(m, (x, k) -> named_struct('text', x, 'place', s[k] + g[k])))[0])[0])[0]"
+
+
 def near(found: str) -> str:
     """For each two groups of hits their least distance: an array of (distance, group_a, group_b, at), nearest first. In the order of places the nearest two are neighbours."""
     groups = f"array_sort(array_distinct(transform({found}, h -> h.grp)))"

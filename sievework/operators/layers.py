@@ -112,9 +112,16 @@ def data_uri(d: Spark) -> str:
     return "CASE " + " ".join(f"WHEN contains(low, '{s}') THEN '{s}'" for s in DATA_URIS) + " END"
 
 
-def links(d: Spark) -> str:
-    """l5c: why embedded links are refused, or null."""
-    return f"CASE WHEN NOT {linkable(d)} THEN NULL WHEN {scheme(d)} IS NOT NULL THEN 'EL-SCHEME' WHEN {data_uri(d)} IS NOT NULL THEN 'EL-DATAURI' END"
+def links(d: Spark, untrusted: str = "0") -> str:
+    """l5c: why embedded links are refused, or null. untrusted: SQL of how many links go to hosts that aren't trusted, where those are refused too."""
+    external = f" WHEN {untrusted} > 0 THEN 'EL-EXTERNAL'" if untrusted != "0" else ""
+    return f"CASE WHEN NOT {linkable(d)} THEN NULL WHEN {scheme(d)} IS NOT NULL THEN 'EL-SCHEME' WHEN {data_uri(d)} IS NOT NULL THEN 'EL-DATAURI'{external} END"
+
+
+def trust_of(host: str, allowed: list[str]) -> str:
+    """SQL: namespace, allowed (the list's domains and what is below them) or untrusted."""
+    listed_ = " OR ".join(f"{host} = '{a}' OR {host} LIKE '%.{a}'" for a in allowed) or "false"
+    return f"CASE WHEN {namespace(host)} THEN 'namespace' WHEN {listed_} THEN 'allowed' ELSE 'untrusted' END"
 
 
 def namespace(host: str) -> str:

@@ -165,7 +165,20 @@ def agg_ablation_inflated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("files"), F.count_if("raw_rules").alias("raw"), F.count_if(F.expr("inner_rules AND NOT raw_rules")).alias("inflated_only"))
 
 
-QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, pdf_extract_streams, set_concat_streams, join_range_span, scan_built, agg_ablation_inflated)}
+def agg_ablation_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images whose pixels hold low bits: as they came, rebuilt alone, and rebuilt with low bits cleared; and those with bytes after their end, before and after."""
+
+    def measured(content: bytes) -> tuple:
+        kept, cleared = reencode(content, clear_low_bits=False), reencode(content)
+        hidden = lambda x: int((png_pixels(x) & 1).any())
+        return hidden(content), hidden(kept[0]), hidden(cleared[0]), int(kept[4] > 0), int(reencode(kept[0])[4] > 0), None
+
+    names = ("hidden", "hidden_rebuilt", "hidden_cleared", "trailing", "trailing_rebuilt")
+    out = per_file(built(spark, sf_dir, _png), measured, [*(T.StructField(c, T.LongType()) for c in names), T.StructField("image_error", T.StringType())])
+    return out.agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in names))
+
+
+QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, pdf_extract_streams, set_concat_streams, join_range_span, scan_built, agg_ablation_inflated, agg_ablation_images)}
 
 _N = "octet_length(encode(coalesce(text, '')))"
 _ODD = "len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: right(x, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')))"
@@ -195,5 +208,6 @@ UNION ALL SELECT doc_id, NULL, count(*), min(start_at + n), max(start_at + n) FR
     "scan_built": f"""SELECT doc_id || ':pdf' AS id, CASE WHEN n % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN n % 3 = 0 THEN 'PdfFlateDecode' ELSE '' END AS stopped_at, CASE WHEN n % 3 = 0 THEN 'pdfflate-survey' ELSE '' END AS reason_code, CASE WHEN n % 3 = 0 THEN 'high' ELSE 'low' END AS top_severity, false AS content_rewritten, false AS is_neutralized FROM {_LEN} AS a
 UNION ALL SELECT doc_id || ':png', 'accepted', '', '', CASE WHEN n % 5 > 0 THEN 'high' ELSE 'medium' END, true, n % 5 > 0 FROM {_LEN} AS b
 UNION ALL SELECT doc_id || ':svg', 'accepted', '', '', CASE WHEN n % 3 + n % 2 > 0 THEN 'high' ELSE 'info' END, true, n % 3 + n % 2 > 0 FROM {_LEN} AS c""",
+    "agg_ablation_images": f"SELECT count(*) AS files, count_if({_ODD} > 0) AS hidden, count_if({_ODD} > 0) AS hidden_rebuilt, 0 AS hidden_cleared, count_if({_N} % 5 > 0) AS trailing, 0 AS trailing_rebuilt FROM documents",
     "agg_ablation_inflated": f"SELECT count(*) AS files, 0 AS raw, count_if(n % 3 = 0) AS inflated_only FROM {_LEN} AS l",
 }

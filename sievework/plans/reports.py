@@ -18,7 +18,7 @@ from sievework.operators.cascade import comparators
 from sievework.operators.engine_output import parse_lines, render
 from sievework.operators.ordering import ranked
 from sievework.plans.comparison import by_scanner, fact_rows, kept_name, seen_before
-from sievework.plans.scan import layered, submissions
+from sievework.plans.scan import layered, submissions, untrusted_links
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
 from sievework.streaming.cache import shown_layer
@@ -252,17 +252,12 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each http(s) link of the linkable submissions: id, ord, url, host, place in bytes."""
     rows = submissions(spark, sf_dir).select("id", F.decode("content", "ISO-8859-1").alias("t")).select("id", "t", F.lower("t").alias("low")).where(L.linkable(SPARK))
     rx = SPARK.text("(?i)" + URL)
-    rows = rows.selectExpr("id", f"regexp_extract_all(t, {rx}, 0) AS m", f"split(t, {rx}, -1) AS p").where("size(m) > 0")
-    starts = H.running("transform(m, (x, k) -> cast(length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0) as bigint))")
-    places = f"transform({starts}, (x, k) -> x + length(p[k]) + if(k > 0, length(m[greatest(k - 1, 0)]), 0))"
-    rows = rows.selectExpr("id", f"posexplode(arrays_zip(m, {places})) AS (ord, x)").toDF("id", "ord", "x").selectExpr("id", "ord", "x.m AS url", "x.`1` AS place")
+    rows = rows.selectExpr("id", f"posexplode({H.matches('t', rx)}) AS (ord, x)").selectExpr("id", "ord", "x.text AS url", "x.place")
     return rows.withColumn("host", F.expr(f"lower({SPARK.rx_extract('url', HOST)})")).where("host <> ''")
 
 
 def kind_of_host() -> str:
-    """SQL: namespace, allowed (the list's domains and what is below them) or untrusted."""
-    allowed = " OR ".join(f"host = '{a}' OR host LIKE '%.{a}'" for a in ALLOWED)
-    return f"CASE WHEN {L.namespace('host')} THEN 'namespace' WHEN {allowed} THEN 'allowed' ELSE 'untrusted' END"
+    return L.trust_of("host", ALLOWED)
 
 
 def fn_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +289,20 @@ def topk_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hosts_of_files(spark, sf_dir).selectExpr("id", "array_join(slice(hosts, 1, 5), ', ') || if(size(hosts) > 5, ', +' || (size(hosts) - 5) || ' more', '') AS hosts")
 
 
+def l5c_links_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links layer where links to untrusted hosts are refused too: its verdict, and those links, their hosts by name and the first one's place."""
+    files = submissions(spark, sf_dir).select("id", F.decode("content", "ISO-8859-1").alias("t")).select("id", "t", F.lower("t").alias("low"))
+    files = files.selectExpr("id", "t", "low", f"CASE WHEN {L.linkable(SPARK)} THEN {untrusted_links('t', ALLOWED)} END AS far")
+    hosts = "array_sort(array_distinct(transform(far, z -> z.host)))"
+    named = f"transform(array({hosts}), h -> array_join(slice(h, 1, 5), ', ') || if(size(h) > 5, ', +' || (size(h) - 5) || ' more', ''))[0]"
+    return files.selectExpr("id", f"{L.links(SPARK, 'size(far)')} AS l5c", "cast(coalesce(size(far), 0) as bigint) AS links", f"CASE WHEN size(far) > 0 THEN {named} END AS hosts", "CASE WHEN size(far) > 0 THEN far[0].place END AS first_at")
+
+
+def agg_confusion_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without files whose scanner failed and those refused by test rules alone."""
+    return confusion(compared(spark, sf_dir).where("NOT is_scanner_error AND NOT is_test_only"), "NOT accepted")
+
+
 def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the cached layers, whether labelled files have left a verdict for a file's bytes under the same rules."""
     files = submissions_of(spark, sf_dir)
@@ -303,7 +312,7 @@ def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", layer, "sha256", F.lit(FINGERPRINT).alias("rules")).join(kept, key, "left").select("id", "layer", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-_LINKED = (fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
+_LINKED = (l5c_links_blocking, agg_confusion_strict, fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
 _TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, yara_parse, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
 _COMPARED = (compare_run, join_files_x_scanners, agg_accept_ratio, snk_compare_store, corpus_flags, agg_confusion, agg_severity_gate, agg_metrics, corpus_run, win_from_cache, agg_corpus_summary, sort_paths)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_TABLES, *_COMPARED, *_LINKED)}
@@ -458,6 +467,7 @@ _RESULTS = {
     "snk_compare_store": "SELECT id, scanner, lower(scanner) || CASE WHEN ext = '' OR length(ext) > 10 THEN '.bin' ELSE ext END AS stored_name, CAST(stored_size AS BIGINT) AS stored_size FROM results WHERE accepted",
     "corpus_flags": f"SELECT id, scanner, {', '.join(map(_flag, ('accepted', 'is_scanner_error', 'is_test_only', 'is_neutralized')))} FROM results",
     "agg_confusion": _CONFUSED,
+    "agg_confusion_strict": _CONFUSED.replace("truth IS NOT NULL", "truth IS NOT NULL AND NOT is_scanner_error AND NOT is_test_only"),
     "agg_severity_gate": f"SELECT scanner, {_COUNTS} FROM (SELECT *, NOT accepted AND top_severity IN ('high', 'critical') AS refused FROM results WHERE truth IS NOT NULL AND scanner = '{SCANNERS[-1]}') AS q GROUP BY scanner",
     "agg_metrics": f"SELECT scanner, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {_ratio('tn', 'tn + fp')} AS specificity, {_ratio('fp', 'tn + fp')} AS fpr FROM ({_CONFUSED}) AS m",
     "agg_corpus_summary": f"SELECT count_if(scanner = '{SCANNERS[-1]}') AS processed, count_if(scanner = '{SCANNERS[-1]}' AND truth = 'malicious') AS malicious, count_if(scanner = '{SCANNERS[-1]}' AND truth = 'clean') AS clean, count_if(is_scanner_error) AS scanner_errors, count(*) AS result_rows FROM results WHERE truth IS NOT NULL",
@@ -485,6 +495,10 @@ close AS (SELECT id, rule_no, string_agg(group_a || '~' || group_b || ' ' || dis
 SELECT f.id, string_agg(name || ' [severity=' || severity || ', category=' || category || ']' || coalesce(' | strings: ' || strings || CASE WHEN n > 8 THEN ', +' || (n - 8) || ' more' ELSE '' END, '') || coalesce(' | proximity: ' || pairs, ''), '  ||  ' ORDER BY f.rule_no) AS reason
 FROM fires f JOIN rule USING (rule_no) LEFT JOIN told ON told.id = f.id AND told.rule_no = f.rule_no LEFT JOIN close ON close.id = f.id AND close.rule_no = f.rule_no GROUP BY f.id""",
     "fn_urls": _LINKS + "SELECT id, ord, url, host, place FROM links",
+    "l5c_links_blocking": _LINKS
+    + f""", far AS ({_FAR}), named AS (SELECT id, string_agg(host, ', ' ORDER BY host) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN ', +' || (count(*) - 5) || ' more' ELSE '' END AS hosts FROM (SELECT id, host, row_number() OVER (PARTITION BY id ORDER BY host) AS k FROM (SELECT DISTINCT id, host FROM far) AS h) AS r GROUP BY id),
+counted AS (SELECT id, count(*) AS links, min(place) AS first_at FROM far GROUP BY id)
+SELECT s.id, coalesce(s.l5c, CASE WHEN links > 0 THEN 'EL-EXTERNAL' END) AS l5c, coalesce(links, 0) AS links, hosts, first_at FROM (SELECT id, {L.links(D)} AS l5c FROM ({L.view(D, submissions_sql(D))}) AS v) AS s LEFT JOIN counted c ON c.id = s.id LEFT JOIN named n ON n.id = s.id""",
     "agg_link_inventory": _LINKS + f"SELECT id, count(*) AS links, count(DISTINCT host) AS hosts, count_if(kind = 'namespace') AS namespaces, count_if(kind = 'allowed') AS allow_listed, count_if(kind = 'untrusted') AS untrusted, min(place) AS first_at FROM (SELECT *, {kind_of_host()} AS kind FROM links) AS l GROUP BY id",
     "agg_links_per_host": _LINKS + f"SELECT host, links, files, id, place AS first_at, url FROM (SELECT *, count(*) OVER (PARTITION BY host) AS links, row_number() OVER (PARTITION BY host ORDER BY id, ord) AS k FROM ({_FAR}) AS f) JOIN (SELECT host, count(DISTINCT id) AS files FROM ({_FAR}) AS g GROUP BY host) USING (host) WHERE k = 1",
     "agg_distinct_hosts": _LINKS + f"SELECT id, string_agg(host, ', ' ORDER BY host) AS hosts FROM (SELECT DISTINCT id, host FROM ({_FAR}) AS f) AS h GROUP BY id",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import matched_sql
-from sievework.functions.tables import DATA_URIS, LAYERS, SCHEMES, SEVERITIES, URL
+from sievework.functions.tables import DATA_URIS, HOST, LAYERS, SCHEMES, SEVERITIES, URL
 from sievework.operators import hits as H
 from sievework.operators import layers as L
 from sievework.operators.cascade import comparators, reencodable
@@ -49,7 +49,14 @@ def _header() -> str:
     return f"concat({declared}, CASE WHEN l3 = 'HCM-MISSING' THEN {_none} ELSE array({policy}) END, array({extension}))"
 
 
-def _links() -> str:
+def untrusted_links(t: str, allowed: list[str]) -> str:
+    """Links to hosts that are neither namespaces nor allowed: an array of (host, place) in the order of places."""
+    host = f"lower({SPARK.rx_extract('z.text', HOST)})"
+    named = f"transform({H.matches(t, SPARK.text('(?i)' + URL))}, z -> named_struct('host', {host}, 'place', z.place))"
+    return f"filter({named}, z -> z.host <> '' AND {L.trust_of('z.host', allowed)} = 'untrusted')"
+
+
+def _links(blocking: bool) -> str:
     scheme, uri = L.scheme(SPARK), L.data_uri(SPARK)
     scheme_at = f"CASE {scheme} " + " ".join(f"WHEN '{s}' THEN regexp_instr(low, {SPARK.text(chr(40) + '?<![A-Za-z0-9+.' + chr(92) + '-])' + s + chr(92) + 's*:')}) - 1" for s in SCHEMES) + " END"
     uri_at = f"CASE {uri} " + " ".join(f"WHEN '{s}' THEN instr(low, '{s}') - 1" for s in DATA_URIS) + " END"
@@ -57,7 +64,10 @@ def _links() -> str:
     policy = H.item(7, "'link-policy'", "'external-links'", "NULL", "'info'")
     first = f"nullif(regexp_instr(t, {SPARK.text('(?i)' + URL)}), 0) - 1"
     found = f"CASE WHEN {scheme} IS NOT NULL THEN {H.item(7, repr('link-scheme'), scheme + ' || ' + repr(':'), scheme_at, repr('high'))} WHEN {uri} IS NOT NULL THEN {H.item(7, repr('link-datauri'), uri, uri_at, repr('high'))} ELSE {H.item(7, repr('link-inventory'), repr('http(s) links'), first, repr('info'))} END"
-    return f"CASE WHEN NOT {L.linkable(SPARK)} THEN array({H.item(7, repr('link-scope'), repr('not-linkable'), 'NULL', repr('info'))}) ELSE array({scope}, {policy}, {found}) END"
+    hosts, of_host = "array_sort(array_distinct(transform(far, z -> z.host)))", "filter(far, z -> z.host = h)"
+    external = H.item(7, "'link-external'", "h", f"{of_host}[0].place", "'medium'", f"size({of_host}) || ' link(s)'")
+    far = f"CASE WHEN size(far) > 0 AND {scheme} IS NULL AND {uri} IS NULL THEN transform(slice({hosts}, 1, 5), h -> {external}) ELSE {_none} END" if blocking else _none
+    return f"CASE WHEN NOT {L.linkable(SPARK)} THEN array({H.item(7, repr('link-scope'), repr('not-linkable'), 'NULL', repr('info'))}) ELSE concat(array({scope}, {policy}, {found}), {far}) END"
 
 
 def _pdf() -> str:
@@ -85,10 +95,10 @@ def _svg() -> str:
     return f"CASE WHEN coalesce(detected, '') <> 'svg' THEN array({H.item(9, repr('svg-scope'), repr('not-svg'), 'NULL', repr('info'))}) WHEN startswith(svg_refused, 'SVG-PARSE') THEN array({H.item(9, repr('svg-parse-error'), repr('xml'), 'NULL', repr('unknown'))}) WHEN svg_refused IS NOT NULL THEN array({H.item(9, repr('svg-badroot'), repr('root'), 'NULL', repr('high'))}) ELSE concat(array({elements}), {notable}, array({attributes}), {handlers}, {kept}, array({rewrite})) END"
 
 
-def scan(files: DataFrame, detail: bool = True) -> DataFrame:
+def scan(files: DataFrame, detail: bool = True, trusted: list[str] | None = None) -> DataFrame:
     """files (id, file_name, declared_type, category, content; further columns are carried) with the outcome: decision, stopped_at, layer_no, layers_run, reason_code, top_severity, evidence (layer_no, kind, label, detail, place, severity), content_rewritten, is_scanner_error, is_test_only, is_neutralized, stored_size, and content, rewritten where it was accepted so and null where it was refused.
 
-    Layers decide in order and the first refusal ends a file. Without detail the evidence of a matched rule is one row, without its strings' places and distances; nothing else differs, and texts aren't searched for them. Null content counts as empty. Columns in_<scanner> say what the comparison scanners accept; rebuilt is what the one of them that rebuilds images keeps."""
+    trusted: where given, links to hosts other than namespaces and these domains are refused too (EL-EXTERNAL). Layers decide in order and the first refusal ends a file. Without detail the evidence of a matched rule is one row, without its strings' places and distances; nothing else differs, and texts aren't searched for them. Null content counts as empty. Columns in_<scanner> say what the comparison scanners accept; rebuilt is what the one of them that rebuilds images keeps."""
     fired = H.fired if detail else H.named
     base = measured(files).selectExpr("*", f"{L.extension(SPARK)} AS l1", f"{L.detected(SPARK)} AS detected", f"{L.double_extension(SPARK)} AS l4")
     base = base.selectExpr("*", f"{L.header(SPARK)} AS l3")
@@ -100,7 +110,9 @@ def scan(files: DataFrame, detail: bool = True) -> DataFrame:
     scanners = {f"in_{k}": F.expr(v) for k, v in comparators(SPARK).items()}
     base = base.withColumns({"report": F.expr(report), "at": early, "is_pdf": F.expr(_IS_PDF), **scanners, "redo": F.expr(reencodable(SPARK))})
     alive = F.col("at") == 10
-    base = base.withColumns({"l5c": F.when(alive, F.expr(L.links(SPARK))), "links": F.when(alive, F.expr(_links())), "is_pdf": alive & F.col("is_pdf"), "kind": F.when(alive, F.col("detected")), "content": F.when(alive | F.col("redo"), F.col("content"))})
+    if trusted is not None:
+        base = base.withColumn("far", F.expr(f"CASE WHEN at = 10 AND {L.linkable(SPARK)} THEN {untrusted_links('t', trusted)} END"))
+    base = base.withColumns({"l5c": F.when(alive, F.expr(L.links(SPARK, "0" if trusted is None else "coalesce(size(far), 0)"))), "links": F.when(alive, F.expr(_links(trusted is not None))), "is_pdf": alive & F.col("is_pdf"), "kind": F.when(alive, F.col("detected")), "content": F.when(alive | F.col("redo"), F.col("content"))})
     own = [c for c in files.columns if c != "content"]
     own += [c for c in ("ext", "size_bytes", "sha256", "head", "detected", "l3", "l4", "early", "rules", "report", "at", "l5c", "links", "is_pdf", "kind", "redo", *scanners) if c not in own]
     out = per_file(base.select(*own, "content"), opened, OPENED, "content", "is_pdf", "kind", "redo")

@@ -18,17 +18,18 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from sievework.sources.submissions import declared_type
 
+CATEGORIES = ("profile", "id")  # of stored files
 GROUPS = ("malicious", "clean")  # folders right below the root, in the order of a run
 RUN_FILES, RUN_BYTES, BATCH_BYTES = 256, 32 << 20, 4 << 20  # files and bytes that one task reads; bytes that it hands over together
-READ = pa.schema([("path", pa.string()), ("relative_path", pa.string()), ("truth", pa.string()), ("place", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+READ = pa.schema([("path", pa.string()), ("relative_path", pa.string()), ("truth", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
 STORE = "folder string, stored_name string, content binary"
 
 
 @dataclass
 class Run(InputPartition):
-    """Files that one task reads: path, path below the root, group and place in the group."""
+    """Files that one task reads: path, path below the root, group, place in the group and bytes."""
 
-    files: list[tuple[str, str, str, int]]
+    files: list[tuple[str, str, str, int, int]]
 
 
 def _listed(system: fs.FileSystem, folder: str) -> list[tuple[str, int]]:
@@ -41,21 +42,21 @@ def _listed(system: fs.FileSystem, folder: str) -> list[tuple[str, int]]:
 
 
 class CorpusReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, groups: tuple[str, ...], opened: bool):
+        self.root, self.groups, self.opened = root, groups, opened
 
     def partitions(self) -> list[Run]:
         """Runs of paths, in the order of their UTF-16 units within each group; a group without a folder has none."""
         system, root = fs.FileSystem.from_uri(self.root)
         runs: list[Run] = [Run([])]
         size = 0
-        for group in GROUPS:
+        for group in self.groups:
             for place, (path, length) in enumerate(sorted(_listed(system, f"{root}/{group}"), key=lambda x: x[0].encode("utf-16-be", "surrogatepass"))):
                 if len(runs[-1].files) >= RUN_FILES or size >= RUN_BYTES:
                     runs.append(Run([]))
                     size = 0
-                runs[-1].files.append((path, posixpath.relpath(path, root), group, place))
-                size += length
+                runs[-1].files.append((path, posixpath.relpath(path, root), group, place, length))
+                size += length if self.opened else 0
         return runs
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
@@ -64,6 +65,9 @@ class CorpusReader(DataSourceReader):
         rows: list[tuple] = []
         size = 0
         for path, *rest in partition.files:
+            if not self.opened:
+                rows.append((path, *rest, None, None))
+                continue
             try:
                 with system.open_input_stream(path) as stream:
                     rows.append((path, *rest, stream.read(), None))
@@ -82,17 +86,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class CorpusSource(DataSource):
-    """Option `root`: the folder that holds the groups."""
+    """Options: `root`, the folder that holds the groups; `groups`, the folders right below it, by commas; `opened`, false to list files without opening them."""
 
     @classmethod
     def name(cls) -> str:
         return "labelled_corpus"
 
     def schema(self) -> str:
-        return "path string, relative_path string, truth string, place long, content binary, error string"
+        return "path string, relative_path string, truth string, place long, size long, content binary, error string"
 
     def reader(self, schema) -> CorpusReader:
-        return CorpusReader(self.options["root"])
+        groups = tuple(self.options.get("groups", ",".join(GROUPS)).split(","))
+        return CorpusReader(self.options["root"], groups, self.options.get("opened", "true") == "true")
 
 
 class StoreWriter(DataSourceArrowWriter):
@@ -149,12 +154,15 @@ class StoreSink(DataSource):
         return StoreWriter(self.options["root"], self.options["run"])
 
 
+def _files(spark: SparkSession, root: str, groups: tuple[str, ...], opened: bool) -> DataFrame:
+    spark.dataSource.register(CorpusSource)
+    return spark.read.format("labelled_corpus").option("root", root).option("groups", ",".join(groups)).option("opened", str(opened).lower()).load()
+
+
 def corpus_files(spark: SparkSession, root: str, category: str = "id") -> DataFrame:
     """A row for each file below <root>/malicious and <root>/clean: id (its path), relative_path, truth, place (its number in its group by path), file_name without the suffix that keeps samples from being opened, declared_type, category, content and error (null if it was read)."""
-    spark.dataSource.register(CorpusSource)
-    files = spark.read.format("labelled_corpus").option("root", root).load()
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)(\.sample)+$", "")
-    return files.select(F.col("path").alias("id"), "relative_path", "truth", "place", name.alias("file_name"), declared_type(name).alias("declared_type"), F.lit(category).alias("category"), "content", "error")
+    return _files(spark, root, GROUPS, True).select(F.col("path").alias("id"), "relative_path", "truth", "place", name.alias("file_name"), declared_type(name).alias("declared_type"), F.lit(category).alias("category"), "content", "error")
 
 
 def store(rows: DataFrame, root: str, run: str | None = None) -> str:
@@ -166,3 +174,30 @@ def store(rows: DataFrame, root: str, run: str | None = None) -> str:
     rows.sparkSession.dataSource.register(StoreSink)
     rows.select("folder", "stored_name", "content").write.format("file_store").option("root", root).option("run", run).mode("append").save()
     return f"{root.rstrip('/')}/{run}"
+
+
+def corpus_status(spark: SparkSession, root: str) -> DataFrame:
+    """grp, exists and files of each group of a labelled folder, and their total; nothing is opened."""
+    system, below = fs.FileSystem.from_uri(root)
+    there = [(g, system.get_file_info(f"{below.rstrip('/')}/{g}").type == fs.FileType.Directory) for g in GROUPS]
+    counted = _files(spark, root, GROUPS, False).groupBy(F.col("truth").alias("grp")).agg(F.count("*").alias("files"))
+    groups = spark.createDataFrame(there, "grp string, exists boolean").join(counted, "grp", "left").fillna(0, ["files"])
+    return groups.unionByName(groups.agg(F.lit("total").alias("grp"), F.bool_or("exists").alias("exists"), F.sum("files").alias("files")))
+
+
+def listing(spark: SparkSession, root: str, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """Stored files by category, without reading their content: category, stored_name, size, url. Only files right below a category's folder."""
+    files = _files(spark, root, categories, False).select(F.col("truth").alias("category"), F.split("relative_path", "/").alias("parts"), "size").where("size(parts) = 2")
+    return files.select("category", F.col("parts")[1].alias("stored_name"), "size", F.concat(F.lit("/api/files/"), "category", F.lit("/"), F.col("parts")[1]).alias("url"))
+
+
+def stored_file(spark: SparkSession, root: str, category: str, name: str) -> DataFrame:
+    """One stored file: stored_name, content_type and content; no row where there is none, or the category isn't one. A name that isn't a plain file name is an error."""
+    if not name.strip() or ".." in name or "/" in name or "\\" in name:
+        raise ValueError("not a plain file name")
+    system, below = fs.FileSystem.from_uri(root)
+    path = f"{below.rstrip('/')}/{category.lower()}/{name}"
+    if category.lower() not in CATEGORIES or system.get_file_info(path).type != fs.FileType.File:
+        return spark.createDataFrame([], "stored_name string, content_type string, content binary")
+    with system.open_input_stream(path) as stream:
+        return spark.createDataFrame([(name, stream.read())], "stored_name string, content binary").select("stored_name", declared_type(F.col("stored_name")).alias("content_type"), "content")

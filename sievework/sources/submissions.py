@@ -67,12 +67,6 @@ def declared_type(name) -> F.Column:
     return F.coalesce(F.try_element_at(known, ext), F.lit("application/octet-stream"))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Stored files by category, without reading their content: category, stored_name, size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("category"), F.regexp_extract("path", r"([^/]+)$", 1).alias("stored_name"), F.col("length").alias("size"))
-
-
 def as_text(df: DataFrame) -> DataFrame:
     """Adds what the predicates work on: t, the content with one character a byte, low, the same in lower case, and raw, the bytes."""
     return df.withColumn("t", F.decode("content", "ISO-8859-1")).withColumn("low", F.lower("t")).withColumn("raw", F.col("content"))

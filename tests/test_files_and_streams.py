@@ -16,7 +16,7 @@ from sievework.functions.tables import SCANNERS
 from sievework.operators import engine_output, hits, pdf_rows
 from sievework.operators import rewriting as R
 from sievework.plans.comparison import run_corpus, store_compared
-from sievework.sources.corpus import StoreWriter, corpus_files, store
+from sievework.sources.corpus import StoreWriter, corpus_files, corpus_status, listing, store, stored_file
 from sievework.streaming import cache
 
 
@@ -56,6 +56,19 @@ def test_a_run_from_a_folder_to_the_fact_table(spark, folder, tmp_path):
     assert (nothing.processed, nothing.rows, nothing.failed) == (0, 0, 0)
 
 
+def test_status_listing_and_one_file(spark, folder, tmp_path):
+    assert sorted(map(tuple, corpus_status(spark, str(folder)).collect())) == [("clean", True, 4), ("malicious", True, 4), ("total", True, 8)]
+    assert sorted(map(tuple, corpus_status(spark, str(tmp_path)).collect())) == [("clean", False, 0), ("malicious", False, 0), ("total", False, 0)]
+    put(tmp_path / "kept", {"id/a b[1].PDF": b"1234", "profile/x.svg": b"", "other/n": b"1"})
+    at = str(tmp_path / "kept")
+    assert sorted(map(tuple, listing(spark, at).collect())) == [("id", "a b[1].PDF", 4, "/api/files/id/a b[1].PDF"), ("profile", "x.svg", 0, "/api/files/profile/x.svg")]
+    assert [(r[0], r[1], bytes(r[2])) for r in stored_file(spark, at, "ID", "a b[1].PDF").collect()] == [("a b[1].PDF", "application/pdf", b"1234")]
+    assert stored_file(spark, at, "other", "n").count() == stored_file(spark, at, "id", "gone").count() == 0
+    for name in ("", "../x", "a/b", "a\\b"):
+        with pytest.raises(ValueError):
+            stored_file(spark, at, "id", name)
+
+
 def files_of(path):
     return {os.path.relpath(os.path.join(d, f), path): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(path) for f in names if not f.endswith(".crc")}
 
