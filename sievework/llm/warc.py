@@ -1,6 +1,6 @@
 """WARC archives: one gzip member per record, written from pages and read back in sequence.
 
-Archives are rows (archive, data) of bounded size, so that Spark's own commit makes a written table whole even if tasks are lost and repeated; read_archives takes the same from `.warc.gz` files by Spark's binaryFile source. Of records with equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response and the others revisit it."""
+Archives are rows (archive, data) of bounded size, so that Spark's own commit makes a written table whole even if tasks are lost and repeated; write_files makes a `.warc.gz` file of each, and archive_files reads those by Spark's binaryFile source. Of records with equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response and the others revisit it."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import Scratch, columns
+from sievework.sources.corpus import store
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8 << 20  # compressed; an archive closes once it has so many
@@ -174,6 +175,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return columns(archives, "archive", "data").mapInArrow(_read, READ)
 
 
+def write_files(archives: DataFrame, root: str, run: str) -> str:
+    """Puts archives (archive, data: a written table) into files <root>/<run>/<archive>, and returns that folder. Its name is given once all are written, so a task that is lost and repeated leaves no doubles, and a failed run nothing; a run that is there already isn't written again. Null or empty archives become empty files."""
+    return store(archives.select(F.lit("").alias("folder"), F.col("archive").alias("stored_name"), F.col("data").alias("content")), root, run)
+
+
 def archive_files(spark, path: str) -> DataFrame:
     """Archives (archive, data) from .warc.gz files of at most 2 GB, by Spark's binaryFile source."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("archive"), F.col("content").alias("data"))

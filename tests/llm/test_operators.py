@@ -365,6 +365,20 @@ def test_warc(spark, groups):
     assert warc.read_archives(warc.write_archives(df.limit(0), Scratch(spark, "t"))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """One file an archive, read back record by record; the command-line tool's format of members one after the other."""
+    import gzip
+
+    rows = [(i, f"http://h{i}.example/", f"<p>{i}</p>" * (i % 7 * 100)) for i in range(200)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), Scratch(spark, "t"))
+    at = warc.write_files(archives, str(tmp_path), "crawl-1")
+    files = sorted((tmp_path / "crawl-1").iterdir())
+    assert len(files) == archives.count() and all(f.name.endswith(".warc.gz") for f in files)
+    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in files) == 200
+    key = lambda df: sorted(map(tuple, df.select("page_id", "record_type", "payload_digest", "refers_to", "error").collect()), key=repr)
+    assert key(warc.read_archives(warc.archive_files(spark, at))) == key(warc.read_archives(archives))
+
+
 def test_warc_digest_is_checked(spark):
     bad = zlib.decompress(warc.record(1, "u", b"payload", None), 31).replace(b"payload\r\n", b"pAyload\r\n")
     press = zlib.compressobj(6, zlib.DEFLATED, 31)
