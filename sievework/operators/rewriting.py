@@ -157,7 +157,7 @@ def trailing(data: bytes, kind: str) -> int | None:
         return None if end > len(data) or end < 12 else len(data) - end
     mark, more = (b"\xff\xd9", 2) if kind == "jpeg" else (b"IEND", 8)
     at = data.rfind(mark)
-    return None if at < 0 or at + more > len(data) else len(data) - at - more
+    return None if at < 0 else max(0, len(data) - at - more)
 
 
 def png_pixels(data: bytes) -> np.ndarray:

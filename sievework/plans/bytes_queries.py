@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import matched_sql
+from sievework.operators import images
 from sievework.operators.ordering import within_spans
 from sievework.operators.pdf_rows import joined, spans, stream_rows
 from sievework.operators.rewriting import IMAGE_FIELDS, PDF_FIELDS, SVG_FIELDS, inflate_pdf, per_file, png_bytes, png_pixels, psnr, reencode, sanitise_svg
@@ -83,11 +84,19 @@ def l6_reencode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def img_dimension_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that are larger than what is decoded, by their headers."""
+
     def large(text: bytes) -> bytes:
-        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", len(text) + 1, 20_000 if len(text) % 2 else 16)
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", len(text) + 1, 20_000 if len(text) % 2 else 16) + text
+
+    width, height = images.png_size("content")
+    out = built(spark, sf_dir, large).selectExpr("doc_id", f"{width} AS width", f"{height} AS height")
+    return out.where(images.refused_size("width", "height"))
+
 
-    out = per_file(built(spark, sf_dir, large), reencode, IMAGE_FIELDS)
-    return out.where("refused = 'dimensions'").select("doc_id", "width", "height")
+def img_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes after the end of images that have some of a text appended."""
+    return built(spark, sf_dir, _png).selectExpr("doc_id", f"octet_length(content) - {images.image_end('content', chr(39) + 'png' + chr(39))} AS trailing_bytes")
 
 
 def fn_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +187,7 @@ def agg_ablation_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in names))
 
 
-QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, pdf_extract_streams, set_concat_streams, join_range_span, scan_built, agg_ablation_inflated, agg_ablation_images)}
+QUERIES = {f.__name__: f for f in (l5b_pdf_flate, pdf_survey, l6_reencode, img_dimension_guard, img_trailing, fn_psnr, l7_svg_sanitize, agg_removed_counts, join_anti_attrs, topk_attrs, pdf_extract_streams, set_concat_streams, join_range_span, scan_built, agg_ablation_inflated, agg_ablation_images)}
 
 _N = "octet_length(encode(coalesce(text, '')))"
 _ODD = "len(list_filter(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: right(x, 1) IN ('1', '3', '5', '7', '9', 'B', 'D', 'F')))"
@@ -195,6 +204,7 @@ SQL = {
     "pdf_survey": f"SELECT cast(CASE WHEN {_N} % 2 = 1 THEN 2 ELSE 1 END as bigint) AS depth, count(*) AS files, count(*) AS opened, cast(sum({_N} + 1 + CASE WHEN {_N} % 3 = 0 THEN {len(_TRIGGER)} ELSE 0 END) as bigint) AS inflated_bytes FROM documents GROUP BY 1",
     "l6_reencode": f"SELECT doc_id, 'png' AS image_type, cast(16 as bigint) AS width, cast(ceil(greatest(1, {_N}) / 48.0) as bigint) AS height, cast({_N} % 5 as bigint) AS trailing_bytes, cast(0 as bigint) AS low_bits, cast(NULL as string) AS refused, cast(NULL as string) AS decode_error FROM documents",
     "img_dimension_guard": f"SELECT doc_id, cast({_N} + 1 as bigint) AS width, cast(CASE WHEN {_N} % 2 = 1 THEN 20000 ELSE 16 END as bigint) AS height FROM documents WHERE {_N} % 2 = 1 OR {_N} + 1 > 10000",
+    "img_trailing": f"SELECT doc_id, CAST({_N} % 5 AS BIGINT) AS trailing_bytes FROM documents",
     "fn_psnr": f"SELECT doc_id, CASE WHEN {_ODD} > 0 THEN round(10 * log10(65025.0 * {_BYTES} / {_ODD}), 6) END AS psnr, CAST(NULL AS VARCHAR) AS psnr_error FROM documents",
     "l7_svg_sanitize": f"SELECT doc_id, CAST(n % 4 + n % 3 + n % 5 AS BIGINT) AS elements, CAST(3 + 3 * (n % 5) AS BIGINT) AS attributes, CAST(2 + n % 5 AS BIGINT) AS handlers, CAST(3 + 2 * (n % 5) AS BIGINT) AS kept_elements, CAST(n % 3 AS BIGINT) AS comments, CAST(n % 2 AS BIGINT) AS instructions, {_PARTS} AS sanitised, CAST(NULL AS VARCHAR) AS svg_refused FROM {_LEN} AS l",
     "agg_removed_counts": f"SELECT kind, name, removed FROM ({_COUNTED}) AS c",

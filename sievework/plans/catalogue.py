@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievework.functions.dialect import DUCKDB, SPARK, Spark
 from sievework.functions.rules import RULES, rule_sql
 from sievework.functions.tables import DECLARED_BY_EXTENSION, HOST, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, SVG_ELEMENTS, URL
+from sievework.operators import images
 from sievework.operators.cascade import comparators
 from sievework.operators.layers import data_uri, inspected, linkable, listed, namespace, near_misses, scheme, svg_root, view
 from sievework.plans import bytes_queries, reports
@@ -115,9 +116,8 @@ STATEMENTS["join_lookup_hosts"] = lambda d: "SELECT h.host, count(p.page_id) AS
 # what reports list
 STATEMENTS["fn_last_index_bytes"] = lambda d: f"SELECT page_id, CASE WHEN contains(t, '</p>') THEN cast(length(t) - {'instr' if d.name == 'spark' else 'strpos'}(reverse(t), '>p/<') + 1 as bigint) END AS end_at FROM (SELECT page_id, {d.latin('html')} AS t FROM pages) AS b"
 def riff_end(source: str) -> str:
-    """Spark SQL: id and the end that a RIFF header states, from bytes 4 to 7 of `content`; null where it is below 12 or beyond the content."""
-    stated = "8 + " + " + ".join(f"{256**k} * cast(conv(hex(substring(content, {5 + k}, 1)), 16, 10) as bigint)" for k in range(4))
-    return f"SELECT id, CASE WHEN end_at BETWEEN 12 AND octet_length(content) THEN end_at END AS end_at FROM (SELECT id, content, {stated} AS end_at FROM ({source}) AS c) AS r"
+    """Spark SQL: id and the end that a RIFF header states."""
+    return f"SELECT id, {images.riff_end('content')} AS end_at FROM ({source}) AS c"
 
 
 def _riff_sql() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions.dialect import DUCKDB as D
 from sievework.functions.dialect import SPARK
 from sievework.functions.rules import RULES, matched_sql
-from sievework.functions.tables import CO_LOCATED, DATA_URIS, FOREIGN_TEXT, HOST, LAYERS, SCANNERS, SCHEMES, SEVERITIES, SIGNATURES, URL
+from sievework.functions.tables import CO_LOCATED, DATA_URIS, DECLARED_BY_EXTENSION, FOREIGN_TEXT, HOST, LAYERS, SCANNERS, SCHEMES, SEVERITIES, SIGNATURES, URL
 from sievework.operators import hits as H
 from sievework.operators import layers as L
 from sievework.operators.cascade import comparators
@@ -160,8 +160,25 @@ def prj_outcome3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layered(spark, sf_dir).selectExpr("id", "CASE WHEN decision = 'rejected' THEN 'Rejected' WHEN content_rewritten THEN 'Neutralized' ELSE 'Accepted' END AS outcome")
 
 
+def reason_code(reason: str, kind: str) -> str:
+    """SQL: the short cause of a refusal: the mark before the reason's first colon, if it is 4 to 16 capitals, digits and hyphens; else the kind of the layer's first evidence; else UNCODED if there is a reason."""
+    mark = f"regexp_extract({reason}, r'^([\\p{{Lu}}\\p{{Nd}}-]{{4,16}}):', 1)"
+    return f"CASE WHEN {mark} <> '' THEN {mark} WHEN {kind} IS NOT NULL THEN {kind} WHEN {reason} <> '' THEN 'UNCODED' ELSE '' END"
+
+
 def fn_reason_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layered(spark, sf_dir).select("id", F.col("reason_code").alias("code"))
+    """The cause of each refusal, from what the layer says in words and its first evidence."""
+    told = "CASE WHEN decision = 'accepted' THEN '' WHEN layers_run IN (3, 4, 7, 9) THEN reason_code || ': refused by ' || stopped_at ELSE 'Refused by: ' || stopped_at END"
+    rows = layered(spark, sf_dir).selectExpr("id", f"{told} AS reason", "CASE WHEN decision = 'rejected' THEN get(filter(evidence, e -> e.layer_no = layers_run), 0).kind END AS kind")
+    return rows.selectExpr("id", f"{reason_code('reason', 'kind')} AS code")
+
+
+def join_lookup_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content type that each name's extension stands for, and how many names have it: a join with the lookup table, which is small and fixed."""
+    table = spark.createDataFrame(list(DECLARED_BY_EXTENSION.items()), "ext string, content_type string")
+    names = submissions(spark, sf_dir).select(F.lower(F.regexp_extract("file_name", r"(\.[^./\\]+)$", 1)).alias("ext"))
+    rows = names.join(F.broadcast(table), "ext", "left").withColumn("content_type", F.coalesce("content_type", F.lit("application/octet-stream")))
+    return rows.groupBy("content_type").agg(F.count("*").alias("files"))
 
 
 def snk_json_response(spark: SparkSession, sf_dir: str, demo: bool = True) -> DataFrame:
@@ -312,7 +329,7 @@ def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", layer, "sha256", F.lit(FINGERPRINT).alias("rules")).join(kept, key, "left").select("id", "layer", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-_LINKED = (l5c_links_blocking, agg_confusion_strict, fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
+_LINKED = (join_lookup_types, l5c_links_blocking, agg_confusion_strict, fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
 _TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, yara_parse, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
 _COMPARED = (compare_run, join_files_x_scanners, agg_accept_ratio, snk_compare_store, corpus_flags, agg_confusion, agg_severity_gate, agg_metrics, corpus_run, win_from_cache, agg_corpus_summary, sort_paths)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_TABLES, *_COMPARED, *_LINKED)}
@@ -495,6 +512,7 @@ close AS (SELECT id, rule_no, string_agg(group_a || '~' || group_b || ' ' || dis
 SELECT f.id, string_agg(name || ' [severity=' || severity || ', category=' || category || ']' || coalesce(' | strings: ' || strings || CASE WHEN n > 8 THEN ', +' || (n - 8) || ' more' ELSE '' END, '') || coalesce(' | proximity: ' || pairs, ''), '  ||  ' ORDER BY f.rule_no) AS reason
 FROM fires f JOIN rule USING (rule_no) LEFT JOIN told ON told.id = f.id AND told.rule_no = f.rule_no LEFT JOIN close ON close.id = f.id AND close.rule_no = f.rule_no GROUP BY f.id""",
     "fn_urls": _LINKS + "SELECT id, ord, url, host, place FROM links",
+    "join_lookup_types": "SELECT CASE " + " ".join(f"WHEN lower(file_name) LIKE '%{k}' THEN '{v}'" for k, v in DECLARED_BY_EXTENSION.items()) + f" ELSE 'application/octet-stream' END AS content_type, count(*) AS files FROM ({submissions_sql(D)}) AS s GROUP BY 1",
     "l5c_links_blocking": _LINKS
     + f""", far AS ({_FAR}), named AS (SELECT id, string_agg(host, ', ' ORDER BY host) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN ', +' || (count(*) - 5) || ' more' ELSE '' END AS hosts FROM (SELECT id, host, row_number() OVER (PARTITION BY id ORDER BY host) AS k FROM (SELECT DISTINCT id, host FROM far) AS h) AS r GROUP BY id),
 counted AS (SELECT id, count(*) AS links, min(place) AS first_at FROM far GROUP BY id)

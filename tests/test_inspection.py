@@ -110,7 +110,7 @@ def test_images():
     assert (again[..., :3] & 1 == 0).all() and (again[..., 3] == pixels[..., 3]).all() and R.trailing(out[0], "png") == 0
     huge = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 20_000, 20_000)
     assert R.reencode(huge)[5] == "dimensions" and R.reencode(b"\xff\xd8\xff")[5] == "no image header"
-    assert R.trailing(b"\xff\xd8..\xff\xd9abc", "jpeg") == 3 and R.trailing(b"RIFF\x04\0\0\0WEBPxy", "webp") == 2
+    assert R.trailing(made[:-2], "png") == 0 and R.trailing(b"\xff\xd8..\xff\xd9abc", "jpeg") == 3 and R.trailing(b"RIFF\x04\0\0\0WEBPxy", "webp") == 2
     lines = zlib.compress(b"\x01\x01\x01\x01" + b"\x02\x01\x01\x01" + b"\x03\x01\x01\x01" + b"\x04\x01\x01\x01")
     chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
     grey = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 4, 8, 0, 0, 0, 0)) + chunk(b"IDAT", lines) + chunk(b"IEND", b"")
@@ -119,6 +119,18 @@ def test_images():
     assert R.png_pixels(palette).tolist() == [[[255, 254, 253], [1, 2, 3]]]
 
 
+def test_ends_and_sizes_of_images(spark):
+    from sievework.operators import images
+
+    made = R.png_bytes(np.zeros((3, 2, 3), np.uint8))
+    files = [("png", made), ("png", made + b"IEND" + b"tail" * 3), ("png", made[:-2]), ("png", b"\x89PNG"), ("jpeg", b"\xff\xd8.\xff\xd9..\xff\xd9abc"), ("jpeg", b"\xff\xd8"), ("webp", b"RIFF\x04\0\0\0WEBPxy"), ("webp", b"RIFF\xff\0\0\0WEBPxy")]
+    df = spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "id int, kind string, content binary")
+    width, height = images.png_size("content")
+    got = df.selectExpr(f"octet_length(content) - {images.image_end('content', 'kind')} AS more", f"{width} AS w", f"{height} AS h", "id").orderBy("id").collect()
+    assert [r["more"] for r in got] == [R.trailing(c, k) for k, c in files] == [0, 8, 0, None, 3, None, 2, None]
+    assert [(r["w"], r["h"]) for r in got[:4]] == [(2, 3)] * 3 + [(None, None)]
+
+
 def test_svg():
     out = R.sanitise_svg(b'<svg xmlns="http://www.w3.org/2000/svg" onload="x()"><!--c--><script>1<g/></script><foreignObject/><SCRIPT/><a xlink:href="y" xmlns:xlink="z"><g/></a><?p q?><rect width="1&quot;"/></svg>')
     assert out[0].decode() == '<svg xmlns="http://www.w3.org/2000/svg"><!--c--><?p q?><rect width=\'1"\'></rect></svg>'
@@ -225,13 +237,13 @@ def test_upload_stream(spark, tmp_path):
     from sievework.sources.sinks import as_json, stored, write_csv
     from sievework.streaming.uploads import verdicts
 
-    for name, content in (("malicious/x.pdf", b"%PDF /Launch"), ("clean/y.pdf", b"%PDF fine")):
+    for name, content in (("id/x.pdf", b"%PDF /Launch"), ("ID /y.pdf", b"%PDF fine"), ("profile/z.pdf", b"%PDF fine"), ("other/w.pdf", b"%PDF fine"), ("id/empty.pdf", b"")):
         path = tmp_path / "root" / name
-        path.parent.mkdir(parents=True)
+        path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
     verdicts(spark, str(tmp_path / "root"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     done = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r["decision"] for r in done.collect()) == ["accepted", "rejected"]
+    assert sorted((r["id"].split("/")[-1], r["category"], r["reason_code"]) for r in done.collect()) == [("x.pdf", "id", "yara-rule"), ("y.pdf", "id", ""), ("z.pdf", "profile", "UNCODED")]
     assert len(stored(done).first()["stored_name"]) == 36 and stored(done).first() == stored(done).first()
     assert '"accepted":true' in as_json(done.where("decision = 'accepted'")).first()["response"]
     write_csv(spark.createDataFrame([('a,"b"', "x\ny", None), ("  pad .png ", "'q'", "")], "file string, reason string, truth string").select("file", "truth", "reason").coalesce(1), str(tmp_path / "csv"))
