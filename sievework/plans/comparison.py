@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.tables import SCANNERS
+from sievework.functions.tables import LAYERS, SCANNERS
 from sievework.plans.scan import scan
 from sievework.sources.corpus import corpus_files, store
 from sievework.sources.sinks import write_csv
@@ -52,6 +52,8 @@ def fact_rows(rows: DataFrame, cached: DataFrame, relative_path: str) -> DataFra
 
 @dataclass(frozen=True)
 class Summary:
+    """What a run did. layers: of each layer its name, the files that reached it and those that it refused."""
+
     csv: str
     processed: int
     malicious: int
@@ -59,6 +61,14 @@ class Summary:
     rows: int
     failed: int
     seconds: float
+    layers: tuple[tuple[str, int, int], ...]
+
+
+def observed(scanned: DataFrame, read: str = "true") -> tuple[DataFrame, Observation]:
+    """scanned files, whose next action also counts by the way the files (those for which `read` holds) that reach each layer and that it refuses: r1, x1, r2 ... of the observation. No further pass; the counts are metrics, of which tasks that run again may add to."""
+    seen = Observation("layers")
+    counts = [F.count_if(F.expr(f"{read} AND {x}")).alias(f"{name}{k}") for k in range(1, len(LAYERS) + 1) for name, x in (("r", f"layers_run >= {k}"), ("x", f"layers_run = {k} AND decision = 'rejected'"))]
+    return scanned.observe(seen, *counts), seen
 
 
 def run_corpus(spark: SparkSession, root: str, out: str, category: str = "id") -> Summary:
@@ -67,12 +77,14 @@ def run_corpus(spark: SparkSession, root: str, out: str, category: str = "id") -
     One pass reads and scans the files; what is left of each, without its bytes, is written once. A file that can't be read counts as failed and has no fact row. A root without groups gives an empty table."""
     began = time.time()
     outcome = scan(corpus_files(spark, root, category), detail=False).drop("content", "evidence", "fired", "rules", "removed_elements", "removed_attributes")
+    outcome, layers = observed(outcome, "error IS NULL")
     outcome = written_once(outcome, "corpus")
+    told = layers.get
     read = outcome.where("error IS NULL")
     facts = written_once(fact_rows(by_scanner(read), seen_before(read, "place"), "relative_path"), "facts")
     write_csv(facts, out)
     counts = outcome.agg(*(F.count_if(F.expr(x)).alias(n) for n, x in (("processed", "error IS NULL"), ("malicious", "error IS NULL AND truth = 'malicious'"), ("clean", "error IS NULL AND truth = 'clean'"), ("failed", "error IS NOT NULL")))).first()
-    return Summary(out, counts["processed"], counts["malicious"], counts["clean"], facts.count(), counts["failed"], round(time.time() - began, 1))
+    return Summary(out, counts["processed"], counts["malicious"], counts["clean"], facts.count(), counts["failed"], round(time.time() - began, 1), tuple((name, told[f"r{k}"], told[f"x{k}"]) for k, name in enumerate(LAYERS, 1)))
 
 
 def store_compared(files: DataFrame, root: str, run: str | None = None) -> str:

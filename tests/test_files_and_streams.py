@@ -47,6 +47,7 @@ def test_files_that_cannot_be_read_are_rows_with_their_error(spark, folder):
 def test_a_run_from_a_folder_to_the_fact_table(spark, folder, tmp_path):
     got = run_corpus(spark, str(folder), str(tmp_path / "csv"))
     assert (got.processed, got.malicious, got.clean, got.rows, got.failed) == (6, 3, 3, 36, 2) and got.seconds > 0
+    assert [x[1:] for x in got.layers] == [(6, 0), (6, 1), (5, 0), (5, 0), (5, 1), (4, 0), (4, 0), (4, 0), (4, 0)] and len({x[0] for x in got.layers}) == 9
     facts = spark.read.option("header", True).csv(got.csv)
     assert facts.count() == 36 and facts.where("relative_path LIKE '%gone%' OR relative_path LIKE '%torn%'").count() == 0
     last = {r["relative_path"]: r for r in facts.where(f"scanner = '{SCANNERS[-1]}'").collect()}
