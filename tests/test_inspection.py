@@ -38,6 +38,7 @@ def duck():
 SOME = [
     "l1_extension", "l2_magic", "l2_svg", "l2_foreign", "l3_header", "l4_double_ext", "l5_signature", "l5c_links", "fn_riff_end", "yara_hits", "join_proximity", "yara_evidence", "yara_describe", "scan_layered", "scan_evidence", "agg_funnel",
     "compare_run", "corpus_run", "agg_metrics", "sort_paths", "agg_links_per_host", "l5b_pdf_flate", "l6_reencode", "fn_psnr", "l7_svg_sanitize", "agg_removed_counts", "join_range_span", "scan_built",
+    "pdf_extract_streams", "set_concat_streams", "yara_parse", "l5c_links_blocking", "agg_confusion_strict", "agg_ablation_images", "img_trailing", "img_dimension_guard", "fn_reason_code", "join_lookup_types", "yara_counts", "yara_by_severity", "prj_unwrap_layer",
 ]
 
 
