@@ -8,7 +8,6 @@ from itertools import permutations
 import pytest
 
 from sievework.llm import common, fill_middle, filter_audit, url_filter
-from sievework.llm.common import Scratch
 
 PAGES = "page_id long, url string, html string, host int, verdict string"
 
