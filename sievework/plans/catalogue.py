@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.functions.dialect import DUCKDB, SPARK, Spark
 from sievework.functions.rules import RULES, rule_sql
-from sievework.functions.tables import DECLARED_BY_EXTENSION, HOST, NAMESPACE_HOSTS, SEVERITIES, SVG_ATTRIBUTES, SVG_ELEMENTS, URL
+from sievework.functions.tables import DECLARED_BY_EXTENSION, HOST, NAMESPACE_HOSTS
 from sievework.operators import images
 from sievework.operators.cascade import comparators
-from sievework.operators.layers import data_uri, inspected, linkable, listed, namespace, near_misses, scheme, svg_root, view
+from sievework.operators.layers import data_uri, inspected, linkable, listed, near_misses, scheme, svg_root, view
 from sievework.plans import bytes_queries, reports
 from sievework.sources.cases import cases_sql
 from sievework.sources.submissions import submissions_sql
@@ -94,20 +96,8 @@ STATEMENTS["flt_size_ext_type"] = lambda d: f"SELECT id, CASE WHEN {octets(d)} =
 
 
 # evaluation
-def metrics(counts: str) -> str:
-    """SQL of recall, precision, accuracy, f1, specificity and fpr, null where nothing is counted, from a table with scanner, tp, fn, tn, fp."""
-    r = lambda a, b: f"round(cast({a} as double) / nullif({b}, 0), 6)"
-    return f"SELECT scanner, {r('tp', 'tp + fn')} AS recall, {r('tp', 'tp + fp')} AS precision, {r('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {r('2 * tp', '2 * tp + fp + fn')} AS f1, {r('tn', 'tn + fp')} AS specificity, {r('fp', 'tn + fp')} AS fpr FROM ({counts}) AS m"
-
-
-STATEMENTS["agg_metrics_published"] = lambda d: metrics("SELECT 'gated' AS scanner, 5298 AS tp, 251 AS fn, 4067 AS tn, 396 AS fp")
 STATEMENTS["src_corpus_status"] = lambda d: f"WITH s AS (SELECT truth FROM ({subs(d)}) AS f WHERE truth IS NOT NULL) SELECT g.grp, count(s.truth) AS files FROM (SELECT 'malicious' AS grp UNION ALL SELECT 'clean') AS g LEFT JOIN s ON s.truth = g.grp GROUP BY g.grp UNION ALL SELECT 'total', count(*) FROM s"
 STATEMENTS["agg_ablation"] = lambda d: f"SELECT count_if(l4 IS NOT NULL) AS strict_refused, count_if(l4_lenient IS NOT NULL) AS lenient_refused, count_if({d.size('rules')} > 0 AND l5c IS NULL) AS rules_only, count_if({d.size('rules')} = 0 AND l5c IS NOT NULL) AS links_only FROM {seen(d)}"
-STATEMENTS["agg_severity_order"] = lambda d: "SELECT severity, rank_no FROM (" + " UNION ALL ".join(f"SELECT '{s}' AS severity, {k} AS rank_no" for k, s in enumerate(SEVERITIES)) + ") AS s"
-
-
-
-
 # sets
 STATEMENTS["set_union_groups"] = lambda d: f"SELECT 0 AS group_rank, id, file_name FROM ({subs(d)}) AS s WHERE truth = 'malicious' UNION ALL SELECT 1, id, file_name FROM ({subs(d)}) AS s WHERE truth = 'clean'"
 STATEMENTS["join_lookup_hosts"] = lambda d: "SELECT h.host, count(p.page_id) AS pages FROM (" + " UNION ALL ".join(f"SELECT '{h}' AS host" for h in NAMESPACE_HOSTS) + f") AS h LEFT JOIN (SELECT page_id, lower({d.rx_extract('url', HOST if d.name == 'spark' else '(?i)' + HOST.replace('(?i)', ''))}) AS host FROM pages) AS p ON p.host = h.host GROUP BY h.host"
@@ -131,10 +121,11 @@ STATEMENTS["fn_riff_end"] = lambda d: riff_end(f"SELECT id, encode(payload, 'UTF
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = STATEMENTS[name](SPARK)
+        at = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]  # views of a folder's own, so that two folders' don't replace one another
+        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 \2_{at}", STATEMENTS[name](SPARK))
         for t in TABLES:
-            if t in text:
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            if f"{t}_{at}" in text:
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{t}_{at}")
         return spark.sql(text)
 
     return query

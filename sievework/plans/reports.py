@@ -24,6 +24,7 @@ from sievework.sources.submissions import submissions_sql
 from sievework.streaming.cache import shown_layer
 
 ALLOWED = ["example.org", "m.example.net"]  # domains that the queries take as allowed
+PUBLISHED = (5298, 251, 4067, 396)  # tp, fn, tn, fp
 CACHED = ["SignatureScanning", "PdfFlateDecode"]
 FINGERPRINT = hashlib.sha256(repr(RULES).encode()).hexdigest()
 COLUMNS = "id, truth, category, declared_type, file_name, payload"
@@ -47,8 +48,10 @@ def _each(df: DataFrame, part: str) -> DataFrame:
 
 
 def src_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, and how many submissions each matches."""
     rows = [(r.number, r.name, r.category, r.severity, len(r.strings), r.condition) for r in RULES]
-    return spark.createDataFrame(rows, "rule_no int, rule string, category string, severity string, strings long, condition string")
+    rules = spark.createDataFrame(rows, "rule_no int, rule string, category string, severity string, strings long, condition string")
+    return rules.join(yara_counts(spark, sf_dir), "rule", "left").fillna(0, ["files"])
 
 
 def yara_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,9 +237,27 @@ def agg_severity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusion(compared(spark, sf_dir).where(f"scanner = '{SCANNERS[-1]}'"), "NOT accepted AND top_severity IN ('high', 'critical')")
 
 
-def agg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def measured(counts: DataFrame) -> DataFrame:
+    """Recall, precision, accuracy, f1, specificity and fpr, null where nothing is counted, from rows with scanner, tp, fn, tn, fp."""
     r = lambda a, b: f"round(cast({a} as double) / nullif({b}, 0), 6)"
-    return agg_confusion(spark, sf_dir).selectExpr("scanner", f"{r('tp', 'tp + fn')} AS recall", f"{r('tp', 'tp + fp')} AS precision", f"{r('tp + tn', 'tp + tn + fp + fn')} AS accuracy", f"{r('2 * tp', '2 * tp + fp + fn')} AS f1", f"{r('tn', 'tn + fp')} AS specificity", f"{r('fp', 'tn + fp')} AS fpr")
+    return counts.selectExpr("scanner", f"{r('tp', 'tp + fn')} AS recall", f"{r('tp', 'tp + fp')} AS precision", f"{r('tp + tn', 'tp + tn + fp + fn')} AS accuracy", f"{r('2 * tp', '2 * tp + fp + fn')} AS f1", f"{r('tn', 'tn + fp')} AS specificity", f"{r('fp', 'tn + fp')} AS fpr")
+
+
+def agg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(agg_confusion(spark, sf_dir))
+
+
+def agg_metrics_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios where only grave findings refuse: those of the published counts beside our own over the labelled submissions."""
+    published = spark.createDataFrame([("gated", *PUBLISHED)], "scanner string, tp long, fn long, tn long, fp long")
+    return measured(published.unionByName(agg_severity_gate(spark, sf_dir)))
+
+
+def agg_severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of severities, and the submissions for which each is the gravest."""
+    order = spark.createDataFrame([(s, k) for k, s in enumerate(SEVERITIES)], "severity string, rank_no int")
+    files = layered(spark, sf_dir).groupBy(F.col("top_severity").alias("severity")).agg(F.count("*").alias("files"))
+    return order.join(files, "severity", "left").fillna(0, ["files"])
 
 
 def corpus_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +350,7 @@ def join_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", layer, "sha256", F.lit(FINGERPRINT).alias("rules")).join(kept, key, "left").select("id", "layer", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-_LINKED = (join_lookup_types, l5c_links_blocking, agg_confusion_strict, fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
+_LINKED = (agg_metrics_published, agg_severity_order, join_lookup_types, l5c_links_blocking, agg_confusion_strict, fn_urls, agg_link_inventory, agg_links_per_host, agg_distinct_hosts, topk_hosts, join_verdict_cache)
 _TABLES = (src_rules, yara_counts, yara_by_severity, yara_hits, agg_group_hits, join_proximity, topk_strings, topk_pairs, yara_evidence, yara_describe, yara_parse, scan_layered, scan_cascade, prj_unwrap_layer, scan_evidence, prj_notable, agg_top_severity, agg_quantifiers, agg_reason_breakdown, agg_funnel, src_list_files, prj_outcome3, fn_reason_code, snk_json_response, flt_demo_gate)
 _COMPARED = (compare_run, join_files_x_scanners, agg_accept_ratio, snk_compare_store, corpus_flags, agg_confusion, agg_severity_gate, agg_metrics, corpus_run, win_from_cache, agg_corpus_summary, sort_paths)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*_TABLES, *_COMPARED, *_LINKED)}
@@ -451,6 +472,7 @@ _COUNTS = "count_if(truth = 'malicious' AND refused) AS tp, count_if(truth = 'ma
 _CACHED = f"SELECT id, truth, row_number() OVER (PARTITION BY sha256(payload) ORDER BY CASE truth WHEN 'malicious' THEN 0 WHEN 'clean' THEN 1 ELSE 2 END, id) > 1 AS from_cache FROM ({submissions_sql(D)}) AS s"
 _CONFUSED = f"SELECT scanner, {_COUNTS} FROM (SELECT *, NOT accepted AS refused FROM results WHERE truth IS NOT NULL) AS q GROUP BY scanner"
 _ratio = lambda a, b: f"round(CAST({a} AS DOUBLE) / nullif({b}, 0), 6)"
+_RATIOS = f"{_ratio('tp', 'tp + fn')} AS recall, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {_ratio('tn', 'tn + fp')} AS specificity, {_ratio('fp', 'tn + fp')} AS fpr"
 _flag = lambda c: f"CAST({c} AS INTEGER) AS {c}"
 
 
@@ -467,6 +489,7 @@ _SCANNED = {
     "scan_layered": "SELECT id, decision, stopped_at, reason_code, top_severity, layers_run, content_rewritten, is_scanner_error, is_test_only, is_neutralized, CAST(stored_size AS BIGINT) AS stored_size FROM done",
     "scan_evidence": "SELECT id, layer_no, kind, label, CAST(place AS BIGINT) AS place, severity FROM ev",
     "prj_notable": "SELECT id, notable FROM done",
+    "agg_severity_order": "SELECT severity, rank_no, coalesce(files, 0) AS files FROM (VALUES " + ", ".join(f"('{s}', {k})" for k, s in enumerate(SEVERITIES)) + ") AS o(severity, rank_no) LEFT JOIN (SELECT top_severity, count(*) AS files FROM done GROUP BY 1) AS t ON t.top_severity = o.severity",
     "agg_top_severity": "SELECT top_severity, count(*) AS files FROM done GROUP BY 1",
     "agg_quantifiers": "SELECT id, any_high, only_slight, has_rule FROM done",
     "agg_reason_breakdown": "SELECT reason_code, decision, count(*) AS files FROM done GROUP BY 1, 2",
@@ -486,7 +509,8 @@ _RESULTS = {
     "agg_confusion": _CONFUSED,
     "agg_confusion_strict": _CONFUSED.replace("truth IS NOT NULL", "truth IS NOT NULL AND NOT is_scanner_error AND NOT is_test_only"),
     "agg_severity_gate": f"SELECT scanner, {_COUNTS} FROM (SELECT *, NOT accepted AND top_severity IN ('high', 'critical') AS refused FROM results WHERE truth IS NOT NULL AND scanner = '{SCANNERS[-1]}') AS q GROUP BY scanner",
-    "agg_metrics": f"SELECT scanner, {_ratio('tp', 'tp + fn')} AS recall, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {_ratio('tn', 'tn + fp')} AS specificity, {_ratio('fp', 'tn + fp')} AS fpr FROM ({_CONFUSED}) AS m",
+    "agg_metrics_published": f"SELECT scanner, {_RATIOS} FROM (SELECT 'gated' AS scanner, {', '.join(f'CAST({n} AS BIGINT) AS {c}' for n, c in zip(PUBLISHED, ('tp', 'fn', 'tn', 'fp'), strict=True))} UNION ALL SELECT scanner, {_COUNTS} FROM (SELECT *, NOT accepted AND top_severity IN ('high', 'critical') AS refused FROM results WHERE truth IS NOT NULL AND scanner = '{SCANNERS[-1]}') AS q GROUP BY scanner) AS p",
+    "agg_metrics": f"SELECT scanner, {_RATIOS} FROM ({_CONFUSED}) AS m",
     "agg_corpus_summary": f"SELECT count_if(scanner = '{SCANNERS[-1]}') AS processed, count_if(scanner = '{SCANNERS[-1]}' AND truth = 'malicious') AS malicious, count_if(scanner = '{SCANNERS[-1]}' AND truth = 'clean') AS clean, count_if(is_scanner_error) AS scanner_errors, count(*) AS result_rows FROM results WHERE truth IS NOT NULL",
     "corpus_run": f"SELECT file_name AS file, r.truth || '/' || file_name AS relative_path, sha256, CAST(size_bytes AS BIGINT) AS size_bytes, r.truth, category, scanner, {', '.join(map(_flag, ('accepted', 'content_rewritten', 'is_scanner_error', 'is_test_only', 'is_neutralized')))}, stopped_at AS stopped_at_layer, reason_code, top_severity, layers_run, CAST(from_cache AND scanner = '{SCANNERS[-1]}' AS INTEGER) AS from_cache, CAST(stored_size AS BIGINT) AS stored_size, CASE WHEN accepted THEN '' WHEN stopped_at = '' THEN 'refused' ELSE reason_code || ': refused by ' || stopped_at END AS reason FROM results r JOIN ({_CACHED} WHERE truth IS NOT NULL) AS k ON k.id = r.id",
 }
@@ -496,7 +520,7 @@ links AS MATERIALIZED (SELECT id, k - 1 AS ord, m[k] AS url, lower(regexp_extrac
   FROM (SELECT *, sum(length(piece) + CASE WHEN k > 1 THEN length(m[k - 1]) ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS before FROM (SELECT *, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM cut)) WHERE k <= len(m)) """
 _FAR = f"SELECT * FROM links WHERE {kind_of_host()} = 'untrusted'"
 SQL = {
-    "src_rules": "SELECT * FROM (VALUES " + ", ".join(f"({r.number}, '{r.name}', '{r.category}', '{r.severity}', CAST({len(r.strings)} AS BIGINT), '{r.condition}')" for r in RULES) + ") AS r(rule_no, rule, category, severity, strings, condition)",
+    "src_rules": f"{_MATCHED} SELECT r.*, coalesce(c.files, 0) AS files FROM (VALUES " + ", ".join(f"({r.number}, '{r.name}', '{r.category}', '{r.severity}', CAST({len(r.strings)} AS BIGINT), '{r.condition}')" for r in RULES) + ") AS r(rule_no, rule, category, severity, strings, condition) LEFT JOIN (SELECT rule_no, count(*) AS files FROM m GROUP BY rule_no) AS c ON c.rule_no = r.rule_no",
     "yara_counts": f"{_MATCHED} SELECT name AS rule, count(*) AS files FROM m JOIN rule USING (rule_no) GROUP BY name",
     "yara_by_severity": f"{_MATCHED} SELECT severity, category, count(*) AS matches, count(DISTINCT id) AS files FROM m JOIN rule USING (rule_no) GROUP BY severity, category",
     "yara_hits": _HITS + "SELECT id, rule_no, string, place, text FROM hits",

@@ -15,7 +15,6 @@ from sievework.functions.rules import RULES, rule_sql
 from sievework.operators import rewriting as R
 from sievework.plans import catalogue
 from sievework.operators import hits
-from sievework.plans import reports
 from sievework.plans.scan import scan
 from sievework.sources.cases import CASES, cases_sql
 
@@ -38,7 +37,7 @@ def duck():
 SOME = [
     "l1_extension", "l2_magic", "l2_svg", "l2_foreign", "l3_header", "l4_double_ext", "l5_signature", "l5c_links", "fn_riff_end", "yara_hits", "join_proximity", "yara_evidence", "yara_describe", "scan_layered", "scan_evidence", "agg_funnel",
     "compare_run", "corpus_run", "agg_metrics", "sort_paths", "agg_links_per_host", "l5b_pdf_flate", "l6_reencode", "fn_psnr", "l7_svg_sanitize", "agg_removed_counts", "join_range_span", "scan_built",
-    "pdf_extract_streams", "set_concat_streams", "yara_parse", "l5c_links_blocking", "agg_confusion_strict", "agg_ablation_images", "img_trailing", "img_dimension_guard", "fn_reason_code", "join_lookup_types", "yara_counts", "yara_by_severity", "prj_unwrap_layer",
+    "pdf_extract_streams", "set_concat_streams", "yara_parse", "l5c_links_blocking", "agg_confusion_strict", "agg_ablation_images", "img_trailing", "img_dimension_guard", "fn_reason_code", "join_lookup_types", "yara_counts", "yara_by_severity", "prj_unwrap_layer", "src_rules", "agg_severity_order", "agg_metrics_published",
 ]
 
 
@@ -69,7 +68,7 @@ def test_binary_rules(spark):
 
 
 def test_published_metrics(spark):
-    got = catalogue.queries()["agg_metrics_published"](spark, DATA).first()
+    got = catalogue.queries()["agg_metrics_published"](spark, DATA).where("scanner = 'gated'").first()
     assert [round(got[c], 4) for c in ("recall", "precision", "accuracy", "f1", "specificity", "fpr")] == [0.9548, 0.9305, 0.9354, 0.9425, 0.9113, 0.0887]
 
 
