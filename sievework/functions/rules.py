@@ -64,7 +64,7 @@ def string_sql(d: Spark, kind: str, pattern: str, t: str, low: str, raw: str) ->
 
 
 def rule_sql(rule: Rule, d: Spark, t: str = "t", low: str = "low", raw: str = "raw", gated: bool = False) -> str:
-    """The rule's predicate; gated: over the array `seen` of the literals that the text holds."""
+    """The rule's predicate; gated: with regular expressions behind their anchors."""
     one = {k: _gated(rule, k, t, low, raw, d) if gated else string_sql(d, kind, p, t, low, raw) for k, (kind, p) in rule.strings.items()}
     one["pdf"] = f"({'instr' if d.name == 'spark' else 'strpos'}({t}, '%PDF') <= 1025)"
     text = re.sub(r"n\(([^)]*)\)", lambda m: "(" + " + ".join(f"CASE WHEN {x.strip()} THEN 1 ELSE 0 END" for x in m[1].split(",")) + ")", rule.condition)
@@ -82,56 +82,20 @@ ANCHORS = {
     (12, "oa"): ["/o#", "/op#", "/ope#", "/open#", "/opena#", "/openac#", "/openact#"], (12, "la"): ["/l#", "/la#", "/lau#", "/laun#", "/launc#"], (12, "aa"): ["/#41"], (12, "ef"): ["/e#", "/em#", "/emb#"],
     (15, "d2"): ["dde"], (16, "s2"): ["onload", "onerror", "onclick", "onmouseover"], (16, "s5"): ["document.write"], (16, "s6"): ["eval"], (17, "s2"): ["onload", "onerror", "onclick", "onmouseover"], (24, "wide"): ["/rect"],
 }
-#: Characters that one pass reads together, so that what it finds stays small however long a text is.
-CHUNK = 1 << 20
-
-
 def anchors_of(rule: Rule, name: str) -> list[str]:
     """Texts in lower case (a character a byte) one of which every match of the string holds; none for a string that stands at the start alone."""
     kind, pattern = rule.strings[name]
     return {"=": lambda: [pattern.lower()], "~": lambda: [pattern.lower()], "x": lambda: [bytes.fromhex(pattern).decode("latin-1").lower()], "x0": list}.get(kind, lambda: ANCHORS[rule.number, name])()
 
 
-LITERALS = sorted({a for r in RULES for k in r.strings for a in anchors_of(r, k)})
-
-
-def _trie(words: set[str]) -> str:
-    """The words as a regular expression that takes the longest of those that fit and reads each character once."""
-    code = lambda c: c if c.isascii() and c.isalnum() else f"\\x{ord(c):02X}"
-    tails: dict[str, set[str]] = {}
-    for w in words:
-        tails.setdefault(w[0], set()).add(w[1:])
-    more = lambda rest: f"(?:{_trie(rest - {''})}){'?' if '' in rest else ''}" if rest - {""} else ""
-    return "|".join(code(c) + more(rest) for c, rest in sorted(tails.items()))
-
-
-_HEADS = "".join(f"\\x{ord(c):02X}" for c in sorted({w[0] for w in LITERALS}))
-#: At every place where one of LITERALS begins, the longest.
-SEEN = f"(?=[{_HEADS}])(?=({_trie(set(LITERALS))}))"
-_literal = lambda x: f"decode(X'{x.encode('latin-1').hex()}', 'ISO-8859-1')"
-
-
-def _seen_sql(low: str) -> str:
-    """Spark SQL: which of LITERALS a text in lower case holds, from one pass; of those that begin at one place the longest stands for all."""
-    found = lambda x: f"array_distinct(regexp_extract_all({x}, r'{SEEN}', 1))"
-    pieces = f"transform(sequence(1, length({low}), {CHUNK}), i -> {found(f'substr({low}, i, {CHUNK + max(map(len, LITERALS)) - 1})')})"
-    return f"CASE WHEN length({low}) <= {CHUNK} THEN {found(low)} ELSE array_distinct(flatten({pieces})) END"
-
-
 def _gated(rule: Rule, name: str, t: str, low: str, raw: str, d: Spark) -> str:
-    """Whether a string occurs, asked of the text itself only if its anchor was seen."""
+    """Whether a string occurs; a regular expression is looked for only in texts that hold one of its anchors."""
     kind, pattern = rule.strings[name]
     exact = string_sql(d, kind, pattern, t, low, raw)
-    longer = [w for w in LITERALS if any(w.startswith(a) for a in anchors_of(rule, name))]
-    if not longer:
-        return exact
-    seen = f"array_contains(seen, {_literal(longer[0])})" if len(longer) == 1 else f"arrays_overlap(seen, array({', '.join(map(_literal, longer))}))"
-    return f"({seen})" if kind == "~" or kind == "=" and pattern.upper() == pattern.lower() else f"({seen} AND {exact})"
+    return f"(({' OR '.join(f'contains({low}, {d.text(a)})' for a in anchors_of(rule, name))}) AND {exact})" if kind[0] == "/" else exact
 
 
 def matched_sql(d: Spark, t: str = "t", low: str = "low", raw: str = "raw") -> str:
-    """An array of the numbers of the rules that match, in order. Spark reads a text once for all fixed texts and anchors of the rules; a regular expression, or the exact case or bytes, is looked for only where its anchor was seen."""
-    if d.name != "spark":
-        return d.kept(d.array(", ".join(f"CASE WHEN {rule_sql(r, d, t, low, raw)} THEN {r.number} END" for r in RULES)), "x", "x IS NOT NULL")
-    items = ", ".join(f"CASE WHEN {rule_sql(r, d, t, low, raw, gated=True)} THEN {r.number} END" for r in RULES)
-    return f"transform(array({_seen_sql(low)}), seen -> filter(array({items}), x -> x IS NOT NULL))[0]"
+    """An array of the numbers of the rules that match, in order. Spark runs a regular expression only where one of its anchors was found and the rule still depends on it."""
+    items = ", ".join(f"CASE WHEN {rule_sql(r, d, t, low, raw, gated=d.name == 'spark')} THEN {r.number} END" for r in RULES)
+    return d.kept(d.array(items), "x", "x IS NOT NULL")
