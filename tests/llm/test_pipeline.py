@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_names():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) | {"pipeline"} <= set(__spark_entry__.queries()) and set(registry.oracle_sql()) <= set(names)
 
 
