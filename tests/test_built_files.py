@@ -34,3 +34,19 @@ def test_deflated_pdfs_say_nothing_by_chance(spark, tmp_path):
     assert b"/EF" in zlib.compress(zlib.compress(B._TRIGGER + texts[0].encode())) and b"/EF" in zlib.compress(texts[1].encode())
     assert equal(spark, *tables(tmp_path, texts), "agg_ablation_inflated")
     assert not B._says(B._pdf(b"/EF <?= !DDE " * 500 + random.Random(1).randbytes(70_001)))
+
+
+def test_scan_of_built_files(spark, tmp_path):
+    texts = [letters(1190, 20000), letters(453, 20001), "", None, "one line\nand another"]
+    assert b"/EF" in B.png_bytes(B.np.frombuffer(texts[0].encode().ljust(20016, b"\0"), B.np.uint8).reshape(-1, 16, 3))
+    assert equal(spark, *tables(tmp_path, texts), "scan_built")
+
+
+@pytest.mark.parametrize("size", [0, 1, 47, 48, 49, 16_385, 50_001])
+def test_built_images_keep_their_pixels(size):
+    data = random.Random(size).randbytes(size)
+    file = B._png(data)
+    assert B.png_pixels(file).tobytes()[:size] == data and not B._says(file[: len(file) - size % 5])
+    for last in range(3):
+        pixels = B.png_pixels(file)
+        assert (B.png_pixels(B.png_bytes(pixels, last=last)) == pixels).all()
