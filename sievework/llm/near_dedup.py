@@ -27,7 +27,6 @@ PLANES = [f"{half}{k}" for half in "ab" for k in range(4)]  # bits k of the regi
 AGREE = 72  # least number of the BANDS * ROWS registers whose lowest four bits are equal; fewer has a probability of 1e-7 at the threshold
 HOPELESS = 12.0  # log-likelihood ratio beyond which a candidate goes unverified
 SLOTS = 1 << 20  # counters of shingles by hash, which give the order of prefixes; any order is exact
-COUNTED = 200_000  # about so many sets are counted for that order
 
 _ODD = textscan.stream64(41, BANDS * ROWS) | np.uint64(1)
 
@@ -141,6 +140,14 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
 
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all the sets fall on each counter; SLOTS rows at most come to the driver."""
+    slots = sets.select("shingles").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int32)
+    counts[slots.column(0).to_numpy()] = np.minimum(slots.column(1).to_numpy(), 2**31 - 1)
+    return counts
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(doc_id, component, shingles) to the shingles of each prefix, rarest first: doc_id, component, n, place, shingle, and the one before it."""
     for batch in batches:
@@ -262,11 +269,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     n = mixed.count()
     if n:
         few = sets.join(F.broadcast(mixed) if n <= BROADCAST_IDS else mixed, "doc_id").select("doc_id", "component", "shingles")
-        some = few.where(F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // COUNTED))) == 0).select("shingles")
-        slots = some.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS at most
-        counts = np.zeros(SLOTS, dtype=np.int32)
-        counts[slots.column(0).to_numpy()] = np.minimum(slots.column(1).to_numpy(), 2**31 - 1)
-        sent = spark.sparkContext.broadcast(counts)
+        sent = spark.sparkContext.broadcast(_counts(few))
         prefixes = scratch.save(few.mapInArrow(lambda batches: _prefixes(batches, sent.value), "doc_id long, component long, n long, place long, shingle long, before long"), "prefixes")
         found = joined(found, verified(_prefix_pairs(prefixes, scratch), "exact"), "exact")
 
