@@ -330,7 +330,7 @@ def topk_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def l5c_links_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links layer where links to untrusted hosts are refused too: its verdict, and those links, their hosts by name and the first one's place."""
     files = submissions(spark, sf_dir).select("id", F.decode("content", "ISO-8859-1").alias("t")).select("id", "t", F.lower("t").alias("low"))
-    files = files.selectExpr("id", "t", "low", f"CASE WHEN {L.linkable(SPARK)} THEN {untrusted_links('t', ALLOWED)} END AS far")
+    files = files.selectExpr("id", "t", "low", f"CASE WHEN {L.linkable(SPARK)} AND contains(low, '://') THEN {untrusted_links('t', ALLOWED)} END AS far")
     hosts = "array_sort(array_distinct(transform(far, z -> z.host)))"
     named = f"transform(array({hosts}), h -> array_join(slice(h, 1, 5), ', ') || if(size(h) > 5, ', +' || (size(h) - 5) || ' more', ''))[0]"
     return files.selectExpr("id", f"{L.links(SPARK, 'size(far)')} AS l5c", "cast(coalesce(size(far), 0) as bigint) AS links", f"CASE WHEN size(far) > 0 THEN {named} END AS hosts", "CASE WHEN size(far) > 0 THEN far[0].place END AS first_at")
