@@ -39,3 +39,19 @@ def within_spans(points: DataFrame, spans: DataFrame, key: str, at: str, start:
     last = begun.union(asked).withColumn("_last", F.last("_open", ignorenulls=True).over(sweep)).where("_kind = 1")
     held: Column = F.col("_last._end") > F.col("_at")
     return last.select(key, F.col("_at").alias(at), *own, *(F.when(held, F.col(f"_last._span.{c}")).alias(c) for c in carried))
+
+
+def runs_within_spans(runs: DataFrame, spans: DataFrame, key: str, low: str, high: str, start: str, length: str, *carried: str) -> DataFrame:
+    """All places of runs (key, low, high, both in it; one run a key) joined to the spans that hold them, as within_spans joins single points, with a row for each stretch of places that one span holds or none does: key, low, high and the carried columns, null where no span holds them. The spans of a key don't overlap; empty ones hold nothing.
+
+    A run without spans is one stretch. The work is linear in spans, however many places they hold."""
+    own = runs.where(F.col(low) <= F.col(high)).select(key, F.col(low).cast("long").alias("_low"), F.col(high).cast("long").alias("_high"))
+    reach = spans.where(F.col(length) > 0).select(key, F.col(start).cast("long").alias("_start"), (F.col(start) + F.col(length) - 1).cast("long").alias("_end"), F.struct(*carried).alias("_span"))
+    inside = reach.join(own, key).where("_start <= _high AND _end >= _low").select(key, F.greatest("_start", "_low").alias("_at"), F.least("_end", "_high").alias("_to"), "_span")
+    ends = own.select(key, F.col("_low").alias("_at"), (F.col("_low") - 1).alias("_to"), F.lit(None).cast(inside.schema["_span"].dataType).alias("_span"), F.col("_high").alias("_high"))
+    marks = inside.withColumn("_high", F.lit(None).cast("long")).union(ends)  # each key has one mark of no length, where its run begins
+    order = Window.partitionBy(key).orderBy("_at", "_to")
+    after = F.coalesce(F.lead("_at").over(order), F.first("_high", ignorenulls=True).over(order) + 1)
+    stretches = F.array(F.struct(F.col("_at").alias("low"), F.col("_to").alias("high"), F.col("_span").alias("span")), F.struct((F.col("_to") + 1).alias("low"), (F.col("_next") - 1).alias("high"), F.lit(None).cast(inside.schema["_span"].dataType).alias("span")))
+    each = marks.withColumn("_next", after).select(key, F.explode(stretches).alias("x")).where("x.low <= x.high")
+    return each.select(key, F.col("x.low").alias(low), F.col("x.high").alias(high), *(F.col(f"x.span.{c}").alias(c) for c in carried))
