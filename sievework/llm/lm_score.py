@@ -2,11 +2,11 @@
 
 Documents become blocks: their tokens as codes into the block's distinct words. Each block sends its distinct words with their training counts to shards by hash, once each however often they occur; a shard adds up and answers every block. That gives exact counts of all words without joining tokens.
 
-The model predicts classes: the VOCABULARY most frequent words are classes of their own, all others fall into SUFFIXES classes by their last bytes, with add-one shares of the class within it. A class's score is the product of its vector with the sum of the CONTEXT previous classes' vectors, each weighted by position, plus a bias. Every partition trains a copy on its training tokens by noise-contrastive estimation, in minibatches of matrix products; copies are averaged by Spark, ROUNDS times, each round taking its share of the minibatches, so that all training tokens are used. Scoring normalises over all classes by batched matrix products."""
+The model predicts classes: the VOCABULARY most frequent words are classes of their own, all others fall into SUFFIXES classes by their last bytes, with add-one shares of the class within it. A class's score is the product of its vector with the sum of the CONTEXT previous classes' vectors, each weighted by position, plus a bias. Every partition trains a copy on its training tokens by noise-contrastive estimation, in minibatches of matrix products; copies are averaged by Spark, ROUNDS times, each round taking its share of the minibatches, so that all training tokens are used. A minibatch's gradients are summed by class over one sort. Scoring normalises over all classes: the exponential of a score is a product with one factor for each position's class, so the factors are tabled once for a block and a token costs CONTEXT products a class, with no exponential and no matrix product."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -25,6 +25,7 @@ CLASSES = VOCABULARY + SUFFIXES
 START = CLASSES  # the class before a document's first token, in contexts only
 CONTEXT, WIDTH, NOISE = 4, 32, 64
 ROUNDS, BATCH, RATE = 3, 512, 0.2
+LEAST = 1e-25  # sums of products below that are taken again by logarithms
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1_000_000  # words of all blocks that a shard holds, about
 HELD_MODULUS, HELD = 7, 2
@@ -121,46 +122,63 @@ class Model:
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).copy()
             at += n
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        return sum((self.p["r"] * self.p["c"][j]).astype(np.float32)[context[:, j]] for j in range(CONTEXT))
-
     def log10(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the targets."""
-        score = self.predicted(context) @ self.p["q"].T.astype(np.float32) + self.p["b"].astype(np.float32)
-        own = score[np.arange(len(target)), target]
-        top = score.max(1)
-        return ((own - top - np.log(np.exp(score - top[:, None]).sum(1))) / np.log(10)).astype(np.float64)
+        part = np.stack([(self.p["r"] * c) @ self.p["q"].T for c in self.p["c"]])  # [CONTEXT, CLASSES + 1, CLASSES]
+        part[0] += self.p["b"]
+        part -= part.max(2, keepdims=True)  # factors of 1 at most, so no product overflows
+        part, factor = part.reshape(-1, CLASSES), np.exp(part).astype(np.float32).reshape(-1, CLASSES)
+        out = np.empty(len(target))
+        for low in range(0, len(target), BATCH):
+            at = context[low : low + BATCH].T + np.arange(0, len(part), CLASSES + 1)[:, None]
+            product = factor.take(at[0], 0)
+            for j in range(1, CONTEXT - 1):
+                product *= factor.take(at[j], 0)
+            total = np.einsum("nk,nk->n", product, factor.take(at[-1], 0)).astype(np.float64)
+            log = np.log(np.maximum(total, LEAST))
+            few = np.flatnonzero(total < LEAST)  # their positions agree on no class, and products are too small for float32
+            if len(few):
+                score = part[at[:, few]].sum(0)
+                most = score.max(1)
+                log[few] = most + np.log(np.exp(score - most[:, None]).sum(1))
+            out[low : low + BATCH] = part.take(at * CLASSES + target[low : low + BATCH]).sum(0) - log
+        return out / np.log(10)
 
     def step(self, context: np.ndarray, target: np.ndarray, noise: np.ndarray, square: dict[str, np.ndarray]) -> None:
         """One AdaGrad step of noise-contrastive estimation; the noise is shared by the minibatch."""
         p, n = self.p, len(target)
-        h = self.predicted(context)
-        q = p["q"].astype(np.float32)
+        r, q, c = (p[k].astype(np.float32) for k in "rqc")
+        before, own = r.take(context, 0), q.take(target, 0)
+        h = np.einsum("njw,jw->nw", before, c)
         bias = (p["b"] - np.log(NOISE * self.prior)).astype(np.float32)
-        real = 1 / (1 + np.exp(np.clip((h * q[target]).sum(1) + bias[target], -30, 30)))  # how much too low
-        false = -1 / (1 + np.exp(-np.clip(h @ q[noise].T + bias[noise], -30, 30)))  # how much too high
-        dh = real[:, None] * q[target] + false @ q[noise]
-        grad = {k: np.zeros_like(x) for k, x in p.items()}
-        grad["q"] += self._sum(target, real[:, None] * h, CLASSES)
-        np.add.at(grad["q"], noise, false.T @ h)
-        grad["b"] += np.bincount(target, weights=real, minlength=CLASSES)
-        np.add.at(grad["b"], noise, false.sum(0))
-        for j in range(CONTEXT):
-            g = self._sum(context[:, j], dh, CLASSES + 1)
-            grad["r"] += g * p["c"][j]
-            grad["c"][j] = (g * p["r"]).sum(0)
+        real = 1 / (1 + np.exp(np.clip(np.einsum("nw,nw->n", h, own) + bias[target], -30, 30)))  # how much too low
+        times = np.bincount(noise, minlength=CLASSES)
+        drawn = np.flatnonzero(times)  # a class drawn again counts again
+        other = q[drawn]
+        false = h @ -other.T - bias[drawn]
+        np.exp(np.clip(false, -30, 30, out=false), out=false)
+        false += 1
+        np.divide(-times[drawn].astype(np.float32), false, out=false)  # how much too high
+        dh = real[:, None] * own + false @ other
+        grad = {"b": np.bincount(target, weights=real, minlength=CLASSES), "c": np.einsum("njw,nw->jw", before, dh)}
+        grad["b"][drawn] += false.sum(0)
+        grad["q"] = self._sum(target, lambda at: real[at, None] * h.take(at, 0), CLASSES)
+        grad["q"][drawn] += false.T @ h
+        grad["r"] = self._sum(context.reshape(-1), lambda at: dh.take(at // CONTEXT, 0) * c.take(at % CONTEXT, 0), CLASSES + 1)
         for k in p:
             g = grad[k] / n
             square[k] += g * g
             p[k] += RATE * g / np.sqrt(square[k])
 
     @staticmethod
-    def _sum(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-        order = np.argsort(at, kind="stable")
-        there = at[order]
-        first = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-        out = np.zeros((size, rows.shape[1]))
-        out[there[first]] = np.add.reduceat(rows[order], first)
+    def _sum(keys: np.ndarray, rows: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """Sums of rows by key, a class; rows gives those of an order."""
+        keys = keys.astype(np.uint16)  # sorted by digits
+        order = keys.argsort(kind="stable")
+        there = keys[order]
+        first = np.append(0, np.flatnonzero(there[1:] != there[:-1]) + 1)
+        out = np.zeros((size, WIDTH), np.float32)
+        out[there[first]] = np.add.reduceat(rows(order).view(np.complex64), first).view(np.float32)  # columns in pairs, which halves the calls
         return out
 
 
@@ -188,13 +206,15 @@ class Lexicon:
         return out
 
 
-def _contexts(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """[tokens, CONTEXT] of the classes before each token of its document."""
-    place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full((len(classes), CONTEXT), START, dtype=np.int32)
+def _contexts(classes: np.ndarray, lengths: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """[tokens, CONTEXT] of the classes before each token of its document, or before the tokens at `at`."""
+    place = np.arange(len(classes)) + np.repeat(CONTEXT * np.arange(1, len(lengths) + 1), lengths)
+    apart = np.full(len(classes) + CONTEXT * len(lengths), START, dtype=np.uint16)  # with a start's classes before each document
+    apart[place] = classes
+    place = place if at is None else place[at]
+    out = np.empty((len(place), CONTEXT), dtype=np.uint16)
     for j in range(CONTEXT):
-        have = place > j
-        out[have, j] = classes[np.flatnonzero(have) - j - 1]
+        out[:, j] = apart[place - j - 1]
     return out
 
 
@@ -218,13 +238,13 @@ def _train(batches: Iterator[pa.RecordBatch], sent, turn: int) -> Iterator[pa.Re
     for row in _rows(batches):
         held, lengths, codes = _open(row)
         classes = lexicon.of(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["suffix"], np.uint8))[codes]
-        context = _contexts(classes, lengths)
         own = np.flatnonzero(~np.repeat(held, lengths))
+        own = own[np.arange(len(own)) // BATCH % ROUNDS == turn]
+        context, target = _contexts(classes, lengths, own), classes[own]
+        noise = draw.choice(CLASSES, (-(-len(own) // BATCH), NOISE), p=lexicon.prior)
         for k, low in enumerate(range(0, len(own), BATCH)):
-            if k % ROUNDS == turn:
-                at = own[low : low + BATCH]
-                model.step(context[at], classes[at], draw.choice(CLASSES, NOISE, p=lexicon.prior), square)
-                used += len(at)
+            model.step(context[low : low + BATCH], target[low : low + BATCH], noise[k], square)
+        used += len(own)
     if used:
         yield pa.RecordBatch.from_arrays([pa.array([used], pa.int64()), pa.array([(model.flat() * used).tolist()], pa.list_(pa.float64()))], names=["used", "parameters"])
 
@@ -243,9 +263,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent, shards: int) -> Iterator[pa.
         inside = np.where(kind < VOCABULARY, 0.0, np.log10((count + 1) / (lexicon.rest_n[suffix] + lexicon.rest_v[suffix] + 1)))
         base = np.log10((count + 1) / (lexicon.N + lexicon.V + 1))[codes]
         classes = kind[codes]
-        context, score = _contexts(classes, lengths), inside[codes]
-        for low in range(0, len(codes), 4 * BATCH):
-            score[low : low + 4 * BATCH] += model.log10(context[low : low + 4 * BATCH], classes[low : low + 4 * BATCH])
+        score = inside[codes] + model.log10(_contexts(classes, lengths), classes)
         first = np.cumsum(lengths) - lengths
         add = lambda x: pa.array(np.add.reduceat(x, first))
         n = len(lengths)

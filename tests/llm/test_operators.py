@@ -566,6 +566,85 @@ def test_language_model_against_plain_python():
         assert want == pytest.approx((scores[target[at]] - math.log(sum(map(math.exp, scores)))) / math.log(10), abs=1e-4)
 
 
+def _language_model(seed, scale):
+    rng = np.random.default_rng(seed)
+    model = lm_score.Model(rng.dirichlet(np.ones(lm_score.CLASSES)))
+    model.p["r"] *= scale
+    model.p["q"] *= scale
+    return rng, model
+
+
+def test_scoring_takes_no_exponential_for_a_token(monkeypatch):
+    rng, model = _language_model(7, 1)
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: taken.append(np.size(x)) or exp(x, *a, **k))
+    for n in (10, 5_000):
+        taken.append(0)
+        model.log10(rng.integers(0, lm_score.CLASSES + 1, (n, lm_score.CONTEXT)), rng.integers(0, lm_score.CLASSES, n))
+    few, many = (sum(x) for x in (taken[: taken.index(0, 1)], taken[taken.index(0, 1) :]))
+    assert few == many == lm_score.CONTEXT * (lm_score.CLASSES + 1) * lm_score.CLASSES
+
+
+@pytest.mark.parametrize("scale", [1, 5, 30])  # at 30 float32 has no room for most products
+def test_scores_of_strong_weights(scale):
+    rng, model = _language_model(8, scale)
+    context, target = rng.integers(0, lm_score.CLASSES + 1, (700, lm_score.CONTEXT)), rng.integers(0, lm_score.CLASSES, 700)
+    score = sum((model.p["r"] * model.p["c"][j])[context[:, j]] for j in range(lm_score.CONTEXT)) @ model.p["q"].T + model.p["b"]
+    top = score.max(1)
+    want = (score[np.arange(700), target] - top - np.log(np.exp(score - top[:, None]).sum(1))) / np.log(10)
+    assert model.log10(context, target) == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
+def test_a_training_step_against_sums_token_by_token():
+    rng, model = _language_model(9, 3)
+    n, p = 40, {k: x.copy() for k, x in model.p.items()}
+    context, target, noise = rng.integers(0, lm_score.CLASSES + 1, (n, lm_score.CONTEXT)), rng.integers(0, 9, n), rng.integers(0, 9, lm_score.NOISE)  # drawn many times
+    context[:, 1] = context[0, 1]
+    square = {k: np.full_like(x, 1e-6) for k, x in p.items()}
+    model.step(context, target, noise, square)
+    grad = {k: np.zeros_like(x) for k, x in p.items()}
+    for t in range(n):
+        h = sum(p["r"][context[t, j]] * p["c"][j] for j in range(lm_score.CONTEXT))
+        dh = np.zeros_like(h)
+        for k, own in [(target[t], True), *((x, False) for x in noise)]:
+            odds = h @ p["q"][k] + p["b"][k] - np.log(lm_score.NOISE * model.prior[k])
+            by = 1 / (1 + np.exp(odds)) if own else -1 / (1 + np.exp(-odds))
+            dh += by * p["q"][k]
+            grad["q"][k] += by * h
+            grad["b"][k] += by
+        for j in range(lm_score.CONTEXT):
+            grad["r"][context[t, j]] += dh * p["c"][j]
+            grad["c"][j] += dh * p["r"][context[t, j]]
+    for k, x in p.items():
+        assert square[k] == pytest.approx(1e-6 + (grad[k] / n) ** 2, rel=1e-3, abs=1e-9)
+        assert model.p[k] == pytest.approx(x + lm_score.RATE * grad[k] / n / np.sqrt(1e-6 + (grad[k] / n) ** 2), abs=1e-3)
+
+
+def test_rounds_share_the_contexts(monkeypatch):
+    """Each training token's context is made in its own round only."""
+    rng = np.random.default_rng(10)
+    lengths = rng.integers(1, 60, 300)
+    held = np.array([lm_score.held_out(i) for i in range(300)])
+    hashes, suffix = np.sort(rng.integers(0, 1 << 62, 500).astype(np.uint64)), rng.integers(0, lm_score.SUFFIXES, 500).astype(np.uint8)
+    codes = rng.integers(0, 500, lengths.sum()).astype(np.int32)
+    lexicon = lm_score.Lexicon([], np.ones(lm_score.SUFFIXES, np.int64), np.ones(lm_score.SUFFIXES, np.int64))
+    row = {"held": held.tobytes(), "lengths": lengths.astype(np.int32).tobytes(), "codes": lm_score.zstandard.ZstdCompressor().compress(codes.tobytes()), "hashes": hashes.tobytes(), "suffix": suffix.tobytes()}
+    batch = pa.RecordBatch.from_pylist([row])
+    made, contexts = [], lm_score._contexts
+    monkeypatch.setattr(lm_score, "_contexts", lambda *a: made.append(contexts(*a)) or made[-1])
+    monkeypatch.setattr(lm_score, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)}))
+    sent = type("Sent", (), {"value": (lexicon, lm_score.Model(lexicon.prior).flat())})
+    used = [next(lm_score._train(iter([batch]), sent, turn)).column(0)[0].as_py() for turn in range(lm_score.ROUNDS)]
+    training = int(lengths[~held].sum())
+    assert sum(used) == training == sum(map(len, made)) and training > 3 * lm_score.BATCH
+    classes = lexicon.of(hashes, suffix)[codes].tolist()
+    ends = np.cumsum(lengths)
+    every = [[classes[t - j - 1] if t - j - 1 >= low else lm_score.START for j in range(lm_score.CONTEXT)] for low, high in zip(ends - lengths, ends, strict=True) for t in range(low, high)]
+    own = np.flatnonzero(~np.repeat(held, lengths))
+    for turn, got in enumerate(made):
+        assert got.tolist() == [every[t] for k, t in enumerate(own) if k // lm_score.BATCH % lm_score.ROUNDS == turn]
+
+
 def test_every_row_held_out(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
     out = lm_score.score_documents(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").withColumns({"held": F.lit(1), "codes": F.lit("x")})).collect()
