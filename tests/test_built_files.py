@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from sievework.operators.rewriting import inflate_pdf
 from sievework.plans import bytes_queries as B
 
 
@@ -36,6 +37,20 @@ def test_deflated_pdfs_say_nothing_by_chance(spark, tmp_path):
     assert not B._says(B._pdf(b"/EF <?= !DDE " * 500 + random.Random(1).randbytes(70_001)))
 
 
+@pytest.mark.parametrize("name", ["l5b_pdf_flate", "pdf_survey", "agg_ablation_inflated", "scan_built"])
+def test_pdfs_of_empty_and_of_repeating_texts(spark, tmp_path, name):
+    texts = ["", None, "x", "Aterth " * 20_001, "a" * 133_719, "a" * 133_720, ("b" * 70 + "\n") * 3001]
+    assert equal(spark, *tables(tmp_path, texts), name)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab ", "La ", "Teieö ", "a word. " * 9 + "\n"])
+def test_built_pdfs_are_no_bombs(unit):
+    for n in (1001, 50_001, 200_003, 1_000_001):
+        text = (unit * n).encode()[:n]
+        inflated, streams, opened, depth, cut, bomb = inflate_pdf(B._pdf(text))[:6]
+        assert inflated.endswith(text + b"\n") and (streams, opened, depth, cut, bomb) == (1, 1, 2, False, False) and not B._says(B._pdf(text))
+
+
 def test_scan_of_built_files(spark, tmp_path):
     texts = [letters(1190, 20000), letters(453, 20001), "", None, "one line\nand another"]
     assert b"/EF" in B.png_bytes(B.np.frombuffer(texts[0].encode().ljust(20016, b"\0"), B.np.uint8).reshape(-1, 16, 3))
