@@ -8,8 +8,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from sievework.functions.tables import SCHEMES
 from sievework.operators.rewriting import inflate_pdf
 from sievework.plans import bytes_queries as B
+from sievework.plans.scan import scan
 
 
 def letters(seed, n):
@@ -51,6 +53,17 @@ def test_built_pdfs_are_no_bombs(unit):
         assert inflated.endswith(text + b"\n") and (streams, opened, depth, cut, bomb) == (1, 1, 2, False, False) and not B._says(B._pdf(text))
 
 
+def test_built_pdfs_say_no_scheme_by_chance(spark):
+    noise = random.Random(7).randbytes(4000)  # is stored as it is
+    texts = [noise[:3000] + f" {s}{blank}:".encode() + noise[3000:] for s in SCHEMES for blank in ("", " ")]
+    texts = [t + b"." * (len(t) % 3 == 0) for t in texts]  # without the trigger
+    assert all(t[3000:3006] in zlib.compress(t) for t in texts)
+    files = [(str(k), "a.pdf", "application/pdf", "id", B._pdf(t)) for k, t in enumerate(texts)]
+    got = scan(spark.createDataFrame(files, "id string, file_name string, declared_type string, category string, content binary"), detail=False)
+    assert {(r["decision"], r["reason_code"]) for r in got.collect()} == {("accepted", "")}
+    assert all(inflate_pdf(f[-1])[0] == t + b"\n" for f, t in zip(files, texts, strict=True))
+
+
 def test_scan_of_built_files(spark, tmp_path):
     texts = [letters(1190, 20000), letters(453, 20001), "", None, "one line\nand another"]
     assert b"/EF" in B.png_bytes(B.np.frombuffer(texts[0].encode().ljust(20016, b"\0"), B.np.uint8).reshape(-1, 16, 3))
